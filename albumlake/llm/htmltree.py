@@ -29,7 +29,7 @@ GOOD = re.compile(r"article|main|content|post|entry|story|body")
 BAD = re.compile(r"\bad\b|ads|advert|banner|comment|cookie|consent|notice|menu|nav|footer|header|sidebar|widget|promo|share|social|related|subscribe|newsletter|popup|modal|breadcrumb|copyright|sponsor|disqus|reply|replies")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 
 
 @dataclass

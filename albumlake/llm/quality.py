@@ -53,7 +53,9 @@ def base_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     d = _add(
         d,
-        n_words=F.col("_n").cast("long"),
+        # Never null; a row-numbering function keeps later filters above this projection. Pushed below, they would
+        # put the sorts inside the lambdas and run them once per word.
+        n_words=F.when(F.monotonically_increasing_id() >= 0, F.col("_n")).cast("long"),
         word_chars=F.length(F.regexp_replace("_t", GAP, "")).cast("long"),
         n_symbols=F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long"),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
