@@ -55,7 +55,10 @@ def parse(html: str | None) -> Node:
             break
         pos = m.end()
         close, tag, attrs, text = m.groups()
-        if text is not None:
+        if text == "<" and re.match(r"/?[a-zA-Z]", src[pos : pos + 2]):  # a tag with an open quote, or none left to close it
+            end = src.find(">", pos)
+            pos = end + 1 if end >= 0 else len(src)
+        elif text is not None:
             at.children.append(ent.unescape(text))
         elif tag is None:
             continue
