@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialise, table
 
 K, T = 5, 80
-LEAF = 24
+LEAF, MAX_LEAF = 24, 512
 BUCKETS = 1 << 17
 MAX_ROUNDS = 200
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,21 +106,23 @@ def class_order(survey: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def prefix_postings(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K) -> DataFrame:
-    """(shingle, id) of each set's first n - ceil(t*n/100) + 1 shingles, rare classes first: enough to meet every link."""
+    """(shingle, id, n_set) of each set's first n - ceil(t*n/100) + 1 shingles, rare classes first: enough to meet every link."""
     held = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         for b in batches:
-            ids, found = [], []
+            ids, sizes, found = [], [], []
             for doc, text in zip(b["id"], b["text"], strict=True):
                 s = shingle_hashes(text, k)
                 take = len(s) - -(-t * len(s) // 100) + 1
                 pick = s[np.lexsort((s, held.value[s & (len(held.value) - 1)]))[:take]]
                 ids.append(np.full(len(pick), doc))
+                sizes.append(np.full(len(pick), len(s)))
                 found.append(pick)
-            yield pd.DataFrame({"shingle": np.concatenate(found or [np.zeros(0, np.int64)]), "id": np.concatenate(ids or [np.zeros(0, np.int64)])})
+            none = [np.zeros(0, np.int64)]
+            yield pd.DataFrame({"shingle": np.concatenate(found or none), "id": np.concatenate(ids or none), "n_set": np.concatenate(sizes or none)})
 
-    return texts.select("id", "text").mapInPandas(run, "shingle long, id long")
+    return texts.select("id", "text").mapInPandas(run, "shingle long, id long, n_set int")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,6 +166,8 @@ def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, l
     edges = None
     label = None
     for turn in range(MAX_ROUNDS):
+        # What pivots leave undecided is mostly settled pairs, so later turns compare larger regions directly.
+        small_at = min(leaf << min(turn, 10), max(leaf, MAX_LEAF))
         rows = alive
         if label is None:
             rows = rows.withColumn("label", F.col("id"))
@@ -175,14 +179,16 @@ def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, l
         rows = materialise(rows.join(regions, "shingle"))
         if not rows.limit(1).count():
             break
-        if sets is None:  # only documents that share a region need their sets
-            sets = materialise(shingle_sets(texts.join(rows.select("id").distinct(), "id"), k))
-        small = rows.filter(F.col("n") <= leaf).select("shingle", "id", "label")
-        other = small.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"))
-        direct = small.join(other, "shingle").filter("id < b and label <> lb").select(F.col("id").alias("a"), "b")
-        large = rows.filter(F.col("n") > leaf)
+        small = rows.filter(F.col("n") <= small_at).select("shingle", "id", "label", "n_set")
+        other = small.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_set").alias("nb"))
+        direct = small.join(other, "shingle").filter("id < b and label <> lb").filter(100 * F.least("n_set", "nb") >= t * F.greatest("n_set", "nb")).select(F.col("id").alias("a"), "b")
+        large = rows.filter(F.col("n") > small_at)
         star = large.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        known = materialise(distances(direct.union(star).distinct(), sets))
+        pairs = materialise(direct.union(star).distinct())
+        if sets is None:  # only documents that meet another in a region need their sets
+            met = (pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id"))).distinct()
+            sets = materialise(shingle_sets(texts.join(met, "id"), k))
+        known = materialise(distances(pairs, sets))
         links = known.filter(linked(t)).select("a", "b")
         edges = materialise(links if edges is None else edges.union(links))
         label = components(edges)
@@ -193,7 +199,7 @@ def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, l
         # A linked member stays only while its region has a boundary document (gap in (1-t, 2(1-t)]).
         edge = rest.groupBy("shingle").agg(F.max((~F.col("hit") & (F.col("gap") <= 2 * (1 - t / 100) + 1e-9)).cast("int")).alias("edge"))
         rest = rest.join(edge, "shingle").filter("not hit or edge = 1")
-        alive = materialise(rest.select("shingle", "id"))
+        alive = materialise(rest.select("shingle", "id", "n_set"))
     else:
         raise RuntimeError(f"regions left after {MAX_ROUNDS} pivots")
     return edges if edges is not None else texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -204,7 +210,7 @@ def jaccard_components(docs: DataFrame, t: int = T, k: int = K, leaf: int = LEAF
     survey = materialise(survey_sets(docs, k))
     members = survey.filter("g < 0").select("doc_id", "n_shingles", "set_key")
     reps = materialise(members.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(reps.select("id"), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(reps.select("id").distinct(), "id")
     edges = jaccard_links(texts, class_order(survey), t, k, leaf)
     label = components(edges)
     classes = reps.join(label, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
