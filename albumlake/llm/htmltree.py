@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as ent
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,13 +110,18 @@ def measure(root: Node) -> list[Node]:
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "div", "section", "p", "ul", "li", "a", "h1", "table", "span", "form")
 
 
-def features(n: Node, page_chars: int) -> list[float]:
-    sib = [c for c in n.parent.children if not isinstance(c, str)] if n.parent and len(n.parent.children) < 2000 else []
-    same = sum(c.tag == n.tag for c in sib) if len(sib) < 50 else 50
+def sibling_counts(order: list[Node]) -> list[tuple[int, int]]:
+    """Per node: element siblings (itself included), and those with its tag, both counted once per parent."""
+    tags = {id(n): Counter(c.tag for c in n.children if not isinstance(c, str)) for n in order}
+    total = {at: sum(c.values()) for at, c in tags.items()}
+    return [(total[id(n.parent)], tags[id(n.parent)][n.tag]) if n.parent else (0, 0) for n in order]
+
+
+def features(n: Node, page_chars: int, siblings: tuple[int, int]) -> list[float]:
     up = n.parent
     return [
         n.chars, n.chars / max(n.tags + 1, 1), n.link_chars / max(n.chars, 1), n.chars / max(page_chars, 1), n.depth, n.tags,
-        len(sib), same, n.place, bool(GOOD.search(n.attrs)), bool(BAD.search(n.attrs)), bool(up and BAD.search(up.attrs)),
+        *siblings, n.place, bool(GOOD.search(n.attrs)), bool(BAD.search(n.attrs)), bool(up and BAD.search(up.attrs)),
         n.tag in INLINE, n.tag in SILENT, *(n.tag == t for t in TAGS), bool(up and up.tag == "article"), bool(up and up.tag == "body"),
     ]
 
@@ -173,20 +179,33 @@ def fit_extractor(pages: DataFrame) -> dict:
     x, y = [], []
     for r in rows:
         order = measure(parse(r["html"]))
-        for n, label in zip(order, taught(order), strict=True):
+        for n, label, siblings in zip(order, taught(order), sibling_counts(order), strict=True):
             if label is not None and n.tag not in SILENT:
-                x.append(features(n, order[0].chars))
+                x.append(features(n, order[0].chars, siblings))
                 y.append(label)
     return fit_trees(np.array(x, float).reshape(len(y), -1), np.array(y, float))
 
 
+def extract_all(htmls: list[str | None], model: dict) -> list[str]:
+    """Texts of a few pages, whose nodes go through the trees together."""
+    orders = [measure(parse(h)) for h in htmls]
+    if not orders:
+        return []
+    x = np.array([features(n, o[0].chars, s) for o in orders for n, s in zip(o, sibling_counts(o), strict=True)], float)
+    score = model["base"] + sum(tree_values(t, x) for t in model["trees"]) if model["trees"] else np.zeros(len(x))
+    ends = np.cumsum([len(o) for o in orders])
+    return [decode(o, score[e - len(o) : e]) for o, e in zip(orders, ends, strict=True)]
+
+
 def extract(html: str | None, model: dict) -> str:
-    root = parse(html)
-    order = measure(root)
-    x = np.array([features(n, root.chars) for n in order], float)
-    score = model["base"] + sum(tree_values(t, x) for t in model["trees"]) if model["trees"] else np.zeros(len(order))
+    return extract_all([html], model)[0]
+
+
+def decode(order: list[Node], score: np.ndarray) -> str:
+    """Text of the accepted nodes, from the root down."""
+    root = order[0]
     # Wrappers between the root and the content carry no decision; below them a rejected node ends its subtree.
-    keep = {id(n): n.tag not in SILENT and (s >= 0 or n.tag in ("root", "html", "body") or n.tag in INLINE or n.tag == "br") for n, s in zip(order, np.broadcast_to(score, len(order)), strict=True)}
+    keep = {id(n): n.tag not in SILENT and (s >= 0 or n.tag in ("root", "html", "body") or n.tag in INLINE or n.tag == "br") for n, s in zip(order, score, strict=True)}
     blocks, line = [], []
 
     def flush():
@@ -223,7 +242,7 @@ def extract_pages(pages: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("string")
     def run(htmls: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, held.value) for h in htmls], dtype=object)
+        return pd.Series([t for lo in range(0, len(htmls), 32) for t in extract_all(list(htmls.iloc[lo : lo + 32]), held.value)], dtype=object)
 
     return pages.withColumn("text", run("html"))
 
