@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,24 @@ SAMPLE_ROWS, SAMPLE_CHARS, CHAIN, DIM = 600, 8000, 64, 1 << 16
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> np.ndarray:
+class _Slots(dict):
+    """Weight row of a feature name; names recur, so their hashes are kept, up to a bound."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        at = self[name] = zlib.crc32(name.encode()) % DIM
+        return at
+
+
+_slots = _Slots()
+
+
+def word_features(word: str) -> list[int]:
+    """Weight rows of a word's distinct features, in an order that depends on the word alone."""
     w = f"^{word}$"
-    names = {w} | {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)} | {w[i : i + 3] for i in range(len(w) - 2)}
-    return np.fromiter((zlib.crc32(n.encode()) % DIM for n in sorted(names)), np.int64, len(names))
+    names = [w, *(f"p{word[:n]}" for n in (1, 2, 3)), *(f"s{word[-n:]}" for n in (1, 2, 3)), *(w[i : i + 3] for i in range(len(w) - 2))]
+    return [_slots[n] for n in dict.fromkeys(names)]
 
 
 def chains(text: str | None) -> list[list[str]]:
@@ -35,8 +50,8 @@ def chains(text: str | None) -> list[list[str]]:
     return out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (chains, words, labels) and expected transition counts of padded chains, all chains at once."""
+def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (chains, words, labels) of padded chains, all chains at once, and where `count`, expected transitions."""
     n, steps, k = emit.shape
     top = emit.max(axis=2, keepdims=True)
     e, a = np.exp(emit - top), np.exp(trans)
@@ -51,7 +66,7 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> t
     post = alpha * beta
     post /= post.sum(axis=2, keepdims=True)
     pair = np.zeros((k, k))
-    for t in range(steps - 1):
+    for t in range(steps - 1 if count else 0):
         joint = alpha[:, t, :, None] * a * (e[:, t + 1] * beta[:, t + 1])[:, None, :]
         joint /= joint.sum(axis=(1, 2), keepdims=True)
         pair += joint[mask[:, t + 1]].sum(axis=0)
@@ -78,7 +93,7 @@ def fit_crf(texts: list[str], langs: list[str], rounds: int = 3, rate: float = 0
     for _ in range(rounds if k > 1 else 0):
         for lo in range(0, len(data), 32):
             part = data[lo : lo + 32]
-            ids = [[feats[w] if w in feats else feats.setdefault(w, word_features(w)) for w in c] for c, _ in part]
+            ids = [[feats[w] if w in feats else feats.setdefault(w, np.array(word_features(w))) for w in c] for c, _ in part]
             flat = [f for c in ids for f in c]
             at, owner = np.concatenate(flat), np.repeat(np.arange(len(flat)), [len(f) for f in flat])
             vec = np.zeros((len(flat), k))
@@ -111,29 +126,43 @@ class Tagger:
     """Word posteriors; emissions of words seen before are kept in a bounded cache."""
 
     def __init__(self, model: dict, cache: int = 300_000):
-        self.model, self.cache, self.limit = model, {}, cache
-
-    def emissions(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        for w in set(words).difference(self.cache):
-            self.cache[w] = self.model["weights"][word_features(w)].sum(axis=0)
-        return [self.cache[w] for w in words]
+        self.model, self.limit = model, cache
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model["labels"])), np.float32)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, labels): rows of a table that grows by doubling and starts anew when over the limit."""
+        if len(self.rows) > self.limit:
+            self.rows.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if new:
+            at = [word_features(w) for w in new]
+            starts = np.cumsum([0, *map(len, at[:-1])])
+            while len(self.rows) + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            flat = np.fromiter(chain.from_iterable(at), np.int64)
+            self.table[len(self.rows) : len(self.rows) + len(new)] = np.add.reduceat(self.model["weights"][flat], starts)
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text the (words, labels) posteriors, in reading order."""
         k = len(self.model["labels"])
-        rows = [(d, c) for d, t in enumerate(texts) for c in chains(t)]
+        rows = [(d, c) for d, t in enumerate(texts) for c in chains(t) if c]
         out: list[list] = [[] for _ in texts]
-        done: dict[int, np.ndarray] = {}
+        done: list = [None] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i][1]))
-        for lo in range(0, len(order), 256):
-            pick = order[lo : lo + 256]
-            emit, mask = _pad([self.emissions(rows[i][1]) for i in pick], k)
-            post = forward_backward(emit, mask, self.model["trans"])[0]
-            done.update((i, post[j, : len(rows[i][1])]) for j, i in enumerate(pick))
-        for i, (d, _) in enumerate(rows):
-            out[d].append(done[i])
+        for lo in range(0, len(order), 1024):
+            pick = order[lo : lo + 1024]
+            sizes = np.array([len(rows[i][1]) for i in pick])
+            mask = np.arange(sizes[-1]) < sizes[:, None]
+            emit = np.zeros((*mask.shape, k))
+            emit[mask] = self.emissions([w for i in pick for w in rows[i][1]])
+            post = forward_backward(emit, mask, self.model["trans"], count=False)[0]
+            for j, i in enumerate(pick):
+                done[i] = post[j, : sizes[j]]
+        for (d, _), post in zip(rows, done, strict=True):
+            out[d].append(post)
         return [np.concatenate(o) if o else np.zeros((0, k)) for o in out]
 
 
@@ -144,8 +173,8 @@ def language_id(docs: DataFrame, model: dict) -> DataFrame:
     @F.pandas_udf("struct<lang_pred string, score double, word_langs map<string,int>>")
     def judge(batches: pd.Series) -> pd.DataFrame:
         tagger, labels, rows = _tagger(held), held.value["labels"], []
-        for lo in range(0, len(batches), 128):
-            for post in tagger.tag(list(batches.iloc[lo : lo + 128])):
+        for lo in range(0, len(batches), 512):
+            for post in tagger.tag(list(batches.iloc[lo : lo + 512])):
                 if not len(post) or not labels:
                     rows.append(("und", 0.0, {}))
                     continue
