@@ -148,6 +148,8 @@ class Tagger:
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text the (words, labels) posteriors, in reading order."""
         k = len(self.model["labels"])
+        if not k:  # nothing was learned
+            return [np.zeros((0, 0)) for _ in texts]
         rows = [(d, c) for d, t in enumerate(texts) for c in chains(t) if c]
         out: list[list] = [[] for _ in texts]
         done: list = [None] * len(rows)

@@ -155,6 +155,10 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post[0], want / total)
 
 
+def test_tagger_without_labels():
+    assert [p.shape for p in langid.Tagger(langid.fit_crf([], [])).tag(["some words", None])] == [(0, 0), (0, 0)]
+
+
 def test_transducer_round_trip_and_shortest_path():
     t = wfst.Transducer(wfst.read_vocabulary(wfst.default_vocabulary()))
     for text in ["", "a", " a  b ", "naïve ▁ meta", "日本語 🎉\n\ttab", "x" * 500, "� bad"]:
