@@ -1,11 +1,14 @@
-"""Exact Jaccard self-join of word-shingle sets: pivots, regions, triangle-inequality windows, recursion.
-
-Jaccard distance is a metric. A region is the set of documents that hold one shingle of the global order in their prefix
-(two sets with J >= t always share such a shingle). Its pivot splits it: documents within 1-t of the pivot link to it,
-and a pair can link only if the distances of the two to the pivot differ by at most 1-t. Documents whose window holds no
-undecided other leave; the boundary and the far part are joined again with a new pivot, until regions are small enough
-to compare directly. Pairs whose link is implied (both already in one component) are not compared, so a group of near
-copies costs a few pivots, not all its pairs.
+"""Exact Jaccard self-join of word-shingle sets: pivots, Voronoi regions, triangle-inequality windows, recursion.
+
+Jaccard distance is a metric. The first regions are the documents that hold one shingle of the global order in their
+prefix (two sets with J >= t always share such a shingle). A region over the leaf size is first split by one pivot, which
+settles a group of near copies. A region still over MAX_LEAF is then split by several pivots, again and again: a document
+is an inner member of its nearest pivot's region and an outer member of every region p with d(y,p) <= d(y,nearest) +
+2(1-t), for its links may be inner there. Pairs are compared where one of the two is inner and their distances to the
+region's pivot differ by at most 1-t. Members linked to the pivot leave when no other lies within 2(1-t) of it. Where a
+split would not halve the pairs left (unlinked documents are all about as far from each other), the region is compared
+whole in blocks, which is exact but quadratic. Pairs whose link is implied (both already in one component) are not
+compared, so a group of near copies costs a few pivots, not all its pairs.
 
 Equal sets are joined once and fan out at the end. Null, empty and word-free texts have the empty set and link with
 nothing, not even with each other. Repeated rows of one doc_id give repeated result rows. Columns beyond doc_id and
@@ -18,7 +21,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, table
@@ -26,7 +29,7 @@ from .common import WORD, materialise, table
 K, T = 5, 80
 LEAF, MAX_LEAF = 24, 512
 BUCKETS = 1 << 17
-MAX_ROUNDS = 200
+PIVOTS, BLOCK = 16, 256
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(WORD)
 
@@ -159,32 +162,75 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, leaf: int = LEAF) -> DataFrame:
+def blocked_links(rows: DataFrame, sets: DataFrame, t: int = T, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of whole regions: members fall in blocks by hash, and every pair of blocks is one group."""
+    blocks = F.ceil(F.col("n") / block)
+    spread = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    spread = spread.select("cell", "pv", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "label", "inner", "gap").join(sets, "id")
+    reach = 1 - t / 100 + 1e-9
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        left = np.flatnonzero(part["mine"] == part["lo"])
+        right = np.flatnonzero(part["mine"] == part["hi"])
+        ids, label, inner, gap = (part[c].to_numpy() for c in ("id", "label", "inner", "gap"))
+        size = part["shingles"].map(len).to_numpy()
+        codes = np.unique(np.concatenate(list(part["shingles"])), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = np.concatenate([codes[at[j] : at[j + 1]] for j in right]) if len(right) else codes[:0]
+        starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        seen = np.zeros(codes.max() + 1, bool)
+        out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in left if len(right) else []:
+            mine = codes[at[i] : at[i + 1]]
+            seen[mine] = True
+            common = np.add.reduceat(seen[flat], starts, dtype=np.int64)
+            seen[mine] = False
+            ok = (100 * common >= t * (size[i] + size[right] - common)) & (label[right] != label[i]) & (ids[right] != ids[i])
+            ok &= (inner[right] | inner[i]) & (np.abs(gap[right] - gap[i]) <= reach)
+            hit = ids[right[ok]]
+            out.append((np.minimum(hit, ids[i]), np.maximum(hit, ids[i])))
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+
+    return spread.groupBy("cell", "pv", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
+def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, leaf: int = LEAF, max_leaf: int = MAX_LEAF) -> DataFrame:
     """Links (a, b) among documents of distinct sets (id, text) that give the same components as all links do."""
-    alive = materialise(prefix_postings(texts, order, t, k))
+    reach = 1 - t / 100 + 1e-9
+    key = ["cell", "pv"]
+    alive = prefix_postings(texts, order, t, k).withColumnRenamed("shingle", "cell")
+    # pv is the pivot of a member's region, gap the member's distance to it; before the first pivot all are 0.
+    alive = materialise(alive.withColumns({"pv": F.lit(0).cast("long"), "inner": F.lit(True), "gap": F.lit(0.0)}))
     sets = None
     edges = None
     label = None
-    for turn in range(MAX_ROUNDS):
+    turn = 0
+    while True:
         # What pivots leave undecided is mostly settled pairs, so later turns compare larger regions directly.
-        small_at = min(leaf << min(turn, 10), max(leaf, MAX_LEAF))
+        small_at = min(leaf << min(turn, 10), max(leaf, max_leaf))
         rows = alive
         if label is None:
             rows = rows.withColumn("label", F.col("id"))
         else:
             rows = rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        rank = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"))
-        regions = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(rank)["p"].alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        regions = regions.filter("n > 1 and l0 < l1").select("shingle", "n", "pivot")
-        rows = materialise(rows.join(regions, "shingle"))
-        if not rows.limit(1).count():
+        regions = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("some"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        regions = regions.filter("n > 1 and some and l0 < l1").select(*key, "n")
+        rows = materialise(rows.join(regions, key))
+        largest = rows.agg(F.max("n")).first()[0]
+        if largest is None:
             break
-        small = rows.filter(F.col("n") <= small_at).select("shingle", "id", "label", "n_set")
-        other = small.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_set").alias("nb"))
-        direct = small.join(other, "shingle").filter("id < b and label <> lb").filter(100 * F.least("n_set", "nb") >= t * F.greatest("n_set", "nb")).select(F.col("id").alias("a"), "b")
-        large = rows.filter(F.col("n") > small_at)
-        star = large.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        pairs = materialise(direct.union(star).distinct())
+        several = turn > 0 and largest > max(leaf, max_leaf)
+        small = rows.filter(F.col("n") <= small_at).select(*key, "id", "label", "n_set", "inner", "gap")
+        other = small.select(*key, F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_set").alias("nb"), F.col("inner").alias("ib"), F.col("gap").alias("gb"))
+        direct = small.join(other, key).filter("id < b and label <> lb and (inner or ib)").filter(100 * F.least("n_set", "nb") >= t * F.greatest("n_set", "nb"))
+        direct = direct.filter(F.abs(F.col("gap") - F.col("gb")) <= reach).select(F.col("id").alias("a"), "b")
+        large = rows.filter(F.col("n") > small_at).drop("gap", "label")
+        # One pivot in the first turn and in regions that later turns compare directly, else several.
+        count = F.when(F.col("n") > max(leaf, max_leaf), F.least(F.greatest(F.col("n") / 128, F.lit(2)), F.lit(PIVOTS)).cast("int")).otherwise(1) if several else F.lit(1)
+        rank = F.xxhash64(F.lit(turn), "id")
+        pivots = large.groupBy(*key, F.pmod(rank, count).alias("slot")).agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("p")))["p"].alias("pivot")).drop("slot")
+        star = large.join(pivots, key).filter("id <> pivot")
+        pairs = materialise(direct.union(star.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct())
         if sets is None:  # only documents that meet another in a region need their sets
             met = (pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id"))).distinct()
             sets = materialise(shingle_sets(texts.join(met, "id"), k))
@@ -192,26 +238,39 @@ def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, l
         links = known.filter(linked(t)).select("a", "b")
         edges = materialise(links if edges is None else edges.union(links))
         label = components(edges)
-        # Windows: gap d = 1 - common/union to the pivot, in whole units of (1-t)/4 rounded so that no link is lost.
         gap = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
         near = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), gap.alias("gap"), linked(t).alias("hit"))
-        rest = large.join(near, ["id", "pivot"]).drop("label").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # Pivots are compared with their whole region, so they leave.
+        rest = star.join(pivots.select(*key, F.col("pivot").alias("id")), [*key, "id"], "left_anti") if several else star
+        rest = rest.join(near, ["id", "pivot"])
+        if several:
+            home = F.min(F.struct("gap", "pivot")).over(Window.partitionBy(*key, "id"))
+            rest = rest.withColumn("home", home).filter(F.col("gap") <= F.col("home.gap") + 2 * reach)
+            rest = rest.withColumn("inner", F.col("inner") & (F.col("pivot") == F.col("home.pivot"))).drop("home")
         # A linked member stays only while its region has a boundary document (gap in (1-t, 2(1-t)]).
-        edge = rest.groupBy("shingle").agg(F.max((~F.col("hit") & (F.col("gap") <= 2 * (1 - t / 100) + 1e-9)).cast("int")).alias("edge"))
-        rest = rest.join(edge, "shingle").filter("not hit or edge = 1")
-        alive = materialise(rest.select("shingle", "id", "n_set"))
-    else:
-        raise RuntimeError(f"regions left after {MAX_ROUNDS} pivots")
+        edge = rest.groupBy(*key, "pivot").agg(F.max((~F.col("hit") & (F.col("gap") <= 2 * reach)).cast("int")).alias("edge"))
+        rest = rest.join(edge, [*key, "pivot"]).filter("not hit or edge = 1")
+        if several:
+            rest = materialise(rest)
+            made = rest.groupBy(*key, "pivot", "n").agg(F.count(F.lit(1)).cast("double").alias("m"))
+            made = made.filter(F.col("n") > max(leaf, max_leaf)).groupBy(*key, "n").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+            whole = materialise(made.filter(F.col("cost") * 2 > F.col("n") * F.col("n").cast("double")).select(*key))
+            stuck = rows.drop("label").join(whole, key).join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            edges = materialise(edges.union(blocked_links(stuck, sets, t)))
+            label = components(edges)
+            rest = rest.join(whole, key, "left_anti")
+        alive = materialise(rest.select(F.xxhash64(F.lit(turn), "cell", "pv", "pivot").alias("cell"), F.col("pivot").alias("pv"), "id", "n_set", "inner", "gap"))
+        turn += 1
     return edges if edges is not None else texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
 
-def jaccard_components(docs: DataFrame, t: int = T, k: int = K, leaf: int = LEAF) -> DataFrame:
+def jaccard_components(docs: DataFrame, t: int = T, k: int = K, leaf: int = LEAF, max_leaf: int = MAX_LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     survey = materialise(survey_sets(docs, k))
     members = survey.filter("g < 0").select("doc_id", "n_shingles", "set_key")
     reps = materialise(members.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(reps.select("id").distinct(), "id")
-    edges = jaccard_links(texts, class_order(survey), t, k, leaf)
+    edges = jaccard_links(texts, class_order(survey), t, k, leaf, max_leaf)
     label = components(edges)
     classes = reps.join(label, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
     return members.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -67,6 +67,29 @@ def test_jaccard_equals_brute_force(spark, docs, leaf):
     assert got == want
 
 
+def unlinked(n, groups):
+    """n documents that share a prefix shingle and hardly link: each begins with its group's words, all with the same five."""
+    out = []
+    for v in range(n):
+        g = v % groups
+        own = [f"o{v}_{j}" for j in range(20)]
+        out.append((v, " ".join(["s0", "s1", "s2", "s3", "s4", *(f"g{g}_{j}" for j in range(24)), *(own if v % 5 else own[:2])])))
+    return out
+
+
+@pytest.mark.parametrize("groups", [4, 90])
+def test_jaccard_splits_and_blocks_regions_of_unlinked_documents(spark, monkeypatch, groups):
+    rows = unlinked(90, groups)
+    calls = []
+    real = jaccard.blocked_links
+    monkeypatch.setattr(jaccard, "components", lambda e, real=jaccard.components: calls.append(1) or real(e))
+    monkeypatch.setattr(jaccard, "blocked_links", lambda r, s, t: real(r, s, t, block=16))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, leaf=4, max_leaf=8).collect()}
+    assert got == brute_components(rows)
+    assert len(calls) < 16  # one pivot a turn takes some 80 turns
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = sorted(tuple(r) for r in jaccard.jaccard_components(odd).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 7, 6), (6, 7, 6)]
