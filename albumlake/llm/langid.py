@@ -169,23 +169,27 @@ class Tagger:
 
 
 def language_id(docs: DataFrame, model: dict) -> DataFrame:
-    """docs plus lang_pred, score and word_langs (words per language, by each word's most likely label)."""
+    """docs plus lang_pred, score, word_langs (words per language, by each word's most likely label) and certainty.
+
+    certainty is the mean of the words' greatest posteriors: high for code-switched text too, whose score is low, and
+    low for words of no learned language. With one learned language it is always 1.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred string, score double, word_langs map<string,int>>")
+    @F.pandas_udf("struct<lang_pred string, score double, word_langs map<string,int>, certainty double>")
     def judge(batches: pd.Series) -> pd.DataFrame:
         tagger, labels, rows = _tagger(held), held.value["labels"], []
         for lo in range(0, len(batches), 512):
             for post in tagger.tag(list(batches.iloc[lo : lo + 512])):
                 if not len(post) or not labels:
-                    rows.append(("und", 0.0, {}))
+                    rows.append(("und", 0.0, {}, 0.0))
                     continue
                 mean, best = post.mean(axis=0), np.bincount(post.argmax(axis=1), minlength=len(labels))
-                rows.append((labels[int(mean.argmax())], min(float(mean.max()), 1.0), {x: int(n) for x, n in zip(labels, best, strict=True) if n}))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "word_langs"])
+                rows.append((labels[int(mean.argmax())], min(float(mean.max()), 1.0), {x: int(n) for x, n in zip(labels, best, strict=True) if n}, min(float(post.max(axis=1).mean()), 1.0)))
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "word_langs", "certainty"])
 
     made = docs.withColumn("_lid", judge("text"))
-    return made.select(*docs.columns, "_lid.lang_pred", "_lid.score", "_lid.word_langs")
+    return made.select(*docs.columns, "_lid.lang_pred", "_lid.score", "_lid.word_langs", "_lid.certainty")
 
 
 _held: list = []

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from albumlake.llm import htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst
 
 DATA = "/root/testdata/sf0.01"
@@ -165,6 +166,31 @@ def test_language_held_out(docs, odd):
     assert got[1] == got[2] == got[3] == "und" and got[4] != "und"
 
 
+UNLEARNED = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swojej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "xqzjk vwbpf zzkqx jxvbq wqpfk kzxjv qqvwb pfxzj kjqwx vbzpf xkqjz",
+]
+
+
+def test_language_stage_decides_by_the_model(spark, docs):
+    some = docs.select("doc_id", "text", "lang")
+    en, fr = ([r["text"] for r in some.filter(f"lang = '{x}'").orderBy("doc_id").limit(3).collect()] for x in ("en", "fr"))
+    mixed = [(2_000_000 + i, f"{a[:600]}\n{b[:600]}", None) for i, (a, b) in enumerate(zip(en, fr, strict=True))]
+    bad = [(1_000_000 + i, t, None) for i, t in enumerate(UNLEARNED)]
+    both = some.union(spark.createDataFrame(bad + mixed, some.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, both, DATA).select("doc_id").collect()}
+    assert not kept & {i for i, *_ in bad}
+    assert kept >= {i for i, *_ in mixed}
+    clean = {r["doc_id"] for r in some.filter(F.col("text").rlike("[a-zA-Z]")).select("doc_id").collect()}
+    assert len(kept & clean) >= 0.99 * len(clean)
+
+
+def test_language_stage_keeps_all_when_nothing_is_learned(spark, odd):
+    assert corpus_pipeline.language_stage(spark, odd, DATA).count() == len(ODD)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     emit, trans = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
