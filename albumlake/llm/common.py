@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word pattern of every contract: anything but space and the ASCII controls 9 to 13.
@@ -53,3 +53,43 @@ def crc_mod(col, m: int) -> F.Column:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows, chosen by hash order of the key: a top-k, so every task keeps at most `rows` rows."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def excerpt(text, chars: int, pieces: int = 8) -> F.Column:
+    """The whole text up to `chars` characters, else `pieces` equal pieces spread evenly from its start to its end."""
+    text, size = F.col(text), chars // pieces
+    at = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.floor(i * (F.length(text) - size) / (pieces - 1)).cast("int") + 1)
+    spread = F.concat_ws("\n", F.transform(at, lambda a: F.substring(text, a, F.lit(size))))
+    return F.when(F.length(text) <= chars, text).otherwise(spread)
+
+
+def quotas(counts: list[int], rows: int) -> list[int]:
+    """Rows to draw per stratum: half of `rows` in equal shares, half in proportion, what small strata lack goes to others."""
+    got, left = [0] * len(counts), min(rows, sum(counts))
+    while left:
+        room = [i for i, c in enumerate(counts) if got[i] < c]
+        rest = sum(counts[i] - got[i] for i in room)
+        give = [min(counts[i] - got[i], int(left / 2 / len(room) + left / 2 * (counts[i] - got[i]) / rest)) for i in room]
+        if not sum(give):
+            give = [int(k < left) for k in range(len(room))]
+        for i, g in zip(room, give, strict=True):
+            got[i] += g
+        left -= sum(give)
+    return got
+
+
+def stratified_sample(df: DataFrame, key: str, rows: int, label: str | None = None) -> DataFrame:
+    """At most `rows` rows, drawn by hash of the key within each label, in quotas() of the label's count.
+
+    Rows are counted first, so about 1.5 times the sample passes a hash threshold and is sent at all. Of more labels than
+    `rows`, the most frequent take part.
+    """
+    by = F.col(label).cast("string") if label else F.lit("")
+    counts = df.groupBy(by.alias("_l")).count().filter("_l is not null").orderBy(F.desc("count"), "_l").limit(rows).collect()
+    take = quotas([r["count"] for r in counts], rows)
+    plan = [(r["_l"], q, (1.5 * q + 20) / r["count"]) for r, q in zip(counts, take, strict=True)]
+    plan = df.sparkSession.createDataFrame(plan, "_l string, _q int, _share double")
+    h = F.xxhash64(key)
+    near = df.withColumn("_l", by).join(F.broadcast(plan), "_l").filter(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < F.col("_share"))
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy(F.pmod(h, F.lit(1 << 30)), h, key)))
+    return near.filter(F.col("_n") <= F.col("_q")).select(*df.columns)

@@ -1,9 +1,10 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded from the root down.
 
-The trees are trained on a bounded sample of pages' nodes (SAMPLE_PAGES), taught by the pages' own markup: nodes below
+The trees are trained on a bounded sample (SAMPLE_PAGES pages of any length, SAMPLE_NODES nodes spread over each), taught by the pages' own markup: nodes below
 article or main are text, and nodes below nav, header, footer, aside, forms or elements named as advert, comment, menu,
 notice and the like are not. Decoding goes from the root: a node that the model rejects takes its whole subtree with
-it, so an accepted node never hangs below a rejected one. Null and empty html give an empty text.
+it, so an accepted node never hangs below a rejected one. Null and empty html give an empty text. Without trees (no pages, or
+nodes of one kind only) the markup rule itself decides.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import quotas, stratified_sample, table
 
-SAMPLE_PAGES, SAMPLE_CHARS = 300, 50_000
+SAMPLE_PAGES, SAMPLE_NODES = 300, 400
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style head title template noscript iframe svg math textarea select button form object canvas audio video".split())
@@ -174,16 +175,30 @@ def tree_values(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, j] <= cut, tree_values(low, x), tree_values(high, x))
 
 
+def page_examples(html: str | None, nodes: int = SAMPLE_NODES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a page's taught nodes, at most `nodes`: quotas() of each label, spread evenly over the page."""
+    order = measure(parse(html))
+    known = [(n, label, s) for n, label, s in zip(order, taught(order), sibling_counts(order), strict=True) if label is not None and n.tag not in SILENT]
+    if len(known) > nodes:
+        kinds = [[k for k in known if k[1] == label] for label in (0, 1)]
+        known = [k[i] for k, q in zip(kinds, quotas([len(k) for k in kinds], nodes), strict=True) for i in np.linspace(0, len(k) - 1, q).astype(int)]
+    x = np.array([features(n, order[0].chars, s) for n, _, s in known], np.float32)
+    return x.reshape(len(known), -1), np.array([label for _, label, _ in known], np.float32)
+
+
 def fit_extractor(pages: DataFrame) -> dict:
-    rows = bounded_sample(pages.select("page_id", "html").filter(F.length("html") <= SAMPLE_CHARS), "page_id", SAMPLE_PAGES).collect()
-    x, y = [], []
-    for r in rows:
-        order = measure(parse(r["html"]))
-        for n, label, siblings in zip(order, taught(order), sibling_counts(order), strict=True):
-            if label is not None and n.tag not in SILENT:
-                x.append(features(n, order[0].chars, siblings))
-                y.append(label)
-    return fit_trees(np.array(x, float).reshape(len(y), -1), np.array(y, float))
+    """Pages of every length take part; their nodes' features are made on the executors, not the driver."""
+    width = len(features(Node("p"), 1, (0, 0)))
+
+    def run(batches):
+        for b in batches:
+            made = [page_examples(h) for h in b["html"]]
+            yield pd.DataFrame({"page_id": b["page_id"], "x": [x.tobytes() for x, _ in made], "y": [y.tobytes() for _, y in made]})
+
+    sample = stratified_sample(pages.select("page_id", "html").filter("html is not null"), "page_id", SAMPLE_PAGES)
+    rows = sorted(sample.mapInPandas(run, "page_id long, x binary, y binary").collect(), key=lambda r: (r["page_id"], r["x"]))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, width).astype(float)
+    return fit_trees(x, np.frombuffer(b"".join(bytes(r["y"]) for r in rows), np.float32).astype(float))
 
 
 def extract_all(htmls: list[str | None], model: dict) -> list[str]:
@@ -192,7 +207,10 @@ def extract_all(htmls: list[str | None], model: dict) -> list[str]:
     if not orders:
         return []
     x = np.array([features(n, o[0].chars, s) for o in orders for n, s in zip(o, sibling_counts(o), strict=True)], float)
-    score = model["base"] + sum(tree_values(t, x) for t in model["trees"]) if model["trees"] else np.zeros(len(x))
+    if model["trees"]:
+        score = model["base"] + sum(tree_values(t, x) for t in model["trees"])
+    else:  # nothing was learned: the markup itself decides
+        score = np.array([-1.0 if label == 0 else 0.0 for o in orders for label in taught(o)])
     ends = np.cumsum([len(o) for o in orders])
     return [decode(o, score[e - len(o) : e]) for o, e in zip(orders, ends, strict=True)]
 

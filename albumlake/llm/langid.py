@@ -2,7 +2,8 @@
 
 Features of a word: affixes of 1 to 3 letters, character trigrams, and the word itself (lexicon). Chains are lines; a
 long line is cut every CHAIN words. Null texts and texts without a letter are `und` with score 0; so is everything when
-nothing can be learned. The fit uses at most SAMPLE_ROWS rows of at most SAMPLE_CHARS characters (a documented bound).
+nothing can be learned. The fit uses at most SAMPLE_ROWS rows of any length, drawn per language, and of a longer row
+SAMPLE_CHARS characters in pieces spread over the whole text (a documented bound).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, table
+from .common import crc_mod, excerpt, stratified_sample, table
 
 SAMPLE_ROWS, SAMPLE_CHARS, CHAIN, DIM = 600, 8000, 64, 1 << 16
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -117,8 +118,9 @@ def fit_crf(texts: list[str], langs: list[str], rounds: int = 3, rate: float = 0
 
 
 def fit_language_id(docs: DataFrame) -> dict:
-    known = docs.filter((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    got = bounded_sample(known.select("doc_id", "text", "lang"), "doc_id", SAMPLE_ROWS).collect()
+    known = docs.filter((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    got = stratified_sample(known.select("doc_id", excerpt("text", SAMPLE_CHARS).alias("text"), "lang"), "doc_id", SAMPLE_ROWS, "lang")
+    got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit_crf([r["text"] for r in got], [r["lang"] for r in got])
 
 

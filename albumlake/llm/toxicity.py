@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentence probabilities combined by noisy-or, trained from document labels.
 
 Null and empty texts have no sentence and score 0. Without usable labels every text scores 0. Equal texts score equally.
-The fit uses at most SAMPLE_ROWS labelled documents of at most SAMPLE_CHARS characters each (a documented bound of the
-classifier's sample); scoring reads whole texts.
+The fit uses at most SAMPLE_ROWS labelled documents of any length, drawn per label, and of a longer one SAMPLE_CHARS
+characters in pieces spread over the whole text (a documented bound of the classifier's sample); scoring reads whole
+texts.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod, table
+from .common import bounded_sample, crc_mod, excerpt, stratified_sample, table
 
-SAMPLE_ROWS, SAMPLE_CHARS, MIN_DOCS = 4000, 20_000, 4
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES, MIN_DOCS = 4000, 20_000, 20, 4
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -76,8 +77,8 @@ def noisy_or(scores: list[float]) -> float:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
     """Fit on labelled rows outside the held-out third; the sample is collected, its size bounded by the two limits."""
     known = labels.filter(crc_mod("doc_id", 3) != 1).filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = bounded_sample(known, "doc_id", SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
+    known = stratified_sample(known, "doc_id", SAMPLE_ROWS, "toxic")
+    rows = docs.select("doc_id", excerpt("text", SAMPLE_CHARS, PIECES).alias("text")).filter("text is not null").join(F.broadcast(known), "doc_id")
     got = bounded_sample(rows, "doc_id", SAMPLE_ROWS).collect()
     return fit_noisy_or([r["text"] for r in got], [int(r["toxic"]) for r in got])
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from albumlake.llm import htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst
+from albumlake.llm import common, htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst
 
 DATA = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "one two"), (6, "a b c d e f g " * 2000), (6, "a b c d e f g " * 2000)]
@@ -191,6 +191,29 @@ def test_language_stage_keeps_all_when_nothing_is_learned(spark, odd):
     assert corpus_pipeline.language_stage(spark, odd, DATA).count() == len(ODD)
 
 
+def test_fits_learn_from_long_rows_only(spark, docs):
+    joined = F.array_join(F.array_repeat("text", 30), "\n")
+    long = docs.filter(F.length("text") > 1000).withColumn("text", joined)
+    model = langid.fit_language_id(long)
+    assert model["labels"] == ["de", "en", "es", "fr"]
+    rows = [(i, f"Fine words {i % 7} here. " * 1500 + ("You are an idiot. " * 1500 if i % 2 else "") , i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fitted = toxicity.fit_toxicity(df.drop("toxic"), df.drop("text"))
+    assert fitted["weights"].get("idiot", 0) > 1
+    page = "<html><body><nav><a href=x>Home</a></nav><article>" + "<p>A paragraph of the text.</p>" * 3000 + "</article></body></html>"
+    pages = spark.createDataFrame([(i, page) for i in range(5)], "page_id long, html string")
+    assert htmltree.fit_extractor(pages)["trees"]
+    empty = htmltree.fit_extractor(pages.limit(0))
+    assert not empty["trees"] and htmltree.extract("<body><nav>Home</nav><p>Text</p></body>", empty) == "Text"
+
+
+def test_sample_is_stratified(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 20, "rare").otherwise("common").alias("lang"))
+    got = {r["lang"]: r["count"] for r in common.stratified_sample(df, "id", 100, "lang").groupBy("lang").count().collect()}
+    assert got == {"common": 80, "rare": 20}
+    assert common.quotas([5, 10], 100) == [5, 10] and sum(common.quotas([3, 1000, 7], 50)) == 50
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(3)
     emit, trans = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
