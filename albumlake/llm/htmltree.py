@@ -1,8 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded from the root down.
 
 The trees are trained on a bounded sample (SAMPLE_PAGES pages of any length, SAMPLE_NODES nodes spread over each), taught by the pages' own markup: nodes below
-article or main are text, and nodes below nav, header, footer, aside, forms or elements named as advert, comment, menu,
-notice and the like are not. Decoding goes from the root: a node that the model rejects takes its whole subtree with
+article or main are text; nodes outside them on a page that has one, and nodes below nav, header, footer, aside, forms
+or elements named as advert, comment, menu, notice and the like are not; other nodes teach nothing. Decoding goes from the root: a node that the model rejects takes its whole subtree with
 it, so an accepted node never hangs below a rejected one. Null and empty html give an empty text. Without trees (no pages, or
 nodes of one kind only) the markup rule itself decides.
 """
@@ -128,7 +128,11 @@ def features(n: Node, page_chars: int, siblings: tuple[int, int]) -> list[float]
 
 
 def taught(order: list[Node]) -> list[int | None]:
-    """1 text, 0 not text, None not known, from the page's own markup."""
+    """1 text, 0 not text, None not known, from the page's own markup.
+
+    On a page with a usable article or main, nodes outside it are not text; the elements that lead to it are taught as 1,
+    for decoding must pass them, but hand nothing down. Elsewhere unnamed nodes are not known.
+    """
     out: dict[int, int | None] = {}
     for n in order:
         above = out.get(id(n.parent)) if n.parent else None
@@ -137,10 +141,27 @@ def taught(order: list[Node]) -> list[int | None]:
         elif above is not None:
             out[id(n)] = above
         else:
-            out[id(n)] = 1 if n.tag in ("article", "main", "html", "body", "root") else None
+            out[id(n)] = 1 if n.tag in ("article", "main") else None
+    lead = leading([n for n in order if out[id(n)] == 1 and n.tag in ("article", "main")])
+    top = ("root", "html", "body")
+    if lead:
+        for n in order:
+            if out[id(n)] is None and n.tag not in top:
+                out[id(n)] = int(id(n) in lead)
     return [out[id(n)] for n in order]
 
 
+def leading(nodes: list[Node]) -> set[int]:
+    """ids of the nodes' ancestors."""
+    lead: set[int] = set()
+    for n in nodes:
+        up = n.parent
+        while up and id(up) not in lead:
+            lead.add(id(up))
+            up = up.parent
+    return lead
+
+
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16) -> dict:
     """Second-order boosting of the logistic loss; splits are searched over quantile bins."""
     base = float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))) if len(y) else 0.0
@@ -222,8 +243,19 @@ def extract(html: str | None, model: dict) -> str:
 def decode(order: list[Node], score: np.ndarray) -> str:
     """Text of the accepted nodes, from the root down."""
     root = order[0]
-    # Wrappers between the root and the content carry no decision; below them a rejected node ends its subtree.
-    keep = {id(n): n.tag not in SILENT and (s >= 0 or n.tag in ("root", "html", "body") or n.tag in INLINE or n.tag == "br") for n, s in zip(order, score, strict=True)}
+    accepted = {id(n): n.tag not in SILENT and s >= 0 for n, s in zip(order, score, strict=True)}
+    # Wrappers that lead to an accepted article or main carry no decision, nor do plain inline elements; elsewhere a
+    # rejected node ends its subtree.
+    lead = leading([n for n in order if n.tag in ("article", "main") and accepted[id(n)]])
+
+    def passes(n: Node) -> bool:
+        if n.tag in ("root", "html", "body", "br"):
+            return True
+        if n.tag in INLINE:
+            return not n.attrs and all(isinstance(c, str) or c.tag in INLINE or c.tag in VOID for c in n.children)
+        return id(n) in lead and n.tag not in ("nav", "header", "footer", "aside")
+
+    keep = {id(n): n.tag not in SILENT and (accepted[id(n)] or passes(n)) for n in order}
     blocks, line = [], []
 
     def flush():

@@ -282,3 +282,16 @@ def test_html_extraction(spark):
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>First  long paragraph of text.<p>Second.</article><footer>foot</footer></body></html>"
     assert htmltree.extract(page, model) == "A & B\nFirst long paragraph of text.\nSecond."
     assert htmltree.extract(None, model) == "" and htmltree.extract("<p", model) == ""
+
+
+def test_html_boilerplate_without_names_outside_the_article(spark):
+    def page(i, n):
+        links = "".join(f"<li><a href=x>Go {i} {j}</a></li>" for j in range(3 + i % 4))
+        text = "".join(f"<p>Paragraph {j} of page {i} <span class=q>holds</span> a few more words of the story.</p>" for j in range(n))
+        return f"<html><body><div class=wrap><div class=x{i}><ul>{links}</ul></div><article><h1>Title {i}</h1>{text}</article><div class=y{i}><span class=z>Short note {i}</span></div></div></body></html>"
+
+    pages = spark.createDataFrame([(i, page(i, 2 + i % 5)) for i in range(40)], "page_id long, html string")
+    text = htmltree.extract(page(99, 3), htmltree.fit_extractor(pages))
+    assert text.split("\n") == ["Title 99", *(f"Paragraph {j} of page 99 holds a few more words of the story." for j in range(3))]
+    plain = htmltree.measure(htmltree.parse("<html><body><div><p>Text</p></div></body></html>"))
+    assert htmltree.taught(plain) == [None] * len(plain)
