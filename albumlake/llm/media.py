@@ -103,9 +103,8 @@ def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, spec: AudioSpec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (log-mel frames, frame energies in dB); a signal shorter than a frame is padded to one."""
-    if len(x) < spec.frame:
-        x = np.pad(x, (0, spec.frame - len(x)))
+    """Blocks of (log-mel frames, frame energies in dB); the signal is padded to a frame and whole hops."""
+    x = np.pad(x, (0, spec.frame - len(x) if len(x) < spec.frame else -(len(x) - spec.frame) % spec.hop))
     frames = np.lib.stride_tricks.sliding_window_view(x, spec.frame)[:: spec.hop]
     window, bank = np.hanning(spec.frame), mel_bank(spec.target_rate, spec.n_fft, spec.n_mels)
     for lo in range(0, len(frames), spec.chunk_frames):
@@ -153,9 +152,28 @@ def tensor_array(tensors: list[np.ndarray], spec: AudioSpec):
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, spec.tensor_frames * spec.n_mels))
 
 
+def tensor_bytes(tensors: list[np.ndarray], spec: AudioSpec) -> bytes:
+    """The stored form: an Arrow IPC stream of one fixed-shape tensor column."""
+    import pyarrow as pa
+
+    batch = pa.record_batch([tensor_array(tensors, spec)], names=["tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(blob: bytes) -> np.ndarray:
+    """(tensors, tensor_frames, n_mels) of tensor_bytes()."""
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(blob) as stream:
+        return stream.read_all()["tensor"].combine_chunks().to_numpy_ndarray()
+
+
 AUDIO_SCHEMA = """doc_id long, media binary, payload binary, n_bytes long,
 tensors array<struct<start_ms double, end_ms double, frames int, tensor array<float>>>,
-segments array<struct<start_ms double, end_ms double>>"""
+segments array<struct<start_ms double, end_ms double>>, tensor_arrow binary"""
 
 
 def _decoded(texts: pd.Series, spec: AudioSpec):
@@ -173,7 +191,7 @@ def audio_features(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
             for lo in range(0, len(b), 64):
                 part = b.iloc[lo : lo + 64]
                 n, media, payload, tensors, segments = zip(*_decoded(part["text"], spec), strict=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "media": media, "payload": payload, "n_bytes": n, "tensors": tensors, "segments": segments})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "media": media, "payload": payload, "n_bytes": n, "tensors": tensors, "segments": segments, "tensor_arrow": [tensor_bytes([t["tensor"] for t in ts], spec) for ts in tensors]})
 
     return docs.select("doc_id", "text").mapInPandas(run, AUDIO_SCHEMA)
 
@@ -186,8 +204,8 @@ def audio_digest(docs: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
             rows = []
             for doc_id, (n, media, payload, tensors, segments) in zip(b["doc_id"], _decoded(b["text"], spec), strict=True):
                 quant = hashlib.sha256()
-                for t in tensors:
-                    quant.update(np.round(t["tensor"] * 16).astype("<i2").tobytes())
+                stored = read_tensors(tensor_bytes([t["tensor"] for t in tensors], spec))
+                quant.update(np.round(stored * 16).astype("<i2").tobytes())
                 feature = f"{sum(t['frames'] for t in tensors)}:{len(tensors)}:{len(segments)}:{quant.hexdigest()[:32]}"
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

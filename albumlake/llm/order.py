@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shared_dir, table
 from .wfst import _transducer, default_vocabulary, read_vocabulary
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 512, 4096, 2026, 6
@@ -60,8 +60,8 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, seq_no int, ids binary")
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
-    """One row per sequence, sorted in range partitions by slot: slot, shard, offset (bytes in the shard), doc_id, seq_no, ids.
+def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> tuple[DataFrame, int]:
+    """One row per sequence, in no order: slot, shard, offset (bytes in the shard), doc_id, seq_no, ids; and their number.
 
     A dense index comes from the written table: rows are counted per hash cell (a bounded number of cells), and a row's
     place within its cell is a window over that cell only.
@@ -81,13 +81,54 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
 
     slots = indexed.select("_u", slot("_index").alias("slot"))
     out = made.join(slots, "_u").select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "seq_no", "ids")
-    return out.repartitionByRange(max(-(-total // per_shard), 1) if total < per_shard * 10_000 else 10_000, "slot").sortWithinPartitions("slot")
+    return out, total
+
+
+def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
+    """slotted() rows, sorted in range partitions by slot."""
+    out, total = slotted(docs, length, per_shard, seed, vocabulary)
+    return out.repartitionByRange(max(min(-(-total // per_shard), 10_000), 1), "slot").sortWithinPartitions("slot")
+
+
+SHARDS = "shard long, n int, stride int, data binary, doc_ids array<long>, seq_nos array<int>"
+
+
+def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
+    """One file per shard, path/shard=N/, whose `data` is the shard's ids at their offsets, 2 * length bytes apart.
+
+    Every shard is written by one task, and Spark writes the files, so the folder may be anywhere Spark can write.
+    """
+    stride = 2 * length
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": part["shard"].iloc[:1], "n": len(part), "stride": stride, "data": b"".join(part["ids"]), "doc_ids": [part["doc_id"].to_numpy()], "seq_nos": [part["seq_no"].to_numpy()]})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []  # the open shard's rows: one shard at most
+        for b in batches:
+            for shard, part in b.groupby("shard", sort=True):
+                if held and held[0]["shard"].iloc[0] != shard:
+                    yield pack(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield pack(pd.concat(held, ignore_index=True))
+
+    parts = rows.repartition(max(min(-(-total // per_shard), 10_000), 1), "shard").sortWithinPartitions("shard", "slot")
+    parts.select("shard", "doc_id", "seq_no", "ids").mapInPandas(run, SHARDS).write.partitionBy("shard").parquet(path)
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Slot-ordered files whose `ids` have one stride; a reader resumes at slot s from shard s // per_shard."""
-    ordered.write.parquet(path)
+def read_shards(spark: SparkSession, path: str, start: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """Rows from slot `start` on: earlier shards' files are not opened, and ids are cut from the data by offset."""
+    files = spark.read.schema(SHARDS).parquet(path).filter(F.col("shard") >= start // per_shard)
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+        (F.col("shard") * per_shard + i).alias("slot"), F.col("shard"), (i * F.col("stride")).cast("long").alias("offset"),
+        F.get("doc_ids", i).alias("doc_id"), F.get("seq_nos", i).alias("seq_no"), F.substring("data", i * F.col("stride") + 1, F.col("stride")).alias("ids"),
+    ))
+    return files.select(F.inline(cut)).filter(F.col("slot") >= start)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir, "documents"))
+    path = shared_dir(spark)
+    write_shards(*slotted(table(spark, sf_dir, "documents")), path)
+    return read_shards(spark, path)

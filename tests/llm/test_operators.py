@@ -295,3 +295,24 @@ def test_html_boilerplate_without_names_outside_the_article(spark):
     assert text.split("\n") == ["Title 99", *(f"Paragraph {j} of page 99 holds a few more words of the story." for j in range(3))]
     plain = htmltree.measure(htmltree.parse("<html><body><div><p>Text</p></div></body></html>"))
     assert htmltree.taught(plain) == [None] * len(plain)
+
+
+def test_shards_resume(spark, odd, tmp_path):
+    rows, total = order.slotted(odd, length=64, per_shard=8)
+    want = sorted(tuple(r) for r in order.training_order(odd, length=64, per_shard=8).collect())
+    path = f"file://{tmp_path}/shards"
+    order.write_shards(rows, total, path, length=64, per_shard=8)
+    assert len(list(tmp_path.glob("shards/shard=*/*.parquet"))) == -(-total // 8) > 2
+    for start in (0, 8, 13):
+        assert sorted(tuple(r) for r in order.read_shards(spark, path, start, per_shard=8).collect()) == want[start:]
+    for r in spark.read.schema(order.SHARDS).parquet(path).collect():
+        assert len(r["data"]) == r["n"] * 128 and bytes(r["data"]) == b"".join(w[5] for w in want if w[1] == r["shard"])
+
+
+def test_audio_tensors_are_stored_with_a_fixed_shape_and_the_tail_is_heard(odd):
+    for r in media.audio_features(odd).collect():
+        got = media.read_tensors(r["tensor_arrow"])
+        assert got.shape == (len(r["tensors"]), 32, 20) and np.array_equal(got.reshape(len(got), -1), [t["tensor"] for t in r["tensors"]])
+    x = np.zeros(150 + 60 + 30)
+    x[-10:] = 1.0
+    assert np.concatenate([e for _, e in media.log_mel(x, media.AudioSpec())])[-1] > -30
