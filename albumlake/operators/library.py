@@ -68,11 +68,29 @@ def person_timeline(photos: DataFrame) -> DataFrame:
 
 
 def memories(photos: DataFrame, today: str) -> DataFrame:
-    """Photos of this day and month in earlier years."""
+    """A row per photo and window it falls in: file_id, time_window, key (year, or first year of the decade), years_ago.
+
+    Day, Week (ISO) and Month take any year but the reference's, later ones too; Year the reference's only; Decade any
+    other decade, counted from its middle.
+    """
     day = F.lit(today).cast("date")
     d = F.col("captured").cast("date")
-    ago = F.year(day) - F.year(d)
-    return photos.filter((F.month(d) == F.month(day)) & (F.dayofmonth(d) == F.dayofmonth(day)) & (ago > 0)).select("file_id", ago.alias("years_ago"))
+    year, ref = F.year(d), F.year(day)
+    other = year != ref
+    decade = (F.floor(year / 10) * 10).cast("int")
+
+    def hit(name: str, cond: Column, key: Column, ago: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(name).alias("time_window"), key.alias("key"), ago.alias("years_ago")))
+
+    month = other & (F.month(d) == F.month(day))
+    hits = F.array_compact(F.array(
+        hit("Day", month & (F.dayofmonth(d) == F.dayofmonth(day)), year, ref - year),
+        hit("Week", other & (F.weekofyear(d) == F.weekofyear(day)), year, ref - year),
+        hit("Month", month, year, ref - year),
+        hit("Year", ~other, year, ref - year),
+        hit("Decade", decade != F.floor(ref / 10) * 10, decade, ref - (decade + 5)),
+    ))
+    return photos.select("file_id", F.inline(hits))
 
 
 def geo_grid_cluster(photos: DataFrame, degrees: float) -> DataFrame:

@@ -46,7 +46,8 @@ QUERIES = {
     "timeline_histogram_week": _years(lambda p: L.timeline_histogram(p, "week")),
     "timeline_histogram_month": _years(lambda p: L.timeline_histogram(p, "month")),
     "person_timeline": _years(L.person_timeline),
-    "memories_day": _years(lambda p: L.memories(p, "2002-06-15")),
+    "memories_day": _years(lambda p: L.memories(p, "2002-06-15").filter("time_window = 'Day' and years_ago > 0").select("file_id", "years_ago")),
+    "memories": _years(lambda p: L.memories(p, "1995-06-15")),
     "geo_grid_cluster": _photos(lambda p: L.geo_grid_cluster(p, 10.0)),
     "map_extent": _photos(L.map_extent),
     "burst_gaps": _photos(lambda p: L.burst_gaps(p, ["event_type"], 600)),
@@ -85,6 +86,12 @@ SQL = {
       (select person, cast(year(captured) as int) as year, count(*) n from {Y} p group by 1, 2) a
       join (select person, cast(min(captured) as date) first_seen, cast(max(captured) as date) last_seen from {Y} p group by 1) b on a.person = b.person""",
     "memories_day": f"select file_id, cast(2002 - year(captured) as int) years_ago from {Y} p where month(captured) = 6 and day(captured) = 15 and year(captured) < 2002",
+    "memories": f"""with c as (select file_id, captured, cast(year(captured) as int) y from {Y} p)
+      select file_id, 'Day' time_window, y as key, 1995 - y years_ago from c where y <> 1995 and month(captured) = 6 and day(captured) = 15
+      union all select file_id, 'Week', y, 1995 - y from c where y <> 1995 and weekofyear(captured) = weekofyear(date '1995-06-15')
+      union all select file_id, 'Month', y, 1995 - y from c where y <> 1995 and month(captured) = 6
+      union all select file_id, 'Year', y, 0 from c where y = 1995
+      union all select file_id, 'Decade', cast(y // 10 * 10 as int), cast(1990 - y // 10 * 10 as int) from c where y // 10 <> 199""",
     "geo_grid_cluster": f"""select cast(floor(p.lon / 10) as bigint) cell_lon, cast(floor(p.lat / 10) as bigint) cell_lat, count(*) n,
       round(avg(p.lat), 6) lat, round(avg(p.lon), 6) lon from {P} p group by 1, 2""",
     "map_extent": f"select min(lat) min_lat, max(lat) max_lat, min(lon) min_lon, max(lon) max_lon from {P} p",

@@ -4,10 +4,12 @@ import sys
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+from albumlake.operators import library  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,3 +35,13 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_memories_windows(spark):
+    dates = ["2001-06-15", "2004-06-15", "2003-06-09", "2001-06-30", "2002-01-01", "1985-12-31", "2011-02-02"]
+    df = spark.createDataFrame(list(enumerate(dates)), "file_id long, captured string").withColumn("captured", F.col("captured").cast("timestamp_ntz"))
+    got = {tuple(r) for r in library.memories(df, "2002-06-15").collect()}  # in ISO week 24
+    day = {(0, "Day", 2001, 1), (1, "Day", 2004, -2)}
+    week = {(0, "Week", 2001, 1), (2, "Week", 2003, -1)}
+    month = {(0, "Month", 2001, 1), (1, "Month", 2004, -2), (2, "Month", 2003, -1), (3, "Month", 2001, 1)}
+    assert got == day | week | month | {(4, "Year", 2002, 0), (5, "Decade", 1980, 17), (6, "Decade", 2010, -13)}
