@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words_col
+from .common import materialise, table, words_col
 
 MAX_EPOCHS = 4.0
 BLOCKS = 1024
@@ -48,6 +48,27 @@ def bisect_exponent(tokens: list[int], target_entropy: float | None = None, max_
     return hi
 
 
+def entropy_exponent(sources: DataFrame, target_entropy: float, rounds: int = 10, width: int = 31) -> float:
+    """bisect_exponent's answer for a target entropy, over any number of sources: every round sums t^e and t^e*ln(t) over
+    all of them for `width` exponents in one aggregate, and keeps one of the width + 1 gaps."""
+    sizes = materialise(sources.filter("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")))
+    count, top = sizes.agg(F.sum("c"), F.max("n_tokens")).first()
+    if not count or count < 2:
+        return 1.0
+    if math.log(count) <= target_entropy:
+        return 0.0
+    x = F.log(F.col("n_tokens").cast("double")) - math.log(top)
+    lo, hi = 0.0, 1.0
+    for _ in range(rounds):
+        tried = [lo + (hi - lo) * (i + 1) / (width + 1) for i in range(width)]
+        sums = [f for e in tried for f in (F.sum(F.col("c") * F.exp(x * e)), F.sum(F.col("c") * F.exp(x * e) * x))]
+        got = sizes.agg(*[f.alias(f"s{i}") for i, f in enumerate(sums)]).first()
+        flat = [math.log(got[2 * i]) - e * got[2 * i + 1] / got[2 * i] <= target_entropy for i, e in enumerate(tried)]
+        at = flat.index(True) if True in flat else width
+        lo, hi = (tried[at - 1] if at else lo), (tried[at] if at < width else hi)
+    return hi
+
+
 def source_plan(sources: DataFrame, tokens: str = "n_tokens", exponent: float = 1.0) -> DataFrame:
     """One row per source (any number of them): weight, epochs, budget in tokens. Native; sums stay on executors."""
     w = F.when(F.col(tokens) > 0, F.pow(F.col(tokens).cast("double"), F.lit(exponent)))
@@ -67,8 +88,8 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
 
     Rows of a source fall in `blocks` blocks by hash. The budget pays whole epochs, then whole blocks in a permuted
     order, then rows of one last block in hash order until it is spent; so running sums see block totals, and rows of a
-    single block only, never a whole source. The exponent needs the source totals: histogram rows (source count by
-    power-of-two size class, at most 64) go to the driver, not the sources.
+    single block only, never a whole source. For the exponent only sums go to the driver: the least and largest source
+    total, or with a target entropy two sums over all sources for each exponent tried.
     """
     d = docs.withColumns({
         "_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
@@ -79,10 +100,10 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     sources = per_block.groupBy("_src").agg(F.sum("block_tokens").alias("n_tokens"))
     if target_entropy is None:
         ends = sources.filter("n_tokens > 0").agg(F.min("n_tokens"), F.max("n_tokens")).first()
-        known = sorted({int(x) for x in ends if x})
+        exponent = bisect_exponent(sorted({int(x) for x in ends if x}), None, max_epochs)
     else:
-        known = [int(r[0]) for r in sources.filter("n_tokens > 0").select("n_tokens").limit(100_000).collect()]
-    plan = source_plan(sources, exponent=bisect_exponent(known, target_entropy, max_epochs))
+        exponent = entropy_exponent(sources, target_entropy)
+    plan = source_plan(sources, exponent=exponent)
     plan = plan.select("_src", "weight", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("int").alias("whole"), F.when(F.col("n_tokens") > 0, F.col("budget") % F.col("n_tokens")).otherwise(0).alias("rest"))
     order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     budget = per_block.join(plan, "_src").withColumn("before", F.coalesce(F.sum("block_tokens").over(order), F.lit(0)))

@@ -316,3 +316,22 @@ def test_audio_tensors_are_stored_with_a_fixed_shape_and_the_tail_is_heard(odd):
     x = np.zeros(150 + 60 + 30)
     x[-10:] = 1.0
     assert np.concatenate([e for _, e in media.log_mel(x, media.AudioSpec())])[-1] > -30
+
+
+def test_entropy_exponent_reads_every_source(spark):
+    n = 100_500  # the last 500 hold most tokens
+    sources = spark.range(n).select(F.when(F.col("id") < 100_000, F.lit(1)).otherwise(5000 + F.col("id") % 7).cast("long").alias("n_tokens"))
+    e = mixing.entropy_exponent(sources, 8.0)
+    w = np.array([r[0] for r in sources.collect()], float) ** e
+    w /= w.sum()
+    assert -(w * np.log(w)).sum() == pytest.approx(8.0, abs=1e-6)
+    assert mixing.entropy_exponent(sources, 20.0) == 0.0 and mixing.entropy_exponent(sources.limit(1), 1.0) == 1.0
+
+
+def test_mixing_with_target_entropy_uses_all_sources(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "bisect_exponent", lambda *a: seen.append(a) or 1.0)
+    rows = [(i, "w " * (1 + i), f"s{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = [r["weight"] for r in mixing.mix_sources(df, target_entropy=2.4, blocks=4).dropDuplicates(["source"]).collect()]
+    assert not seen and -sum(x * np.log(x) for x in w) == pytest.approx(2.4, abs=1e-6)
