@@ -103,10 +103,26 @@ def map_extent(photos: DataFrame) -> DataFrame:
 
 
 def burst_gaps(photos: DataFrame, by: list[str], seconds: int = 2) -> DataFrame:
-    """Burst number per owner: a gap over `seconds` to the previous photo starts a new one."""
-    w = Window.partitionBy(*by).orderBy("captured", "name")
-    gap = F.unix_micros(F.col("captured").cast("timestamp")) - F.unix_micros(F.lag("captured").over(w).cast("timestamp"))
-    return photos.withColumn("_new", F.when(gap <= seconds * 1_000_000, 0).otherwise(1)).select("file_id", *by, F.sum("_new").over(w).alias("burst"))
+    """Burst number per owner: a gap over `seconds` to the previous photo starts a new one.
+
+    Gaps are found within each owner's day; a small table of the days carries the last photo and the bursts so far.
+    """
+    key = [*by, "_day"]
+
+    def near(now: Column, before: Column) -> Column:
+        return F.unix_micros(now.cast("timestamp")) - F.unix_micros(before.cast("timestamp")) <= seconds * 1_000_000
+
+    w = Window.partitionBy(*key).orderBy("captured", "name")
+    rows = photos.withColumn("_day", F.col("captured").cast("date")).withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumn("_new", F.when((F.col("_at") == 1) | near(F.col("captured"), F.lag("captured").over(w)), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("file_id", *key, "captured", "_new", "_run")
+    days = rows.groupBy(*key).agg(F.min("captured").alias("lo"), F.max("captured").alias("hi"), F.sum("_new").alias("more"))
+    d = Window.partitionBy(*by).orderBy("_day")
+    days = days.withColumn("head", F.when(near(F.col("lo"), F.lag("hi").over(d)), 0).otherwise(1))
+    before = F.coalesce(F.sum(F.col("head") + F.col("more")).over(d.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*[F.col(c).alias(f"d_{c}") for c in key], (before + F.col("head")).alias("_start"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in key])
+    return rows.join(days, same).select("file_id", *by, (F.col("_start") + F.col("_run")).alias("burst"))
 
 
 def geofence_match(photos: DataFrame, bookmarks: DataFrame, cell: float = 1.0) -> DataFrame:

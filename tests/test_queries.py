@@ -45,3 +45,14 @@ def test_memories_windows(spark):
     week = {(0, "Week", 2001, 1), (2, "Week", 2003, -1)}
     month = {(0, "Month", 2001, 1), (1, "Month", 2004, -2), (2, "Month", 2003, -1), (3, "Month", 2001, 1)}
     assert got == day | week | month | {(4, "Year", 2002, 0), (5, "Decade", 1980, 17), (6, "Decade", 2010, -13)}
+
+
+def test_burst_gaps_over_midnight_spread_by_day(spark):
+    times = [None, "2024-01-01 23:59:58", "2024-01-01 23:59:59", "2024-01-02 00:00:01", "2024-01-02 00:00:09", "2024-01-04 00:00:00", "2024-01-04 00:00:02"]
+    rows = [(i, o, f"n{i}", t) for i, t in enumerate(times) for o in ("a", None)]
+    df = spark.createDataFrame(rows, "file_id long, owner string, name string, captured string").withColumn("captured", F.col("captured").cast("timestamp_ntz"))
+    made = library.burst_gaps(df, ["owner"], 2)
+    assert {tuple(r) for r in made.collect()} == {(i, o, n) for i, n in enumerate([1, 2, 2, 2, 3, 4, 4]) for o in ("a", None)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    over_photos = [x for x in plan.split("\n") if "Window" in x and "lag(captured" in x]
+    assert over_photos and all("_day" in x for x in over_photos)
