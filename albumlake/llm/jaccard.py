@@ -1,279 +1,345 @@
 """Exact Jaccard self-join of word-shingle sets: pivots, Voronoi regions, triangle-inequality windows, recursion.
 
-Jaccard distance is a metric. The first regions are the documents that hold one shingle of the global order in their
-prefix (two sets with J >= t always share such a shingle). A region over the leaf size is first split by one pivot, which
-settles a group of near copies. A region still over MAX_LEAF is then split by several pivots, again and again: a document
-is an inner member of its nearest pivot's region and an outer member of every region p with d(y,p) <= d(y,nearest) +
-2(1-t), for its links may be inner there. Pairs are compared where one of the two is inner and their distances to the
-region's pivot differ by at most 1-t. Members linked to the pivot leave when no other lies within 2(1-t) of it. Where a
-split would not halve the pairs left (unlinked documents are all about as far from each other), the region is compared
-whole in blocks, which is exact but quadratic. Pairs whose link is implied (both already in one component) are not
-compared, so a group of near copies costs a few pivots, not all its pairs.
-
-Equal sets are joined once and fan out at the end. Null, empty and word-free texts have the empty set and link with
-nothing, not even with each other. Repeated rows of one doc_id give repeated result rows. Columns beyond doc_id and
-text are not read. Shingles are compared by 64-bit hashes.
+First regions. Unrelated texts lie at a distance of about 1 from each other, so documents taken as pivots cannot part a
+whole corpus: every window would hold every document. The first pivots are therefore single shingles: a document lies
+at 1 - 1/n from each of its own n shingles and at 1 from all others. Its home is its first shingle in a global order
+(rare classes first), and the window in which a linked document's home can lie is its first n - ceil(t n) + 1 shingles;
+it is replicated to the regions of these. Two linked documents meet in a region. Regions with equal members are one.
+
+Inside a region. A link needs |x ^ y| <= (|x| + |y|) (1-t) / (1+t), the symmetric difference being a metric; so are the L1
+distances of the sets' counts in DIMS shingle classes, which never exceed it. One pivot document per region is compared
+with all members, again while that joins more of them; members already in one component need no further comparison.
+A region over LEAF members of several components is split by PIVOTS pivot documents into Voronoi regions in the L1
+metric: a document is an inner member of its nearest pivot's region and a replica in each that its window reaches
+(D(y,p) <= D(y,nearest) + 2r), and these regions are split again. Where a split does not halve the pairs, the region is
+compared whole in blocks: exact, quadratic in the region. Pairs are compared in order of size, where one of the two is
+inner and their distances to the pivot differ by no more than the radius; what passes the L1 bound is decided on the
+whole sets.
+
+Equal sets are one node, so copies cost nothing more. Null, empty and word-free texts have the empty set and link with
+nothing. Repeated rows of one doc_id give repeated result rows; rows of one doc_id with different texts are separate
+nodes. An empty table gives an empty result. Columns beyond doc_id and text are not read. Shingles and sets are compared
+by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, table
+from .common import materialise, release, table
+from .shingles import mix, shingle_sets
 
 K, T = 5, 80
-LEAF, MAX_LEAF = 24, 512
-BUCKETS = 1 << 17
-PIVOTS, BLOCK = 16, 256
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(WORD)
-
-
-def shingle_hashes(text: str | None, k: int = K) -> np.ndarray:
-    """Sorted distinct uint64 hashes of the k-word shingles, viewed as int64; the whole sequence if shorter."""
-    words = _WORD.findall((text or "").translate(_FOLD))
-    if not words:
-        return np.zeros(0, np.int64)
-    ids = _hash_words(words)
-    n = max(len(ids) - k + 1, 1)
-    out = np.full(n, np.uint64(min(len(ids), k)))
-    with np.errstate(over="ignore"):
-        for j in range(min(k, len(ids))):
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ids[j : j + n]
-        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        out ^= out >> np.uint64(29)
-    return np.unique(out).view(np.int64)
+SMALL, LEAF, PIVOTS = 16, 2048, 16
+CLASSES, PAGE, DIMS = 1 << 20, 1 << 14, 256
+FILTER_BITS = 1 << 24
 
 
-_cache: dict[str, int] = {}
+def set_id(s: np.ndarray) -> int | None:
+    """A 64-bit key of a sorted set; None of the empty set."""
+    import xxhash
 
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    import xxhash
 
-    if len(_cache) > 400_000:
-        _cache.clear()
-    for w in set(words).difference(_cache):
-        _cache[w] = xxhash.xxh64_intdigest(w.encode())
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+def class_counts(s: np.ndarray) -> np.ndarray:
+    """Shingles per class, at most 255: a map to uint8^DIMS whose L1 distances never exceed the symmetric difference."""
+    return np.minimum(np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS), 255).astype(np.uint8)
 
 
-def shingle_sets(texts: DataFrame, k: int = K) -> DataFrame:
-    """(id, text) -> (id, shingles)."""
+def survey_sets(docs: DataFrame, k: int = K) -> DataFrame:
+    """One pass over the texts: rows (doc_id, n, id, vec), and pages (g, counts) of shingle-class counts per task."""
 
     def run(batches):
+        seen, known = np.zeros(CLASSES, np.int32), set()
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo : lo + 256]
-                yield pd.DataFrame({"id": part["id"], "shingles": [shingle_hashes(t, k) for t in part["text"]]})
+            ids, sizes, vecs = [], [], []
+            for s in shingle_sets(b["text"], k):
+                key = set_id(s)
+                new = key is not None and key not in known
+                if new:
+                    known.add(key)
+                    seen[((s >> np.uint64(20)) & np.uint64(CLASSES - 1)).astype(np.int64)] += 1
+                ids.append(key)
+                sizes.append(len(s))
+                vecs.append(class_counts(s).tobytes() if new else None)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": sizes, "id": pd.array(ids, "Int64"), "vec": vecs, "g": -1, "counts": None})
+        for g in range(CLASSES // PAGE):
+            page = seen[g * PAGE : (g + 1) * PAGE]
+            if page.any():
+                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "id": pd.array([None], "Int64"), "vec": [None], "g": [g], "counts": [page.tobytes()]})
 
-    return texts.select("id", "text").mapInPandas(run, "id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, id long, vec binary, g int, counts binary")
 
 
-def survey_sets(docs: DataFrame, k: int = K, buckets: int = BUCKETS) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n_shingles, set_key), and rows (g, n) of shingle-class counts per task."""
+def class_order(survey: DataFrame) -> np.ndarray:
+    """log2 of the sets that hold a shingle class: a table of CLASSES bytes, whatever the input."""
 
-    def run(batches):
-        import xxhash
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(PAGE, np.int64)
+        for c in part["counts"]:
+            total += np.frombuffer(c, np.int32)
+        return pd.DataFrame({"g": part["g"].iloc[:1], "level": [np.floor(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-        seen = np.zeros(buckets, np.int64)
-        for b in batches:
-            sizes, keys = [], []
-            for text in b["text"]:
-                s = shingle_hashes(text, k)
-                np.add.at(seen, s & (buckets - 1), 1)
-                sizes.append(len(s))
-                keys.append(xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": sizes, "set_key": keys, "g": -1, "n": None})
-        for g in np.unique(np.flatnonzero(seen) >> 10):
-            yield pd.DataFrame({"doc_id": [None], "n_shingles": [0], "set_key": [None], "g": [g], "n": [seen[g << 10 : (g + 1) << 10]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key string, g long, n array<long>")
-
-
-def class_order(survey: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log2 document counts of hashed shingle classes: a table of fixed size, whatever the input."""
-    summed = (
-        survey.filter("g >= 0").select("g", F.posexplode("n").alias("i", "n")).filter("n > 0")
-        .groupBy((F.col("g") * 1024 + F.col("i")).alias("c")).agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("n"))
-    )
-    got = summed.toPandas()
-    out = np.zeros(buckets, np.int8)
-    out[got["c"].to_numpy(np.int64)] = got["n"].to_numpy()
+    out = np.zeros(CLASSES, np.uint8)
+    for r in survey.filter("g >= 0").select("g", "counts").groupBy("g").applyInPandas(add, "g int, level binary").collect():
+        out[r["g"] * PAGE : (r["g"] + 1) * PAGE] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
-def prefix_postings(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K) -> DataFrame:
-    """(shingle, id, n_set) of each set's first n - ceil(t*n/100) + 1 shingles, rare classes first: enough to meet every link."""
-    held = texts.sparkSession.sparkContext.broadcast(order)
+def regions(docs: DataFrame, order: np.ndarray, t: int = T, k: int = K) -> DataFrame:
+    """(cell, id, n): each set with the pivot shingles in its window. A task sends a set once, however many copies it has."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
+        known = set()
         for b in batches:
-            ids, sizes, found = [], [], []
-            for doc, text in zip(b["id"], b["text"], strict=True):
-                s = shingle_hashes(text, k)
+            ids, sizes, found = [], [], [np.zeros(0, np.int64)]
+            for s in shingle_sets(b["text"], k):
+                key = set_id(s)
+                if key is None or key in known:
+                    continue
+                known.add(key)
                 take = len(s) - -(-t * len(s) // 100) + 1
-                pick = s[np.lexsort((s, held.value[s & (len(held.value) - 1)]))[:take]]
-                ids.append(np.full(len(pick), doc))
-                sizes.append(np.full(len(pick), len(s)))
-                found.append(pick)
-            none = [np.zeros(0, np.int64)]
-            yield pd.DataFrame({"shingle": np.concatenate(found or none), "id": np.concatenate(ids or none), "n_set": np.concatenate(sizes or none)})
+                rank = held.value[((s >> np.uint64(20)) & np.uint64(CLASSES - 1)).astype(np.int64)].astype(np.uint64)
+                # Sets are sorted, so a stable sort by rank orders ties by shingle.
+                found.append(mix(s[np.argsort(rank, kind="stable")[:take]]).view(np.int64))
+                ids.append(np.full(take, key))
+                sizes.append(np.full(take, len(s)))
+            if ids:
+                yield pd.DataFrame({"cell": np.concatenate(found), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
+
+    return docs.select("text").mapInPandas(run, "cell long, id long, n int")
 
-    return texts.select("id", "text").mapInPandas(run, "shingle long, id long, n_set int")
 
+def near(n_a, n_b, d, t: int):
+    """Whether a symmetric difference of at least d allows a link between sets of these sizes."""
+    return (100 + t) * d <= (100 - t) * (n_a + n_b)
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) plus common, size_a, size_b as exact integers."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+
+def bounded(pairs: DataFrame, nodes: DataFrame, t: int = T) -> DataFrame:
+    """The pairs (a, b) whose sizes and class counts allow a link."""
 
     def run(batches):
         for b in batches:
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(b["sa"], b["sb"], strict=True)]
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "common": common, "size_a": b["sa"].map(len), "size_b": b["sb"].map(len)})
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, DIMS).astype(np.int16) for c in ("va", "vb"))
+            yield b.loc[near(b["na"].to_numpy(), b["nb"].to_numpy(), np.abs(x - y).sum(axis=1), t), ["a", "b"]]
+
+    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    held = pairs.join(right, "b").join(left, "a").filter(100 * F.least("na", "nb") >= t * F.greatest("na", "nb"))
+    return held.select("a", "b", "na", "nb", "va", "vb").mapInPandas(run, "a long, b long")
+
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    return joined.mapInPandas(run, "a long, b long, common long, size_a long, size_b long")
+def needed_sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(id, shingles) of the documents in pairs, and of a few more that share their place in a filter of fixed size.
 
+    The filter (FILTER_BITS bits, 2 MB) spares the others' hashing and shuffle; it never drops a needed one.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    at = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    used = ids.join(nodes, "id").groupBy(F.floor(at / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("v"))
+    got = used.toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
-def linked(t: int = T):
-    return 100 * F.col("common") >= t * (F.col("size_a") + F.col("size_b") - F.col("common"))
+    def run(batches):
+        known = set()
+        for b in batches:
+            at = b["at"].to_numpy()
+            hit = ((held.value[at // 64] >> (at % 64)) & 1).astype(bool)
+            ids, sets = [], []
+            for s in shingle_sets(b["text"][hit], k):
+                key = set_id(s)
+                if key is not None and key not in known:
+                    known.add(key)
+                    ids.append(key)
+                    sets.append(s.tobytes())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "shingles": sets})
+
+    texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at"), "text")
+    return texts.mapInPandas(run, "id long, shingles binary")
+
+
+def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, t: int = T, k: int = K) -> DataFrame:
+    """The pairs that link, decided on the whole sets."""
+    sets = needed_sets(docs, pairs, nodes, k)
+
+    def run(batches):
+        for b in batches:
+            hit = []
+            for x, y in zip(b["sa"], b["sb"], strict=True):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                hit.append(100 * common >= t * (len(both) - common))
+            yield b.loc[np.array(hit, bool), ["a", "b"]]
+
+    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable, by minimum labels with pointer jumping; each round is written and reread."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    both = materialise(both.distinct())
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     label = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
     while True:
         seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         jump = label.select(F.col("id").alias("label"), F.col("label").alias("far"))
         new = label.join(seen, "id").join(jump, "label", "left")
         new = materialise(new.select("id", F.least("label", "near", F.coalesce("far", "label")).alias("label"), F.col("label").alias("old")))
-        changed = new.filter("label <> old").limit(1).count()
-        label = new.select("id", "label")
-        if not changed:
-            return label
-
-
-def blocked_links(rows: DataFrame, sets: DataFrame, t: int = T, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of whole regions: members fall in blocks by hash, and every pair of blocks is one group."""
-    blocks = F.ceil(F.col("n") / block)
-    spread = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select("cell", "pv", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "label", "inner", "gap").join(sets, "id")
-    reach = 1 - t / 100 + 1e-9
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        left = np.flatnonzero(part["mine"] == part["lo"])
-        right = np.flatnonzero(part["mine"] == part["hi"])
-        ids, label, inner, gap = (part[c].to_numpy() for c in ("id", "label", "inner", "gap"))
-        size = part["shingles"].map(len).to_numpy()
-        codes = np.unique(np.concatenate(list(part["shingles"])), return_inverse=True)[1]
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate([codes[at[j] : at[j + 1]] for j in right]) if len(right) else codes[:0]
-        starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
-        seen = np.zeros(codes.max() + 1, bool)
-        out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in left if len(right) else []:
-            mine = codes[at[i] : at[i + 1]]
-            seen[mine] = True
-            common = np.add.reduceat(seen[flat], starts, dtype=np.int64)
-            seen[mine] = False
-            ok = (100 * common >= t * (size[i] + size[right] - common)) & (label[right] != label[i]) & (ids[right] != ids[i])
-            ok &= (inner[right] | inner[i]) & (np.abs(gap[right] - gap[i]) <= reach)
-            hit = ids[right[ok]]
-            out.append((np.minimum(hit, ids[i]), np.maximum(hit, ids[i])))
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
-
-    return spread.groupBy("cell", "pv", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
-
-
-def jaccard_links(texts: DataFrame, order: np.ndarray, t: int = T, k: int = K, leaf: int = LEAF, max_leaf: int = MAX_LEAF) -> DataFrame:
-    """Links (a, b) among documents of distinct sets (id, text) that give the same components as all links do."""
-    reach = 1 - t / 100 + 1e-9
-    key = ["cell", "pv"]
-    alive = prefix_postings(texts, order, t, k).withColumnRenamed("shingle", "cell")
-    # pv is the pivot of a member's region, gap the member's distance to it; before the first pivot all are 0.
-    alive = materialise(alive.withColumns({"pv": F.lit(0).cast("long"), "inner": F.lit(True), "gap": F.lit(0.0)}))
-    sets = None
-    edges = None
-    label = None
-    turn = 0
-    while True:
-        # What pivots leave undecided is mostly settled pairs, so later turns compare larger regions directly.
-        small_at = min(leaf << min(turn, 10), max(leaf, max_leaf))
-        rows = alive
-        if label is None:
-            rows = rows.withColumn("label", F.col("id"))
-        else:
-            rows = rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        regions = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("some"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        regions = regions.filter("n > 1 and some and l0 < l1").select(*key, "n")
-        rows = materialise(rows.join(regions, key))
-        largest = rows.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        several = turn > 0 and largest > max(leaf, max_leaf)
-        small = rows.filter(F.col("n") <= small_at).select(*key, "id", "label", "n_set", "inner", "gap")
-        other = small.select(*key, F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n_set").alias("nb"), F.col("inner").alias("ib"), F.col("gap").alias("gb"))
-        direct = small.join(other, key).filter("id < b and label <> lb and (inner or ib)").filter(100 * F.least("n_set", "nb") >= t * F.greatest("n_set", "nb"))
-        direct = direct.filter(F.abs(F.col("gap") - F.col("gb")) <= reach).select(F.col("id").alias("a"), "b")
-        large = rows.filter(F.col("n") > small_at).drop("gap", "label")
-        # One pivot in the first turn and in regions that later turns compare directly, else several.
-        count = F.when(F.col("n") > max(leaf, max_leaf), F.least(F.greatest(F.col("n") / 128, F.lit(2)), F.lit(PIVOTS)).cast("int")).otherwise(1) if several else F.lit(1)
+        release(label)
+        label = new
+        if not new.filter("label <> old").limit(1).count():
+            release(both)
+            return label.select("id", "label")
+
+
+def unsettled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of regions whose members lie in several components, with label."""
+    named = rows.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = named.groupBy("cell").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("cell")
+    return named.join(mixed, "cell")
+
+
+def voronoi(rows: DataFrame, nodes: DataFrame, t: int, turn: int, pivots: int = PIVOTS) -> DataFrame:
+    """Each region's members in the Voronoi regions of its pivots: (cell, id, n, label, inner, gap, parent, m)."""
+    rank = F.xxhash64(F.lit(turn), "id")
+    chosen = rows.groupBy("cell", F.pmod(rank, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("id")))["id"].alias("id"))
+    chosen = chosen.join(nodes.select("id", "vec"), "id").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("pivots"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for (_, m), part in b.groupby(["cell", "m"], sort=False):
+                found = part["pivots"].iloc[0]
+                p = np.frombuffer(b"".join(x["vec"] for x in found), np.uint8).reshape(-1, DIMS).astype(np.int16)
+                x = np.frombuffer(b"".join(part["vec"]), np.uint8).reshape(-1, DIMS).astype(np.int16)
+                d = np.stack([np.abs(x - q).sum(axis=1) for q in p], axis=1)
+                n = part["n"].to_numpy()
+                radius = (100 - t) * (n + n * 100 / t) / (100 + t)
+                home = d.argmin(axis=1)
+                at, j = np.nonzero(d <= (d.min(axis=1) + 2 * radius)[:, None])
+                got = part.iloc[at]
+                salt = mix(np.array([y["id"] for y in found], np.int64).view(np.uint64) + np.uint64(turn))
+                cell = mix(got["cell"].to_numpy().view(np.uint64) ^ salt[j]).view(np.int64)
+                out.append(pd.DataFrame({"cell": cell, "id": got["id"], "n": got["n"], "label": got["label"], "inner": got["inner"].to_numpy() & (home[at] == j), "gap": d[at, j], "parent": got["cell"], "m": m}))
+            if out:
+                yield pd.concat(out)
+
+    held = rows.join(nodes.select("id", "vec"), "id").join(chosen, "cell")
+    return held.select("cell", "id", "n", "label", "inner", "m", "vec", "pivots").mapInPandas(run, "cell long, id long, n int, label long, inner boolean, gap int, parent long, m long")
+
+
+def compare(rows: DataFrame, nodes: DataFrame, t: int = T, leaf: int = LEAF) -> DataFrame:
+    """Pairs (a, b) of different components within the windows of a region, whole regions in blocks of about `leaf`."""
+    blocks = F.ceil(F.col("m") / leaf)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("part", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
+    rows = rows.withColumn("cross", F.when(F.col("mine") == F.col("other"), 0).otherwise(F.signum(F.col("mine") - F.col("other"))).cast("int"))
+    # A pair of blocks is one part; a block with itself has cross 0 for all, two blocks have -1 and 1.
+    tasks = rows.agg(F.ceil(F.count(F.lit(1)) / 30_000)).first()[0] or 1
+    rows = rows.withColumn("bucket", F.pmod(F.col("part"), F.lit(int(tasks)))).join(nodes.select("id", "vec"), "id")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["part", "n", "id"], kind="stable")
+        cell, n, gap, ids, label, cross = (part[c].to_numpy() for c in ("part", "n", "gap", "id", "label", "cross"))
+        inner = part["inner"].to_numpy(bool)
+        vec = np.frombuffer(b"".join(part["vec"]), np.uint8).reshape(-1, DIMS)
+        out, at, step = [], np.arange(len(part)), 1
+        while len(at):
+            at = at[at + step < len(part)]
+            at = at[(cell[at] == cell[at + step]) & (100 * n[at].astype(np.int64) >= t * n[at + step].astype(np.int64))]
+            to = at + step
+            ok = (label[at] != label[to]) & (inner[at] | inner[to]) & (cross[at] + cross[to] == 0)
+            ok &= near(n[at].astype(np.int64), n[to], np.abs(gap[at] - gap[to]), t)
+            x, y = at[ok], to[ok]
+            for lo in range(0, len(x), 4096):
+                i, j = x[lo : lo + 4096], y[lo : lo + 4096]
+                d = np.abs(vec[i].astype(np.int16) - vec[j]).sum(axis=1)
+                hit = near(n[i].astype(np.int64), n[j], d, t)
+                out.append((np.minimum(ids[i], ids[j])[hit], np.maximum(ids[i], ids[j])[hit]))
+            step += 1
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in out] or none), "b": np.concatenate([b for _, b in out] or none)})
+
+    return rows.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+
+
+def jaccard_links(docs: DataFrame, nodes: DataFrame, order: np.ndarray, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+    """(id, label): the component of every set that links with another."""
+    met = materialise(regions(docs, order, t, k))
+    several = met.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("cell")
+    shared = materialise(met.join(several, "cell"))
+    release(met)
+    rows = shared.distinct()
+    half = F.lit((1 << 31) - 1)
+    # Regions with equal members count once; sums of the ids' halves stand for the members.
+    kept = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.sum(F.col("id").bitwiseAND(half)).alias("s1"), F.sum(F.shiftrightunsigned("id", 31).bitwiseAND(half)).alias("s2"))
+    kept = kept.groupBy("m", "pivot", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "m", "pivot")
+    rows = materialise(rows.join(kept, "cell"))
+    release(shared)
+    few = rows.filter(F.col("m") <= small)
+    pairs = few.alias("x").join(few.alias("y"), "cell").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    star = rows.filter((F.col("m") > small) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    pairs = materialise(bounded(pairs.union(star).distinct(), nodes, t))
+    edges = materialise(links(docs, pairs, nodes, t, k))
+    label = components(edges)
+    rest = materialise(unsettled(rows.filter(F.col("m") > small).select("cell", "id", "n"), label))
+    left, turn = rest.count(), 0
+    while left:  # one more pivot per region while that settles a fifth of what is left
+        turn += 1
         rank = F.xxhash64(F.lit(turn), "id")
-        pivots = large.groupBy(*key, F.pmod(rank, count).alias("slot")).agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("p")))["p"].alias("pivot")).drop("slot")
-        star = large.join(pivots, key).filter("id <> pivot")
-        pairs = materialise(direct.union(star.select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct())
-        if sets is None:  # only documents that meet another in a region need their sets
-            met = (pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id"))).distinct()
-            sets = materialise(shingle_sets(texts.join(met, "id"), k))
-        known = materialise(distances(pairs, sets))
-        links = known.filter(linked(t)).select("a", "b")
-        edges = materialise(links if edges is None else edges.union(links))
+        pivot = rest.groupBy("cell").agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("id"), F.col("label").alias("l"))).alias("p")).select("cell", "p.id", "p.l").toDF("cell", "pivot", "pl")
+        star = rest.join(pivot, "cell").filter("label <> pl").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+        star = materialise(bounded(star, nodes, t))
+        found = materialise(links(docs, star, nodes, t, k))
+        edges = materialise(edges.union(found))
         label = components(edges)
-        gap = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-        near = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), gap.alias("gap"), linked(t).alias("hit"))
-        # Pivots are compared with their whole region, so they leave.
-        rest = star.join(pivots.select(*key, F.col("pivot").alias("id")), [*key, "id"], "left_anti") if several else star
-        rest = rest.join(near, ["id", "pivot"])
-        if several:
-            home = F.min(F.struct("gap", "pivot")).over(Window.partitionBy(*key, "id"))
-            rest = rest.withColumn("home", home).filter(F.col("gap") <= F.col("home.gap") + 2 * reach)
-            rest = rest.withColumn("inner", F.col("inner") & (F.col("pivot") == F.col("home.pivot"))).drop("home")
-        # A linked member stays only while its region has a boundary document (gap in (1-t, 2(1-t)]).
-        edge = rest.groupBy(*key, "pivot").agg(F.max((~F.col("hit") & (F.col("gap") <= 2 * reach)).cast("int")).alias("edge"))
-        rest = rest.join(edge, [*key, "pivot"]).filter("not hit or edge = 1")
-        if several:
-            rest = materialise(rest)
-            made = rest.groupBy(*key, "pivot", "n").agg(F.count(F.lit(1)).cast("double").alias("m"))
-            made = made.filter(F.col("n") > max(leaf, max_leaf)).groupBy(*key, "n").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
-            whole = materialise(made.filter(F.col("cost") * 2 > F.col("n") * F.col("n").cast("double")).select(*key))
-            stuck = rows.drop("label").join(whole, key).join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            edges = materialise(edges.union(blocked_links(stuck, sets, t)))
-            label = components(edges)
-            rest = rest.join(whole, key, "left_anti")
-        alive = materialise(rest.select(F.xxhash64(F.lit(turn), "cell", "pv", "pivot").alias("cell"), F.col("pivot").alias("pv"), "id", "n_set", "inner", "gap"))
+        rest = materialise(unsettled(rest, label))
+        before, left = left, rest.count()
+        if left > 0.8 * before:
+            break
+    if not left:
+        return label
+    sizes = rest.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    work = materialise(rest.join(sizes, "cell").select("cell", "id", "n", "label", F.lit(True).alias("inner"), F.lit(0).alias("gap"), "m"))
+    done = [work.filter(F.col("m") <= leaf)]
+    large = work.filter(F.col("m") > leaf)
+    while large.limit(1).count():
         turn += 1
-    return edges if edges is not None else texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-
-
-def jaccard_components(docs: DataFrame, t: int = T, k: int = K, leaf: int = LEAF, max_leaf: int = MAX_LEAF) -> DataFrame:
+        made = materialise(voronoi(large, nodes, t, turn, pivots))
+        sizes = made.groupBy("parent", "m", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("inner").alias("some"))
+        cost = sizes.groupBy("parent", "m").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("cost"))
+        split = cost.filter(2 * F.col("cost") <= F.col("m").cast("double") * F.col("m")).select("parent")
+        whole = large.join(split.withColumnRenamed("parent", "cell"), "cell", "left_anti")
+        made = made.drop("m").join(split, "parent", "left_semi").join(sizes.filter("some").select("cell", F.col("size").alias("m")), "cell")
+        made = materialise(made.select("cell", "id", "n", "label", "inner", "gap", "m"))
+        done += [whole, made.filter(F.col("m") <= leaf)]
+        large = made.filter(F.col("m") > leaf)
+    todo = done[0]
+    for d in done[1:]:
+        todo = todo.unionByName(d)
+    pairs = materialise(compare(todo, nodes, t, leaf))
+    return components(materialise(edges.union(links(docs, pairs, nodes, t, k))))
+
+
+def jaccard_components(docs: DataFrame, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    docs = docs.select("doc_id", "text")
     survey = materialise(survey_sets(docs, k))
-    members = survey.filter("g < 0").select("doc_id", "n_shingles", "set_key")
-    reps = materialise(members.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(reps.select("id").distinct(), "id")
-    edges = jaccard_links(texts, class_order(survey), t, k, leaf, max_leaf)
-    label = components(edges)
-    classes = reps.join(label, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
-    return members.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = survey.filter("g < 0").select("doc_id", F.col("n").alias("n_shingles"), "id")
+    nodes = survey.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("vec").alias("vec"))
+    nodes = materialise(nodes)
+    label = jaccard_links(docs, nodes, class_order(survey), t, k, small, leaf, pivots)
+    named = nodes.select("id", "doc").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = named.join(first, "label").select("id", "component_id")
+    return members.join(classes, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
