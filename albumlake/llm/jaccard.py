@@ -26,14 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, release, table
 from .shingles import mix, shingle_sets
 
 K, T = 5, 80
-SMALL, LEAF, PIVOTS = 16, 2048, 16
+SMALL, LEAF, PIVOTS, STARS, TRIES = 16, 2048, 16, 4, 8
+#: log2 of the sets from which a shingle class is heavy.
+HEAVY = 20
 CLASSES, PAGE, DIMS = 1 << 20, 1 << 14, 256
 FILTER_BITS = 1 << 24
 
@@ -90,14 +92,17 @@ def class_order(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def regions(docs: DataFrame, order: np.ndarray, t: int = T, k: int = K) -> DataFrame:
-    """(cell, id, n): each set with the pivot shingles in its window. A task sends a set once, however many copies it has."""
+def regions(docs: DataFrame, order: np.ndarray, heavy: bool, t: int = T, k: int = K, level: int = HEAVY) -> DataFrame:
+    """(cell, id): each set with the pivot shingles in its window. A task sends a set once, however many copies it has.
+
+    Of shingles in classes of at least 2^level sets with heavy, else of the others: their regions are of a bounded size.
+    """
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         known = set()
         for b in batches:
-            ids, sizes, found = [], [], [np.zeros(0, np.int64)]
+            ids, found = [], [np.zeros(0, np.int64)]
             for s in shingle_sets(b["text"], k):
                 key = set_id(s)
                 if key is None or key in known:
@@ -106,13 +111,30 @@ def regions(docs: DataFrame, order: np.ndarray, t: int = T, k: int = K) -> DataF
                 take = len(s) - -(-t * len(s) // 100) + 1
                 rank = held.value[((s >> np.uint64(20)) & np.uint64(CLASSES - 1)).astype(np.int64)].astype(np.uint64)
                 # Sets are sorted, so a stable sort by rank orders ties by shingle.
-                found.append(mix(s[np.argsort(rank, kind="stable")[:take]]).view(np.int64))
-                ids.append(np.full(take, key))
-                sizes.append(np.full(take, len(s)))
+                pick = np.argsort(rank, kind="stable")[:take]
+                pick = pick[(rank[pick] >= level) == heavy]
+                found.append(mix(s[pick]).view(np.int64))
+                ids.append(np.full(len(pick), key))
             if ids:
-                yield pd.DataFrame({"cell": np.concatenate(found), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"cell": np.concatenate(found), "id": np.concatenate(ids)})
+
+    return docs.select("text").mapInPandas(run, "cell long, id long")
 
-    return docs.select("text").mapInPandas(run, "cell long, id long, n int")
+
+def shared_regions(docs: DataFrame, order: np.ndarray, t: int = T, k: int = K, level: int = HEAVY) -> DataFrame:
+    """(cell, id) of the regions with several members; the table written may hold a row again.
+
+    Regions below the heavy classes have at most 2^level members and the tasks' repeats, so one shuffle by region and a
+    window find them. Heavy ones are counted before they are shuffled, and their join is one that Spark may split.
+    """
+    w = Window.partitionBy("cell")
+    rows = regions(docs, order, False, t, k, level).withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)})
+    rows = rows.filter("lo <> hi").select("cell", "id")
+    if order.max() >= level:
+        met = materialise(regions(docs, order, True, t, k, level))
+        several = met.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("cell")
+        rows = rows.union(met.join(several, "cell"))
+    return materialise(rows)
 
 
 def near(n_a, n_b, d, t: int):
@@ -235,8 +257,11 @@ def voronoi(rows: DataFrame, nodes: DataFrame, t: int, turn: int, pivots: int =
     return held.select("cell", "id", "n", "label", "inner", "m", "vec", "pivots").mapInPandas(run, "cell long, id long, n int, label long, inner boolean, gap int, parent long, m long")
 
 
-def compare(rows: DataFrame, nodes: DataFrame, t: int = T, leaf: int = LEAF) -> DataFrame:
-    """Pairs (a, b) of different components within the windows of a region, whole regions in blocks of about `leaf`."""
+def compare(rows: DataFrame, nodes: DataFrame, t: int = T, leaf: int = LEAF, tries: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components within the windows of a region, whole regions in blocks of about `leaf`.
+
+    With `tries`, only about so many of a region for each two components.
+    """
     blocks = F.ceil(F.col("m") / leaf)
     rows = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("part", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
@@ -245,64 +270,70 @@ def compare(rows: DataFrame, nodes: DataFrame, t: int = T, leaf: int = LEAF) ->
     tasks = rows.agg(F.ceil(F.count(F.lit(1)) / 30_000)).first()[0] or 1
     rows = rows.withColumn("bucket", F.pmod(F.col("part"), F.lit(int(tasks)))).join(nodes.select("id", "vec"), "id")
 
+    def thin(found: list) -> list:
+        rows = pd.DataFrame(np.concatenate(found), columns=["part", "la", "lb", "a", "b"])
+        return [rows.groupby(["part", "la", "lb"], sort=False).head(tries).to_numpy()]
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["part", "n", "id"], kind="stable")
         cell, n, gap, ids, label, cross = (part[c].to_numpy() for c in ("part", "n", "gap", "id", "label", "cross"))
-        inner = part["inner"].to_numpy(bool)
+        inner, n = part["inner"].to_numpy(bool), n.astype(np.int64)
         vec = np.frombuffer(b"".join(part["vec"]), np.uint8).reshape(-1, DIMS)
-        out, at, step = [], np.arange(len(part)), 1
+        out, held, at, step = [np.zeros((0, 5), np.int64)], 0, np.arange(len(part)), 1
         while len(at):
             at = at[at + step < len(part)]
-            at = at[(cell[at] == cell[at + step]) & (100 * n[at].astype(np.int64) >= t * n[at + step].astype(np.int64))]
+            at = at[(cell[at] == cell[at + step]) & (100 * n[at] >= t * n[at + step])]
             to = at + step
             ok = (label[at] != label[to]) & (inner[at] | inner[to]) & (cross[at] + cross[to] == 0)
-            ok &= near(n[at].astype(np.int64), n[to], np.abs(gap[at] - gap[to]), t)
+            ok &= near(n[at], n[to], np.abs(gap[at] - gap[to]), t)
             x, y = at[ok], to[ok]
             for lo in range(0, len(x), 4096):
                 i, j = x[lo : lo + 4096], y[lo : lo + 4096]
                 d = np.abs(vec[i].astype(np.int16) - vec[j]).sum(axis=1)
-                hit = near(n[i].astype(np.int64), n[j], d, t)
-                out.append((np.minimum(ids[i], ids[j])[hit], np.maximum(ids[i], ids[j])[hit]))
+                hit = near(n[i], n[j], d, t)
+                i, j = i[hit], j[hit]
+                low = label[i] < label[j]
+                out.append(np.stack([cell[i], np.where(low, label[i], label[j]), np.where(low, label[j], label[i]), np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+                held += len(i)
+                if tries and held > 500_000:
+                    out, held = thin(out), 0
             step += 1
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate([a for a, _ in out] or none), "b": np.concatenate([b for _, b in out] or none)})
+        found = (thin(out) if tries else out) if held or len(out) > 1 else out
+        got = np.concatenate(found)
+        return pd.DataFrame({"a": got[:, 3], "b": got[:, 4]}).drop_duplicates()
 
     return rows.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
-def jaccard_links(docs: DataFrame, nodes: DataFrame, order: np.ndarray, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_links(docs: DataFrame, nodes: DataFrame, order: np.ndarray, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS, level: int = HEAVY) -> DataFrame:
     """(id, label): the component of every set that links with another."""
-    met = materialise(regions(docs, order, t, k))
-    several = met.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("cell")
-    shared = materialise(met.join(several, "cell"))
-    release(met)
+    shared = shared_regions(docs, order, t, k, level)
     rows = shared.distinct()
     half = F.lit((1 << 31) - 1)
     # Regions with equal members count once; sums of the ids' halves stand for the members.
     kept = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.sum(F.col("id").bitwiseAND(half)).alias("s1"), F.sum(F.shiftrightunsigned("id", 31).bitwiseAND(half)).alias("s2"))
     kept = kept.groupBy("m", "pivot", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "m", "pivot")
-    rows = materialise(rows.join(kept, "cell"))
+    rows = materialise(rows.join(kept, "cell").join(nodes.select("id", "n"), "id"))
     release(shared)
     few = rows.filter(F.col("m") <= small)
-    pairs = few.alias("x").join(few.alias("y"), "cell").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = few.alias("x").join(few.alias("y"), "cell").filter("x.id < y.id").filter(100 * F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n"))
     star = rows.filter((F.col("m") > small) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    pairs = materialise(bounded(pairs.union(star).distinct(), nodes, t))
+    pairs = materialise(bounded(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(star).distinct(), nodes, t))
     edges = materialise(links(docs, pairs, nodes, t, k))
     label = components(edges)
     rest = materialise(unsettled(rows.filter(F.col("m") > small).select("cell", "id", "n"), label))
-    left, turn = rest.count(), 0
-    while left:  # one more pivot per region while that settles a fifth of what is left
+    left, turn = rest.select("label").distinct().count(), 0
+    while left:  # a few more pivots per region while they join a tenth of the components that meet
         turn += 1
         rank = F.xxhash64(F.lit(turn), "id")
-        pivot = rest.groupBy("cell").agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("id"), F.col("label").alias("l"))).alias("p")).select("cell", "p.id", "p.l").toDF("cell", "pivot", "pl")
+        pivot = rest.groupBy("cell", F.pmod(rank, F.lit(STARS)).alias("slot")).agg(F.min(F.struct(rank.alias("h"), F.col("id").alias("id"), F.col("label").alias("l"))).alias("p")).select("cell", "p.id", "p.l").toDF("cell", "pivot", "pl")
         star = rest.join(pivot, "cell").filter("label <> pl").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         star = materialise(bounded(star, nodes, t))
-        found = materialise(links(docs, star, nodes, t, k))
-        edges = materialise(edges.union(found))
+        edges = materialise(edges.union(links(docs, star, nodes, t, k)))
         label = components(edges)
         rest = materialise(unsettled(rest, label))
-        before, left = left, rest.count()
-        if left > 0.8 * before:
+        before, left = left, rest.select("label").distinct().count()
+        if left > 0.9 * before:
             break
     if not left:
         return label
@@ -324,18 +355,23 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, order: np.ndarray, t: int =
     todo = done[0]
     for d in done[1:]:
         todo = todo.unionByName(d)
+    todo = materialise(todo)
+    # A few pairs of each two components join most that belong together; then every pair that is left.
+    pairs = materialise(compare(todo, nodes, t, leaf, TRIES))
+    edges = materialise(edges.union(links(docs, pairs, nodes, t, k)))
+    todo = materialise(unsettled(todo, components(edges)))
     pairs = materialise(compare(todo, nodes, t, leaf))
     return components(materialise(edges.union(links(docs, pairs, nodes, t, k))))
 
 
-def jaccard_components(docs: DataFrame, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_components(docs: DataFrame, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS, level: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select("doc_id", "text")
     survey = materialise(survey_sets(docs, k))
     members = survey.filter("g < 0").select("doc_id", F.col("n").alias("n_shingles"), "id")
     nodes = survey.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("vec").alias("vec"))
     nodes = materialise(nodes)
-    label = jaccard_links(docs, nodes, class_order(survey), t, k, small, leaf, pivots)
+    label = jaccard_links(docs, nodes, class_order(survey), t, k, small, leaf, pivots, level)
     named = nodes.select("id", "doc").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     classes = named.join(first, "label").select("id", "component_id")
