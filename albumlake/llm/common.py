@@ -6,7 +6,7 @@ import os
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word pattern of every contract: anything but space and the ASCII controls 9 to 13.
@@ -56,9 +56,26 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def words_col(text) -> F.Column:
-    """array<string> of the contract's words; null or blank text gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, for names used on the way."""
+    p = "_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
+def with_outputs(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
+    """df plus the fields `names` of the struct `made`; they replace columns of the same name (compared without case)."""
+    at = free_prefix(df) + "made"
+    taken = {n.lower() for n in names}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+    return df.withColumn(at, made).select(*kept, *[F.col(at)[n].alias(n) for n in names])
+
+
+def word_count(text) -> Column:
+    """The number of the contract's words; null has none."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, GAP)))
 
 
 def crc(value) -> int:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, words_col
+from .common import materialise, table, word_count
 
 MAX_EPOCHS = 4.0
 BLOCKS = 1024
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     """
     d = docs.withColumns({
         "_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-        "n_tokens": F.size(words_col(F.col(text))).cast("long"),
+        "n_tokens": word_count(F.col(text)).cast("long"),
         "_h": F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col(text), F.lit(""))),
     }).withColumn("block", F.pmod("_h", F.lit(blocks)).cast("int"))
     per_block = d.groupBy("_src", "block").agg(F.sum("n_tokens").alias("block_tokens"))
