@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,20 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and lost executors recompute nothing before it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    schema = df.schema
+@contextmanager
+def freed_shuffles(spark: SparkSession):
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(FREE_SHUFFLES)
         else:
             spark.conf.set(FREE_SHUFFLES, before)
+
+
+def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, and lost executors recompute nothing before it."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    schema = df.schema
+    with freed_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out

@@ -1,21 +1,23 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot in fixed-stride shards.
 
 Documents are cut in sequences of `length` ids, the last padded with the end id; each ends with an end id. Null and
-empty texts are one sequence of end ids. Repeated rows are separate sequences, told apart by a hash order that repeats
-settle by position in the written table. An empty table gives no slots.
+empty texts are one sequence of end ids. A sequence's index is its place in the table of sequences, which is written once,
+so repeated rows and repeated ids are separate sequences; over the same files in the same splits the order is the same.
+Other columns are not read. An empty table gives no slots.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
-from .wfst import _transducer, default_vocabulary, read_vocabulary
+from .common import freed_shuffles, materialise, release, shared_dir, table
+from .wfst import _slices, _transducer, default_vocabulary, read_vocabulary
 
-LENGTH, PER_SHARD, SEED, ROUNDS = 512, 4096, 2026, 6
+LENGTH, PER_SHARD, SHARDS_PER_TASK, SEED, ROUNDS = 512, 16_384, 2, 2026, 6
 END_ID = 2
 
 
@@ -44,50 +46,57 @@ def feistel(index: np.ndarray, total: int, seed: int = SEED, rounds: int = ROUND
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
     """doc_id, seq_no, ids binary (little-endian uint16, fixed stride of 2 * length bytes)."""
     held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or default_vocabulary()))
+    stride = 2 * length
 
     def run(batches):
         t = _transducer(held.value)
         for b in batches:
-            for lo in range(0, len(b), 64):
-                rows = []
-                for doc, text in zip(b["doc_id"].iloc[lo : lo + 64], b["text"].iloc[lo : lo + 64], strict=True):
-                    ids = [*t.encode(text), END_ID]
-                    flat = np.full(-(-len(ids) // length) * length, END_ID, "<u2")
-                    flat[: len(ids)] = ids
-                    rows += [(doc, i, flat[i * length : (i + 1) * length].tobytes()) for i in range(len(flat) // length)]
-                yield pd.DataFrame(rows, columns=["doc_id", "seq_no", "ids"])
+            docs_, at = b.column("doc_id").to_numpy(zero_copy_only=False), 0
+            for ids, counts, _ in t.encode_texts(b.column("text").to_pylist()):
+                n = counts // length + 1  # the ids and one end id at least
+                flat = np.full(int(n.sum()) * length, END_ID, "<u2")
+                flat[_slices((np.cumsum(n) - n) * length, counts)] = ids
+                total = int(n.sum())
+                data = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(0, (total + 1) * stride, stride, dtype=np.int32)), pa.py_buffer(flat)])
+                yield pa.record_batch([pa.array(np.repeat(docs_[at : at + len(n)], n), pa.int64()), pa.array(_slices(np.zeros(len(n), np.int64), n), pa.int32()), data], names=["doc_id", "seq_no", "ids"])
+                at += len(n)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, seq_no int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, seq_no int, ids binary")
 
 
-def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> tuple[DataFrame, int]:
-    """One row per sequence, in no order: slot, shard, offset (bytes in the shard), doc_id, seq_no, ids; and their number.
+def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """One row per sequence, in no order: slot, shard, offset (bytes in the shard), doc_id, seq_no, ids; their number; and
+    the written table that they are read from.
 
-    A dense index comes from the written table: rows are counted per hash cell (a bounded number of cells), and a row's
-    place within its cell is a window over that cell only.
+    The sequences are written once, each with its task and its place in it. A table of one row per task gives where its
+    index starts, so every row has its index, and by the permutation its slot, without a shuffle.
     """
-    made = sequences(docs, length, vocabulary).withColumn("_k", F.xxhash64("doc_id", "seq_no"))
-    made = materialise(made.withColumn("_cell", F.pmod("_k", F.lit(4096)).cast("int")).withColumn("_u", F.monotonically_increasing_id()))
-    cells = made.groupBy("_cell").count().orderBy("_cell").collect()
-    total = sum(r["count"] for r in cells)
-    starts = np.concatenate([[0], np.cumsum([r["count"] for r in cells])]).tolist()
-    start = made.sparkSession.createDataFrame([(r["_cell"], s) for r, s in zip(cells, starts[:-1], strict=True)], "_cell int, _start long")
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_k", "_u")) - 1
-    indexed = made.select("_cell", "_k", "_u").withColumn("_i", place).join(F.broadcast(start), "_cell").select("_u", (F.col("_start") + F.col("_i")).alias("_index"))
+    id_ = F.monotonically_increasing_id()
+    made = sequences(docs, length, vocabulary).select("*", F.shiftright(id_, 33).cast("int").alias("task"), id_.bitwiseAND((1 << 33) - 1).alias("place"))
+    made = materialise(made, codec="zstd")
+    tasks = made.groupBy("task").count().orderBy("task").collect()
+    total = sum(r["count"] for r in tasks)
+    starts = np.concatenate([[0], np.cumsum([r["count"] for r in tasks])]).tolist()
+    start = made.sparkSession.createDataFrame([(r["task"], s) for r, s in zip(tasks, starts[:-1], strict=True)], "task int, start long")
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, seed))
 
-    slots = indexed.select("_u", slot("_index").alias("slot"))
-    out = made.join(slots, "_u").select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "seq_no", "ids")
-    return out, total
+    out = made.join(F.broadcast(start), "task").select(slot(F.col("start") + F.col("place")).alias("slot"), "doc_id", "seq_no", "ids")
+    return out.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "seq_no", "ids"), total, made
+
+
+def by_shard(rows: DataFrame, total: int, per_shard: int) -> DataFrame:
+    """Rows in order of slot, in partitions of whole shards: partition p has the shards p, p + n, p + 2n and so on."""
+    n = max(-(-total // (per_shard * SHARDS_PER_TASK)), 1)
+    return rows.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", "slot")
 
 
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
-    """slotted() rows, sorted in range partitions by slot."""
-    out, total = slotted(docs, length, per_shard, seed, vocabulary)
-    return out.repartitionByRange(max(min(-(-total // per_shard), 10_000), 1), "slot").sortWithinPartitions("slot")
+    """slotted() rows, sorted in partitions of whole shards."""
+    rows, total, _ = slotted(docs, length, per_shard, seed, vocabulary)
+    return by_shard(rows, total, per_shard)
 
 
 SHARDS = "shard long, n int, stride int, data binary, doc_ids array<long>, seq_nos array<int>"
@@ -114,21 +123,36 @@ def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, p
         if held:
             yield pack(pd.concat(held, ignore_index=True))
 
-    parts = rows.repartition(max(min(-(-total // per_shard), 10_000), 1), "shard").sortWithinPartitions("shard", "slot")
-    parts.select("shard", "doc_id", "seq_no", "ids").mapInPandas(run, SHARDS).write.partitionBy("shard").parquet(path)
+    parts = by_shard(rows, total, per_shard).select("shard", "doc_id", "seq_no", "ids").mapInPandas(run, SHARDS)
+    with freed_shuffles(rows.sparkSession):
+        parts.write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, start: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, start: int = 0, per_shard: int = PER_SHARD, rows: int = 2048) -> DataFrame:
     """Rows from slot `start` on: earlier shards' files are not opened, and ids are cut from the data by offset."""
     files = spark.read.schema(SHARDS).parquet(path).filter(F.col("shard") >= start // per_shard)
-    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
-        (F.col("shard") * per_shard + i).alias("slot"), F.col("shard"), (i * F.col("stride")).cast("long").alias("offset"),
-        F.get("doc_ids", i).alias("doc_id"), F.get("seq_nos", i).alias("seq_no"), F.substring("data", i * F.col("stride") + 1, F.col("stride")).alias("ids"),
-    ))
-    return files.select(F.inline(cut)).filter(F.col("slot") >= start)
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                shard, n, stride = (b.column(c)[r].as_py() for c in ("shard", "n", "stride"))
+                data, docs, seqs = b.column("data")[r].as_buffer(), b.column("doc_ids")[r].values, b.column("seq_nos")[r].values
+                for lo in range(max(start - shard * per_shard, 0), n, rows):
+                    m = min(rows, n - lo)
+                    ends = pa.py_buffer(np.arange(0, (m + 1) * stride, stride, dtype=np.int32))
+                    ids = pa.Array.from_buffers(pa.binary(), m, [None, ends, data.slice(lo * stride, m * stride)])
+                    place = np.arange(lo, lo + m)
+                    yield pa.record_batch(
+                        [pa.array(shard * per_shard + place), pa.array(np.full(m, shard)), pa.array(place * stride), docs.slice(lo, m), seqs.slice(lo, m), ids],
+                        names=["slot", "shard", "offset", "doc_id", "seq_no", "ids"],
+                    )
+
+    return files.mapInArrow(run, "slot long, shard long, offset long, doc_id long, seq_no int, ids binary")
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
-    write_shards(*slotted(table(spark, sf_dir, "documents")), path)
+    rows, total, made = slotted(table(spark, sf_dir, "documents"))
+    write_shards(rows, total, path)
+    release(made)
     return read_shards(spark, path)
