@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence probabilities combined by noisy-or, trained from document labels.
 
 Features of a sentence are its distinct words and their beginnings of PREFIXES letters, so that unseen forms of a learned
-stem count. Only features whose document counts differ between the labels (G-test of at least MIN_GAIN) take part: the
+stem count. Only features of several toxic documents whose counts differ between the labels (G-test of at least MIN_GAIN) take part: the
 others would let the fit memorise documents. A fifth of the sample is set aside to place the score at which toxic and
 clean documents part best at THRESHOLD; the weights are then fitted again on the whole sample.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -50,19 +51,23 @@ def gain(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
 
 def fit_weights(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1, l2: float = 0.05) -> dict:
     """Feature weights and bias maximising the noisy-or likelihood of document labels, by Adam on the whole sample."""
-    bags = [[{f for w in set(_TOKEN.findall(t[a:b].lower())) for f in word_features(w)} for a, b in sentence_spans(t)] for t in texts]
-    n_pos, count = sum(labels), {}
-    for bag, y in zip(bags, labels, strict=True):
-        for f in set().union(*bag):
-            count.setdefault(f, [0, 0])[y] += 1
+    def bag(text: str) -> list[set[str]]:
+        return [{f for w in set(_TOKEN.findall(text[a:b].lower())) for f in word_features(w)} for a, b in sentence_spans(text)]
+
+    n_pos, pos, neg = sum(labels), Counter(), Counter()
     n_neg = len(labels) - n_pos
-    vocab = [f for f, (neg, pos) in count.items() if neg + pos >= MIN_DOCS and gain(pos, neg, n_pos, n_neg) >= MIN_GAIN]
+    for t in (t for t, y in zip(texts, labels, strict=True) if y):
+        pos.update(set().union(*bag(t)))
+    pos = Counter({f: n for f, n in pos.items() if n > 1})
+    for t in (t for t, y in zip(texts, labels, strict=True) if not y):
+        neg.update(f for f in set().union(*bag(t)) if f in pos)
+    vocab = [f for f, n in pos.items() if n + neg[f] >= MIN_DOCS and gain(n, neg[f], n_pos, n_neg) >= MIN_GAIN]
     vocab = {f: i for i, f in enumerate(sorted(vocab))}
     if not vocab or not n_pos or not n_neg:
         return {"bias": -30.0, "shift": 0.0, "weights": {}}
     sent, feature, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, text in enumerate(texts):
+        for s in bag(text):
             ids = [vocab[f] for f in sorted(s) if f in vocab]
             sent += [len(doc)] * len(ids)
             feature += ids
