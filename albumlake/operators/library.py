@@ -25,7 +25,14 @@ def clause(rule: dict) -> Column:
     if kind == "minRating":
         return F.coalesce(F.col("rating"), F.lit(0)) >= rule["value"]
     if kind == "keyword":
-        return contains_ci(F.col("keyword"), rule["value"]) if rule["value"].strip() else F.lit(True)
+        return F.exists("keywords", lambda k: contains_ci(k, rule["value"])) if rule["value"].strip() else F.lit(True)
+    if kind == "person":
+        if not rule["value"].strip():
+            return F.lit(True)
+        return F.coalesce(F.exists("persons_shown", lambda p: contains_ci(p, rule["value"])), F.lit(False))
+    if kind == "location":
+        places = F.array_compact(F.array("city", "country"))
+        return F.exists(places, lambda p: contains_ci(p, rule["value"])) if rule["value"].strip() else F.lit(True)
     if kind == "colorLabel":
         return F.coalesce(F.lower("color_label") == rule["value"].lower(), F.lit(False))
     if kind == "pickState":
@@ -40,20 +47,32 @@ def clause(rule: dict) -> Column:
     raise ValueError(f"unknown clause {kind}")
 
 
-def smart_album(photos: DataFrame, clauses: list[dict], mode: str = "and") -> DataFrame:
+def rule(clauses: list[dict], mode: str = "and") -> Column:
+    """AND or OR over the clauses; a rule without clauses matches every photo."""
     if not clauses:
-        return photos
-    return photos.filter(reduce(Column.__and__ if mode == "and" else Column.__or__, map(clause, clauses)))
+        return F.lit(True)
+    return reduce(Column.__and__ if mode == "and" else Column.__or__, map(clause, clauses))
+
+
+def smart_album(photos: DataFrame, clauses: list[dict], mode: str = "and") -> DataFrame:
+    return photos.filter(rule(clauses, mode))
 
 
-def smart_albums_membership(photos: DataFrame, albums: dict[str, list[dict]]) -> DataFrame:
-    """Photos per album, all rules in one pass."""
-    hits = F.array_compact(F.array(*[F.when(reduce(Column.__and__, map(clause, c)), F.lit(n)) for n, c in albums.items()]))
+def smart_albums_membership(photos: DataFrame, albums: dict[str, list[dict]], modes: dict[str, str] | None = None) -> DataFrame:
+    """Photos per album, all rules in one pass; modes has the albums that are not AND."""
+    hits = F.array_compact(F.array(*[F.when(rule(c, (modes or {}).get(n, "and")), F.lit(n)) for n, c in albums.items()]))
     return photos.select(F.explode(hits).alias("album")).groupBy("album").agg(F.count("*").alias("n"))
 
 
-def timeline_histogram(photos: DataFrame, granularity: str) -> DataFrame:
-    """Dense counts per day, week or month bucket between the first and last photo."""
+def auto_granularity(photos: DataFrame) -> str:
+    """Day for a span under a year, week under five, else month."""
+    days = photos.agg(F.datediff(F.max("captured"), F.min("captured"))).first()[0]
+    return "day" if days is None or days < 365 else "week" if days < 5 * 365 else "month"
+
+
+def timeline_histogram(photos: DataFrame, granularity: str | None = None) -> DataFrame:
+    """Dense counts per day, week or month bucket between the first and last photo; by default auto_granularity's."""
+    granularity = granularity or auto_granularity(photos)
     counts = photos.filter("captured is not null").groupBy(F.date_trunc(granularity, "captured").cast("date").alias("bucket")).agg(F.count("*").alias("n"))
     step = {"day": "1 day", "week": "7 days", "month": "1 month"}[granularity]
     spine = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("bucket"))
@@ -94,6 +113,9 @@ def memories(photos: DataFrame, today: str) -> DataFrame:
 
 
 def geo_grid_cluster(photos: DataFrame, degrees: float) -> DataFrame:
+    """Photos per cell of `degrees` with their mean place; without a positive size every photo is a cell of its own."""
+    if degrees <= 0:
+        return photos.filter(is_valid_gps(F.col("lat"), F.col("lon"))).select(F.col("file_id").alias("cell_lon"), F.lit(0).cast("long").alias("cell_lat"), F.lit(1).cast("long").alias("n"), "lat", "lon")
     cell = [F.floor(F.col(c) / degrees).alias(f"cell_{c}") for c in ("lon", "lat")]
     return photos.filter(is_valid_gps(F.col("lat"), F.col("lon"))).groupBy(*cell).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
 
@@ -127,7 +149,7 @@ def burst_gaps(photos: DataFrame, by: list[str], seconds: int = 2) -> DataFrame:
 
 def geofence_match(photos: DataFrame, bookmarks: DataFrame, cell: float = 1.0) -> DataFrame:
     """Photo x bookmark within its radius: bookmarks spread over the grid cells they can touch, equi-join, exact filter."""
-    b = bookmarks.filter("radius_m > 0").select("ord", F.col("lat").alias("blat"), F.col("lon").alias("blon"), "radius_m")
+    b = bookmarks.filter("radius_m > 0").filter(is_valid_gps(F.col("lat"), F.col("lon"))).select("ord", F.col("lat").alias("blat"), F.col("lon").alias("blon"), "radius_m")
     dlat = F.col("radius_m") / 111_000
     dlon = F.least(dlat / F.greatest(F.cos(F.radians(F.abs("blat") + dlat)), F.lit(1e-6)), F.lit(360.0))
     lats = F.sequence(F.floor((F.col("blat") - dlat) / cell), F.floor((F.col("blat") + dlat) / cell))

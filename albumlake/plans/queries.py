@@ -14,7 +14,7 @@ ALBUMS = {
     "red": [{"type": "colorLabel", "value": "red"}],
     "box": [{"type": "gpsBox", "value": BOX}, {"type": "keyword", "value": "K3"}],
 }
-HAV = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(b.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - p.lon) / 2), 2), 1.0)))"
+HAV = "2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(b.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - p.lon) / 2), 2), 1.0)))"
 
 
 def _photos(fn):
@@ -45,6 +45,9 @@ QUERIES = {
     "timeline_histogram_day": _photos(lambda p: L.timeline_histogram(p, "day")),
     "timeline_histogram_week": _years(lambda p: L.timeline_histogram(p, "week")),
     "timeline_histogram_month": _years(lambda p: L.timeline_histogram(p, "month")),
+    "timeline_histogram": _years(L.timeline_histogram),
+    "clause_person": _album({"type": "person", "value": "p1"}),
+    "clause_location": _album({"type": "location", "value": "y3"}),
     "person_timeline": _years(L.person_timeline),
     "memories_day": _years(lambda p: L.memories(p, "2002-06-15").filter("time_window = 'Day' and years_ago > 0").select("file_id", "years_ago")),
     "memories": _years(lambda p: L.memories(p, "1995-06-15")),
@@ -54,7 +57,6 @@ QUERIES = {
     "geofence_match": lambda spark, sf: L.geofence_match(relation(spark, sf, "photos"), relation(spark, sf, "bookmarks")),
     "gpx_asof_before": _photos(_asof),
     "history_push": _photos(lambda p: L.history_push(p, ["user_id"], "file_id", 20).select("user_id", "file_id", F.col("depth").cast("long").alias("depth"))),
-    "distinct_keywords": _photos(lambda p: p.groupBy(F.lower("keyword").alias("keyword")).agg(F.count("*").alias("n"))),
 }
 
 
@@ -82,6 +84,9 @@ SQL = {
     "timeline_histogram_day": _dense(P, "day", "1 day"),
     "timeline_histogram_week": _dense(Y, "week", "7 days"),
     "timeline_histogram_month": _dense(Y, "month", "1 month"),
+    "timeline_histogram": _dense(Y, "month", "1 month"),
+    "clause_person": _where("len(list_filter(coalesce(persons_shown, []), lambda x: contains(lower(x), 'p1'))) > 0"),
+    "clause_location": _where("contains(lower(coalesce(city, '')), 'y3') or contains(lower(coalesce(country, '')), 'y3')"),
     "person_timeline": f"""select a.person, a.year, a.n, b.first_seen, b.last_seen from
       (select person, cast(year(captured) as int) as year, count(*) n from {Y} p group by 1, 2) a
       join (select person, cast(min(captured) as date) first_seen, cast(max(captured) as date) last_seen from {Y} p group by 1) b on a.person = b.person""",
@@ -101,5 +106,9 @@ SQL = {
     "gpx_asof_before": f"""select p.file_id, max(t.captured) as before from {P} p left join {P} t
       on t.user_id = p.user_id and t.event_type = 'view' and t.captured < p.captured where p.event_type <> 'view' group by 1""",
     "history_push": f"select user_id, file_id, depth from (select user_id, file_id, row_number() over (partition by user_id order by file_id desc) depth from {P} p) where depth <= 20",
-    "distinct_keywords": f"select lower(keyword) keyword, count(*) n from {P} p group by 1",
 }
+
+from . import more  # noqa: E402
+
+QUERIES |= more.Q
+SQL |= more.SQL

@@ -1 +1 @@
-"""Photo-library analytics on Spark."""
+"""Structured Streaming jobs over photos and edits."""
