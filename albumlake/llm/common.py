@@ -71,6 +71,15 @@ def with_outputs(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
     return df.withColumn(at, made).select(*kept, *[F.col(at)[n].alias(n) for n in names])
 
 
+def set_aside(df: DataFrame, inside: list[str], outputs: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with those columns renamed whose names an operator uses `inside`; and the columns that give back all of df's but
+    the ones that `outputs` replace (names compared without case)."""
+    p, away = free_prefix(df), {n.lower() for n in [*inside, *outputs]}
+    names = {c: f"{p}{i}" if c.lower() in away else c for i, c in enumerate(df.columns)}
+    gone = {n.lower() for n in outputs}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(f"`{n}`").alias(c) for c, n in names.items() if c.lower() not in gone]
+
+
 def word_count(text) -> Column:
     """The number of the contract's words; null has none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

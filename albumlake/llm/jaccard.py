@@ -68,13 +68,13 @@ def survey_sets(docs: DataFrame, k: int = K) -> DataFrame:
                 ids.append(key)
                 sizes.append(len(s))
                 vecs.append(class_counts(s).tobytes() if new else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": sizes, "id": pd.array(ids, "Int64"), "vec": vecs, "g": -1, "counts": None})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": sizes, "id": pd.array(ids, "Int64"), "vec": vecs, "g": -1, "counts": None})
         for g in range(CLASSES // PAGE):
             page = seen[g * PAGE : (g + 1) * PAGE]
             if page.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "id": pd.array([None], "Int64"), "vec": [None], "g": [g], "counts": [page.tobytes()]})
+                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "text_hash": pd.array([None], "Int64"), "n": [0], "id": pd.array([None], "Int64"), "vec": [None], "g": [g], "counts": [page.tobytes()]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, id long, vec binary, g int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, n long, id long, vec binary, g int, counts binary")
 
 
 def class_order(survey: DataFrame) -> np.ndarray:
@@ -365,18 +365,18 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, order: np.ndarray, t: int =
 
 
 def jaccard_components(docs: DataFrame, t: int = T, k: int = K, small: int = SMALL, leaf: int = LEAF, pivots: int = PIVOTS, level: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for every row of docs."""
     docs = docs.select("doc_id", "text")
     survey = materialise(survey_sets(docs, k))
-    members = survey.filter("g < 0").select("doc_id", F.col("n").alias("n_shingles"), "id")
+    members = survey.filter("g < 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "id")
     nodes = survey.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("vec").alias("vec"))
     nodes = materialise(nodes)
     label = jaccard_links(docs, nodes, class_order(survey), t, k, small, leaf, pivots, level)
     named = nodes.select("id", "doc").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     first = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     classes = named.join(first, "label").select("id", "component_id")
-    return members.join(classes, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return members.join(classes, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -1,7 +1,7 @@
 """Language ID of code-switched text: a linear-chain CRF labels every word, by forward-backward.
 
-Features of a word: affixes of 1 to 3 letters, character trigrams, and the word itself (lexicon). Chains are lines; a
-long line is cut every CHAIN words. Null texts and texts without a letter are `und` with score 0; so is everything when
+Features of a word: affixes of 1 to 3 letters, character trigrams, and the word itself (lexicon). A line is a chain,
+however long. Result columns replace input columns of the same name (compared without case). Null texts and texts without a letter are `und` with score 0; so is everything when
 nothing can be learned. The fit uses at most SAMPLE_ROWS rows of any length, drawn per language, and of a longer row
 SAMPLE_CHARS characters in pieces spread over the whole text (a documented bound).
 """
@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, excerpt, stratified_sample, table
+from .common import crc_mod, excerpt, stratified_sample, table, with_outputs
 
-SAMPLE_ROWS, SAMPLE_CHARS, CHAIN, DIM = 600, 8000, 64, 1 << 16
+SAMPLE_ROWS, SAMPLE_CHARS, DIM, TOGETHER = 600, 8000, 1 << 16, 1 << 16
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -43,14 +43,22 @@ def word_features(word: str) -> list[int]:
     return [_slots[n] for n in dict.fromkeys(names)]
 
 
-def chains(text: str | None) -> list[list[str]]:
+def letter_words(line: str) -> list[str]:
+    """Runs of letters, in lower case; digits, marks and number forms (as in a superscript two) part words."""
     out = []
-    for line in (text or "").split("\n"):
-        words = _TOKEN.findall(line.lower())
-        out += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
+    for w in _TOKEN.findall(line.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
     return out
 
 
+def chains(text: str | None) -> list[list[str]]:
+    """The words of each line: a line is one chain, however long."""
+    return [letter_words(line) for line in (text or "").split("\n")]
+
+
 def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (chains, words, labels) of padded chains, all chains at once, and where `count`, expected transitions."""
     n, steps, k = emit.shape
@@ -93,7 +101,9 @@ def fit_crf(texts: list[str], langs: list[str], rounds: int = 3, rate: float = 0
     feats: dict[str, np.ndarray] = {}
     for _ in range(rounds if k > 1 else 0):
         for lo in range(0, len(data), 32):
-            part = data[lo : lo + 32]
+            part = [x for x in data[lo : lo + 32] if x[0]]
+            if not part:
+                continue
             ids = [[feats[w] if w in feats else feats.setdefault(w, np.array(word_features(w))) for w in c] for c, _ in part]
             flat = [f for c in ids for f in c]
             at, owner = np.concatenate(flat), np.repeat(np.arange(len(flat)), [len(f) for f in flat])
@@ -156,8 +166,12 @@ class Tagger:
         out: list[list] = [[] for _ in texts]
         done: list = [None] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i][1]))
-        for lo in range(0, len(order), 1024):
-            pick = order[lo : lo + 1024]
+        lo = 0
+        while lo < len(order):  # chains of about one length together, so that padding stays small
+            hi = lo + 1
+            while hi < len(order) and (hi - lo + 1) * len(rows[order[hi]][1]) <= TOGETHER and hi - lo < 2048:
+                hi += 1
+            pick, lo = order[lo:hi], hi
             sizes = np.array([len(rows[i][1]) for i in pick])
             mask = np.arange(sizes[-1]) < sizes[:, None]
             emit = np.zeros((*mask.shape, k))
@@ -187,11 +201,10 @@ def language_id(docs: DataFrame, model: dict) -> DataFrame:
                     rows.append(("und", 0.0, {}, 0.0))
                     continue
                 mean, best = post.mean(axis=0), np.bincount(post.argmax(axis=1), minlength=len(labels))
-                rows.append((labels[int(mean.argmax())], min(float(mean.max()), 1.0), {x: int(n) for x, n in zip(labels, best, strict=True) if n}, min(float(post.max(axis=1).mean()), 1.0)))
+                rows.append((labels[int(mean.argmax())], round(min(float(mean.max()), 1.0), 9), {x: int(n) for x, n in zip(labels, best, strict=True) if n}, round(min(float(post.max(axis=1).mean()), 1.0), 9)))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "word_langs", "certainty"])
 
-    made = docs.withColumn("_lid", judge("text"))
-    return made.select(*docs.columns, "_lid.lang_pred", "_lid.score", "_lid.word_langs", "_lid.certainty")
+    return with_outputs(docs, judge("text"), ["lang_pred", "score", "word_langs", "certainty"])
 
 
 _held: list = []

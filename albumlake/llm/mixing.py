@@ -2,7 +2,7 @@
 
 A null source is a source of its own; null and empty texts hold no tokens and ride along with their source (they cost no
 budget). A source without tokens is taken once. An empty table gives an empty result. Copies of a row come out as
-separate rows with their own `epoch`.
+separate rows with their own `epoch`. Result columns replace input columns of the same name (compared without case).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_count
+from .common import materialise, set_aside, table, word_count
 
 MAX_EPOCHS = 4.0
 BLOCKS = 1024
@@ -91,6 +91,7 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     single block only, never a whole source. For the exponent only sums go to the driver: the least and largest source
     total, or with a target entropy two sums over all sources for each exponent tried.
     """
+    docs, back = set_aside(docs, ["_src", "_h", "block_tokens", "whole", "left", "_times"], ["n_tokens", "weight", "epoch", "block", "order_key"])
     d = docs.withColumns({
         "_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
         "n_tokens": word_count(F.col(text)).cast("long"),
@@ -117,7 +118,7 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     d = d.withColumn("_times", F.col("whole") + F.when(extra, 1).otherwise(0))
     d = d.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     d = d.withColumn("order_key", F.xxhash64(F.lit(seed + 2), "epoch", "block", "_h"))
-    return d.select(*docs.columns, "n_tokens", "weight", "epoch", "block", "order_key")
+    return d.select(*back, "n_tokens", "weight", "epoch", "block", "order_key")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
