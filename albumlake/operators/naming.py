@@ -96,10 +96,10 @@ def keyword_paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
 def keyword_expand(photos: DataFrame, paths: DataFrame) -> DataFrame:
     """file_id, keyword: every keyword with all names above each node of its name; unknown words stay, trimmed."""
     words = photos.select("file_id", F.explode("keywords").alias("word")).withColumn("word", F.trim("word")).filter("word <> ''")
-    tree = paths.select(F.lower("name").alias("_key"), "path")
-    found = words.withColumn("_key", F.lower("word")).join(tree, "_key", "left")
-    names = found.select("file_id", F.explode(F.coalesce("path", F.array("word"))).alias("keyword"))
-    return names.groupBy("file_id", F.lower("keyword").alias("_key")).agg(F.min("keyword").alias("keyword")).drop("_key")
+    # Each name's own chain of names, once; nodes of one name and shared ancestors fall together before the join.
+    tree = paths.select(F.lower("name").alias("_key"), F.explode("path").alias("above")).groupBy("_key", F.lower("above").alias("_a")).agg(F.min("above").alias("above"))
+    found = words.withColumn("_key", F.lower("word")).join(tree.drop("_a"), "_key", "left").withColumn("keyword", F.coalesce("above", "word"))
+    return found.groupBy("file_id", F.lower("keyword").alias("_k")).agg(F.min("keyword").alias("keyword")).drop("_k")
 
 
 def vocabulary_clean(lines: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from albumlake.llm.wfst import encode_documents
 ORACLE_SQL = None
 #: On sf0.01 held-out documents had 0.918 or more; letter garbage and texts in languages never learned 0.808 or less.
 MIN_CERTAINTY = 0.85
+HASH = "__pipeline_text_hash"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +33,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or whose posterior quality is too low."""
-    return weak_supervision(docs).filter("kept").select(*docs.columns)
+    """Drops documents that fail the base rules or whose posterior quality is too low. Columns that the operator's own
+    would replace are passed on as they came."""
+    held = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__none")).alias("__row"))
+    kept = weak_supervision(held).filter("kept")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates."""
-    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps the document with the smallest id of each component of near duplicates; repeats of one row stay once. Rows
+    of one doc_id with different texts are documents of their own."""
+    key = docs.select("*", F.xxhash64("text").alias(HASH))
+    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id", F.col("text_hash").alias(HASH)).distinct()
+    return key.join(kept, ["doc_id", HASH], "left_semi").dropDuplicates(["doc_id", HASH]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
