@@ -137,7 +137,7 @@ def fit_language_id(docs: DataFrame) -> dict:
 class Tagger:
     """Word posteriors; emissions of words seen before are kept in a bounded cache."""
 
-    def __init__(self, model: dict, cache: int = 300_000):
+    def __init__(self, model: dict, cache: int = 150_000):
         self.model, self.limit = model, cache
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model["labels"])), np.float32)

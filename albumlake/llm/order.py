@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import freed_shuffles, materialise, release, shared_dir, table
-from .wfst import _slices, _transducer, default_vocabulary, read_vocabulary
+from .wfst import ROWS, _slices, _transducer, default_vocabulary, read_vocabulary
 
 LENGTH, PER_SHARD, SHARDS_PER_TASK, SEED, ROUNDS = 512, 16_384, 2, 2026, 6
 END_ID = 2
@@ -50,7 +50,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
 
     def run(batches):
         t = _transducer(held.value)
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             docs_, at = b.column("doc_id").to_numpy(zero_copy_only=False), 0
             for ids, counts, _ in t.encode_texts(b.column("text").to_pylist()):
                 n = counts // length + 1  # the ids and one end id at least

@@ -26,14 +26,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import free_prefix, table, with_outputs
+from .common import free_prefix, set_aside, table, with_outputs
 from .shingles import _BYTES, _powers, mix
 
 META, META_SYMBOL = "▁", 256
 BYTE_COST = 14.0
 MAX_VOCAB_BYTES = 16 << 20
-CHUNK, LONG_PART, KNOWN_PARTS = 1 << 20, 48, 1_000_000
+CHUNK, LONG_PART, KNOWN_PARTS = 1 << 19, 48, 600_000
+ROWS = 256
 
 
 def default_vocabulary() -> str:
@@ -83,7 +85,7 @@ class Transducer:
         if self.pieces and max(cost for _, cost in self.pieces.values()) >= BYTE_COST:
             raise ValueError("a byte must cost more than any piece")
         self.limit = known
-        self.normal = np.arange(256, dtype=np.int64)
+        self.normal = np.arange(256, dtype=np.int16)
         self.normal[ord(" ")] = META_SYMBOL
         self._forget()
 
@@ -120,7 +122,7 @@ class Transducer:
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next state of each, -1 where there is no arc."""
-        keys = state << 9 | symbol
+        keys = state << 9 | symbol.astype(np.int64)
         at = self._slot(keys)
         found = self.slots[at]
         out = np.where(found == keys, self.next[at], -1)
@@ -237,7 +239,7 @@ class Transducer:
         start = np.flatnonzero(head)
         size = np.diff(np.append(start, len(symbols)))
         if remember:
-            up, down = _powers(1 << max((len(symbols) - 1).bit_length(), 22))
+            up, down = _powers(1 << max((len(symbols) - 1).bit_length(), 21))
             sums = np.zeros(len(symbols) + 1, np.uint64)
             np.cumsum((_BYTES[symbols & 255] ^ (symbols >> 8).astype(np.uint64)) * up[: len(symbols)], out=sums[1:])
             keys = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
@@ -304,16 +306,23 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, text: str =
     """docs plus token_ids, n_tokens and round_trip (decoding gives the text back; null text counts as empty)."""
     held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or default_vocabulary()))
 
-    @F.arrow_udf("struct<token_ids array<int>, n_tokens bigint, round_trip boolean>")
-    def run(texts: pa.Array) -> pa.Array:
-        made = list(_transducer(held.value).encode_texts(texts.to_pylist()))
-        ids = np.concatenate([m[0] for m in made] or [np.zeros(0, np.int32)]).astype(np.int32)
-        counts = np.concatenate([m[1] for m in made] or [np.zeros(0, np.int64)])
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids)
-        same = np.concatenate([m[2] for m in made] or [np.zeros(0, bool)])
-        return pa.StructArray.from_arrays([lists, pa.array(counts), pa.array(same)], names=["token_ids", "n_tokens", "round_trip"])
+    names = ["token_ids", "n_tokens", "round_trip"]
+    rows, back = set_aside(docs.withColumn(free_prefix(docs) + "text", F.col(text)), [], names)
+    rows = rows.select(*back)
+    kept, at = rows.columns[:-1], rows.columns[-1]
+    schema = StructType([*rows.drop(at).schema.fields, *StructType.fromDDL("token_ids array<int>, n_tokens bigint, round_trip boolean").fields])
 
-    return with_outputs(docs, run(F.col(text)), ["token_ids", "n_tokens", "round_trip"])
+    def run(batches):
+        t = _transducer(held.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                made = list(t.encode_texts(part.column(at).to_pylist()))
+                ids, counts, same = (np.concatenate([m[i] for m in made]) for i in range(3))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, pa.array(counts), pa.array(same)], names=[*kept, *names])
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str | None = None, ids: str = "token_ids") -> DataFrame:
