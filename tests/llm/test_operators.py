@@ -55,7 +55,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("small,leaf,level", [(16, 2048, 20), (2, 8, 4)])
 def test_jaccard_equals_brute_force(spark, docs, small, leaf, level):
-    some = docs.select("doc_id", "text")
+    some = docs.select("doc_id", "text").limit(1000 if leaf > 100 else 150)
     base = [f"w{i}" for i in range(120)]
     near = []
     for v in range(60):  # a family of near copies, some only linked through others
