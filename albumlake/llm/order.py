@@ -88,9 +88,9 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, s
 
 
 def by_shard(rows: DataFrame, total: int, per_shard: int) -> DataFrame:
-    """Rows in order of slot, in partitions of whole shards: partition p has the shards p, p + n, p + 2n and so on."""
+    """Rows in order of slot, in range partitions of SHARDS_PER_TASK whole shards each."""
     n = max(-(-total // (per_shard * SHARDS_PER_TASK)), 1)
-    return rows.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", "slot")
+    return rows.repartitionById(n, F.floor(F.col("shard") / SHARDS_PER_TASK).cast("int")).sortWithinPartitions("shard", "slot")
 
 
 def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
