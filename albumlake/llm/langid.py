@@ -27,7 +27,7 @@ class _Slots(dict):
     """Weight row of a feature name; names recur, so their hashes are kept, up to a bound."""
 
     def __missing__(self, name: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         at = self[name] = zlib.crc32(name.encode()) % DIM
         return at

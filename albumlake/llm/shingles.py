@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BYTES = np.random.default_rng(20260101).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = 0x9E3779B97F4A7C15

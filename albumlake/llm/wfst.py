@@ -34,7 +34,7 @@ from .shingles import _BYTES, _powers, mix
 META, META_SYMBOL = "▁", 256
 BYTE_COST = 14.0
 MAX_VOCAB_BYTES = 16 << 20
-CHUNK, LONG_PART, KNOWN_PARTS = 1 << 19, 48, 600_000
+CHUNK, LONG_PART, KNOWN_PARTS = 1 << 18, 48, 300_000
 ROWS = 256
 
 
@@ -239,7 +239,7 @@ class Transducer:
         start = np.flatnonzero(head)
         size = np.diff(np.append(start, len(symbols)))
         if remember:
-            up, down = _powers(1 << max((len(symbols) - 1).bit_length(), 21))
+            up, down = _powers(1 << max((len(symbols) - 1).bit_length(), 19))
             sums = np.zeros(len(symbols) + 1, np.uint64)
             np.cumsum((_BYTES[symbols & 255] ^ (symbols >> 8).astype(np.uint64)) * up[: len(symbols)], out=sums[1:])
             keys = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
