@@ -40,6 +40,17 @@ RELATIONS = {
       case when {K} % 4 = 0 then null else 'v' || cast({K} % 100 as varchar(20)) end as value from events""",
     "collection_log": f"""select event_id as seq, case when event_id % 2 = 0 then 'A' else 'a' end || cast(user_id as varchar(20)) as path,
       case when event_id % 997 = 996 then 'clear' when {K} % 3 = 0 then 'add' when {K} % 3 = 1 then 'remove' else 'toggle' end as op from events""",
+    "addresses": """select c_custkey as file_id, case when c_custkey % 3 = 0 then 'Road ' || cast(c_custkey % 50 as varchar(20)) when c_custkey % 3 = 1 then ' ' end as road,
+      case when c_custkey % 5 < 3 then 'Path ' || cast(c_custkey % 7 as varchar(20)) end as pedestrian, cast(null as varchar(20)) as path, '' as neighbourhood,
+      case when c_custkey % 4 = 0 then 'Suburb' end as suburb, case when c_custkey % 4 < 2 then cast(c_custkey % 90 as varchar(20)) when c_custkey % 4 = 2 then '' end as house_number,
+      case when c_custkey % 6 = 0 then c_mktsegment end as city, case when c_custkey % 6 < 3 then 'Town' else '' end as town, 'Village' as village, 'Hamlet' as hamlet, 'Municipality' as municipality,
+      case when c_custkey % 7 = 0 then 'State' end as state, case when c_custkey % 7 < 4 then 'Region' end as region, case when c_custkey % 2 = 0 then 'County' end as county,
+      'Country ' || cast(c_nationkey as varchar(20)) as country, case c_custkey % 8 when 0 then 'us' when 1 then 'gb' when 2 then 'de' when 3 then 'ca' when 4 then '' when 5 then 'fr' when 6 then 'Ie' end as country_code from customer""",
+    "develop": f"""select event_id as file_id, user_id, case when {K} % 3 = 0 then cast({K} % 5 as double) end as exposure, cast({K} % 2 as double) as contrast, cast(0 as double) as shadows,
+      cast(-({K} % 4) as double) as tint, {K} % 4 * 90 as rotation, case when {K} % 6 = 0 then cast(0.25 as double) else cast(0 as double) end as crop_left,
+      case when {K} % 9 = 0 then cast(0.5 as double) else cast(1 as double) end as crop_right, {K} % 3 as upscale, case when {K} % 5 = 0 then 'Warm' when {K} % 5 = 1 then '' end as look_name,
+      cast({K} % 2 as double) as look_opacity, {K} % 3 as local_adjustments from events""",
+    "attempts": f"""select event_id as seq, user_id % 50 as path, event_type as field, {K} % 12 <> 0 as failed from events""",
     "hashes": """select vec_id as file_id, label * 1000 + (vec_id % 7) * (vec_id % 11) as hash from embeddings""",
     "candidates": """select l_orderkey as file_id, l_linenumber as n, l_shipdate as ts, case l_linenumber % 6 when 0 then 'Gps' when 1 then 'SubIfd'
       when 2 then 'Ifd0' when 3 then 'FileName' when 4 then 'Modified' else 'Created' end as source from lineitem where l_partkey % 3 > 0""",
@@ -48,7 +59,7 @@ RELATIONS = {
       cast((s_suppkey * 7127) % 36001 as double) / cast(100 as double) - 180 as lon, cast(500 + (s_suppkey * 991) % 49500 as double) as radius_m from supplier""",
 }
 _STAMPS = {"ymd": ("yyyyMMdd", "%Y%m%d"), "hms": ("HHmmss", "%H%M%S"), "y-m-d": ("yyyy-MM-dd", "%Y-%m-%d"), "y_m_d": ("yyyy_MM_dd", "%Y_%m_%d")}
-BASE = {"regions": "events", "file_names": "orders", "edits": "events", "collection_log": "events", "hashes": "embeddings", "candidates": "lineitem", "photos": "events", "photos_years": "orders", "bookmarks": "supplier"}
+BASE = {"addresses": "customer", "develop": "events", "attempts": "events", "regions": "events", "file_names": "orders", "edits": "events", "collection_log": "events", "hashes": "embeddings", "candidates": "lineitem", "photos": "events", "photos_years": "orders", "bookmarks": "supplier"}
 
 
 def _stamped(text: str, side: int) -> str:
