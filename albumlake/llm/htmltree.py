@@ -45,11 +45,22 @@ class Node:
     chars: int = 0
     link_chars: int = 0
     tags: int = 0
+    elements: int = 0
 
 
 def parse(html: str | None) -> Node:
-    """A forgiving tree: unclosed elements end with their parents, raw text of script and style is dropped."""
+    """A forgiving tree: unclosed elements end with their parents, raw text of script and style is dropped. A count of the
+    open elements of each tag tells a close tag that matches nothing, so every step up leaves an element for good."""
     root = at = Node("root")
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> Node:
+        below = at
+        while below is not node.parent:
+            opened[below.tag] -= 1
+            below = below.parent
+        return below
+
     src, pos = html or "", 0
     while pos < len(src):
         m = _TOKEN.match(src, pos)
@@ -66,10 +77,10 @@ def parse(html: str | None) -> Node:
             continue
         elif close:
             tag, node = tag.lower(), at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if opened[tag] > 0:
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(node)
         else:
             tag = tag.lower()
             if tag in ("script", "style"):
@@ -81,12 +92,14 @@ def parse(html: str | None) -> Node:
                 while node.tag in INLINE and node.parent:
                     node = node.parent
                 if node.tag == tag == "li" or node.tag == "p":
-                    at = node.parent
+                    at = leave(node)
             names = " ".join(f"{a or b or c}" for k, a, b, c in _ATTR.findall(attrs) if k.lower() in ("id", "class", "role", "itemprop")).lower() if attrs else ""
-            node = Node(tag, names, at.depth + 1, at, sum(not isinstance(c, str) for c in at.children) if len(at.children) < 64 else 64)
+            node = Node(tag, names, at.depth + 1, at, at.elements)
+            at.elements += 1
             at.children.append(node)
             if tag not in VOID and not (attrs or "").rstrip().endswith("/"):
                 at = node
+                opened[tag] += 1
     return root
 
 

@@ -368,6 +368,16 @@ def test_html_extraction(spark):
     assert htmltree.extract(None, model) == "" and htmltree.extract("<p", model) == ""
 
 
+def test_html_stray_close_tags_and_places():
+    deep = htmltree.parse("<div>" * 20_000 + "x" + "</span></nope></root>" * 20_000 + "</div>" * 20_000 + "<p>y")
+    assert [c.tag for c in deep.children] == ["div", "p"] and deep.children[1].children == ["y"]
+    many = htmltree.parse("<ul>" + "<li>a<b>c</b>" * 200 + "</ul></li></b><i>d</i>")
+    assert [n.place for n in many.children[0].children] == list(range(200)) and many.children[1].tag == "i"
+    crossed = htmltree.parse("<div><span><p>a<p>b</span>c</div>d</p>")  # the close tag of span ends what is open in it
+    span = crossed.children[0].children[0]
+    assert [c.children for c in span.children] == [["a"], ["b"]] and crossed.children[0].children[1:] == ["c"] and crossed.children[1:] == ["d"]
+
+
 def test_html_boilerplate_without_names_outside_the_article(spark):
     def page(i, n):
         links = "".join(f"<li><a href=x>Go {i} {j}</a></li>" for j in range(3 + i % 4))
