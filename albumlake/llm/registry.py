@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst
+from . import audit, htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst, winnow
 
 QUERIES = {
     "op1_audio": media.op1_audio,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_html_extraction": htmltree.op9_html_extraction,
     "op10_language_id": langid.op10_language_id,
+    "op12_decontamination": winnow.op12_decontamination,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 
@@ -35,4 +37,4 @@ select page_id, host, path, rule,
   coalesce(case rule {verdicts} end, case when bad or n_soft >= {urls.SOFT_LIMIT} then 'block' else 'allow' end) verdict from r"""
 
 
-SQL = {"op8_url_filter": _url_sql()}
+SQL = {"op8_url_filter": _url_sql(), "op12_decontamination": winnow.SQL, "op13_filter_audit": audit.SQL}
