@@ -16,6 +16,7 @@ written as an empty one. Columns other than doc_id, text and item_id are not rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release, table
 
-WINDOW, GRAM = 10, 5
+WINDOW, GRAM = 10, 4
 #: What is not a word, once A-Z are lower-cased: ASCII but for digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,29 +49,44 @@ def grams(w: Column, n: Column, k: int) -> Column:
     return F.transform(_upto(n - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
 
 
-def fingerprints(g: Column, n: Column, window: int, k: int) -> Column:
-    """For every window the least hash of its grams `g`."""
-    span = window - k + 1
-    return F.transform(_upto(n - (window - 1)), lambda i: F.least(*[F.get(g, i + j) for j in range(span)]) if span > 1 else F.get(g, i))
+def paired(name: str, step: int, join: Callable[[Column, Column], Column]) -> Column:
+    return F.transform(name, lambda x, i: join(x, F.get(F.col(name), i + step)))
+
+
+def over(d: DataFrame, source: str, made: str, size: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """d plus the array `made`: at i, join() over source[i .. i + size), from halves that may overlap.
+
+    Each step is a column of its own, so a step reads two elements whatever the size. Past the last whole run of `size`
+    elements the values mean nothing.
+    """
+    at, held = source, 1
+    while held < size:
+        step = min(held, size - held)
+        d = d.withColumn(f"{made}{held + step}", paired(at, step, join))
+        at, held = f"{made}{held + step}", held + step
+    return d.withColumn(made, F.col(at))
 
 
 ENTRY = "array<struct<start:int,end:int,size:int,print:bigint>>"
 
 
+def whole(g: Column, size: int) -> Column:
+    return F.transform(g, lambda x, i: F.struct(i.alias("start"), (i + 1).alias("end"), F.lit(size).alias("size"), x.alias("print")))
+
+
 def printed(rows: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
     """rows (_w: words) plus _n and _prints: runs of windows [start, end) of `size` words with one fingerprint."""
     d = rows.withColumn("_n", F.size("_w"))
     w, n = F.col("_w"), F.col("_n")
-    d = d.withColumn("_g", grams(w, n, k))
-    d = d.withColumn("_m", fingerprints(F.col("_g"), n, window, k))
+    d = over(d.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x))) if k == 1 else d, "_h" if k == 1 else "_w", "_g", k, F.xxhash64)
+    d = over(d, "_g", "_m", window - k + 1, F.least)
     m, at = F.col("_m"), F.col("_at")
     d = d.withColumn("_at", F.filter(_upto(n - (window - 1)), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))))
     runs = F.transform(at, lambda s, j: F.struct(s.alias("start"), F.coalesce(F.get(at, j + 1), n - (window - 1)).alias("end"), F.lit(window).alias("size"), F.get(m, s).alias("print")))
     parts = [runs.cast(ENTRY)]
     for size in short:
-        g = F.transform(grams(w, n, size), lambda x, i, size=size: F.struct(i.alias("start"), (i + 1).alias("end"), F.lit(size).alias("size"), x.alias("print")))
-        parts.append(g.cast(ENTRY))
-    return d.withColumn("_prints", F.concat(*parts)).drop("_g", "_m", "_at")
+        parts.append(whole(grams(w, n, size), size).cast(ENTRY))
+    return d.withColumn("_prints", F.concat(*parts)).select(*rows.columns, "_n", "_prints")
 
 
 def spelled(start: Column, size: Column) -> Column:
