@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, htmltree, jaccard, langid, media, mixing, order, quality, toxicity, urls, wfst, winnow
+from . import audit, htmltree, jaccard, langid, media, mixing, order, quality, repair, toxicity, urls, wfst, winnow
 
 QUERIES = {
     "op1_audio": media.op1_audio,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_html_extraction": htmltree.op9_html_extraction,
     "op10_language_id": langid.op10_language_id,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_decontamination": winnow.op12_decontamination,
     "op13_filter_audit": audit.op13_filter_audit,
 }
