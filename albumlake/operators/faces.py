@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .vectors import components, links, nearest, numbered
 
 # Detector labels of animals.
 ANIMALS = ["bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe"]
@@ -88,13 +89,41 @@ def detected_keywords(detections: DataFrame) -> DataFrame:
     return detections.groupBy("file_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
-def face_groups_by_name(faces: DataFrame) -> DataFrame:
-    """face_id and group: named faces by name without regard to case, in order of name from 1; then every unnamed face."""
-    named = faces.filter("name is not null").groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("first"))
-    # One row per name: the numbering runs over a table of names, not of faces.
-    ranks = named.withColumn("group", F.row_number().over(Window.orderBy("key")).cast("long")).select("key", "group")
-    known = faces.withColumn("key", F.lower("name")).join(ranks, "key").select("face_id", "group", "name")
-    return known.unionByName(faces.filter("name is null").select("face_id", F.lit(None).cast("long").alias("group"), "name"))
+def _named(faces: DataFrame) -> DataFrame:
+    """face_id, name, cluster_id of the faces with a name that is not blank: ids from 1 in order of name, without case."""
+    named = faces.filter("trim(name) <> ''").withColumn("_key", F.lower("name"))
+    ranks = numbered(named.select("_key").distinct(), ["_key"], "cluster_id")
+    return named.join(ranks, "_key").select("face_id", "name", "cluster_id")
+
+
+def face_groups_by_name(faces: DataFrame, by_name: bool = True) -> DataFrame:
+    """face_id, name and cluster_id: named faces by name without regard to case, in order of name from 1; then every
+    unnamed face alone, in order of face_id. Without `by_name` every face is alone."""
+    if not by_name:
+        return numbered(faces.select("face_id", "name"), ["face_id"], "cluster_id")
+    known = written(_named(faces))
+    first = known.agg(F.coalesce(F.max("cluster_id"), F.lit(0))).first()[0]
+    alone = numbered(faces.filter("name is null or trim(name) = ''").select("face_id", "name"), ["face_id"], "cluster_id", first + 1)
+    return known.unionByName(alone)
+
+
+def face_clusters_embedding(faces: DataFrame, least: float = 0.6) -> DataFrame:
+    """face_id, name and cluster_id: named faces by name; then unnamed faces joined where two have a cosine of at least
+    `least` (single linkage, vectors of one length), the largest cluster first, of equal ones that of the least face_id;
+    then every unnamed face without a vector, in order of face_id."""
+    if not 0 <= least <= 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    known = written(_named(faces))
+    first = known.agg(F.coalesce(F.max("cluster_id"), F.lit(0))).first()[0]
+    other = faces.filter("name is null or trim(name) = ''").select("face_id", "name", "embedding")
+    seen = other.filter("size(embedding) > 0")
+    of = components(links(seen, "face_id", "embedding", least))
+    member = written(seen.join(of.withColumnRenamed("id", "face_id"), "face_id", "left").select("face_id", "name", F.coalesce("component", "face_id").alias("_of")))
+    sizes = member.groupBy("_of").agg(F.count("*").alias("_n"))
+    ids = written(numbered(sizes, [F.desc("_n"), "_of"], "cluster_id", first + 1))
+    last = ids.agg(F.coalesce(F.max("cluster_id"), F.lit(first))).first()[0]
+    alone = numbered(other.filter("embedding is null or size(embedding) = 0").select("face_id", "name"), ["face_id"], "cluster_id", last + 1)
+    return known.unionByName(member.join(ids, "_of").select("face_id", "name", "cluster_id")).unionByName(alone)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,30 +145,21 @@ def face_cluster_centroid(faces: DataFrame, by: str) -> DataFrame:
 
 
 def nearest_named_clusters(centroids: DataFrame, by: str, top: int = 3) -> DataFrame:
-    """Per cluster the `top` nearest others by cosine; a row per cluster pair, so clusters must be few (people, not faces)."""
-    a = centroids.select(F.col(by).alias("a"), F.col("centroid").alias("va"))
-    b = centroids.select(F.col(by).alias("b"), F.col("centroid").alias("vb"))
-    pairs = a.join(b, F.size("va") == F.size("vb")).filter("a <> b").withColumn("similarity", dot(F.col("va"), F.col("vb")))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("a", "b", F.col("rank").cast("long").alias("rank"), "similarity")
+    """Per cluster the `top` nearest others by cosine; clusters without a centroid have and are none."""
+    rows = centroids.select(F.col(by).alias("a"), "centroid")
+    return nearest(rows, rows.withColumnRenamed("a", "b"), ("a", "centroid"), ("b", "centroid"), -1.0, top, others=True).select("a", "b", "rank", "similarity")
 
 
 def auto_keywords(images: DataFrame, vocabulary: DataFrame, top: int = 5, least: float = 0.22) -> DataFrame:
     """Per image the `top` words (word, vector) of a similarity of at least `least`; other lengths are skipped, top <= 0
-    keeps all. The vocabulary is the small side."""
-    v = vocabulary.select("word", l2_normalize(F.col("vector")).alias("vw"))
-    hits = images.withColumn("vi", l2_normalize(F.col("embedding"))).join(v, F.size("vi") == F.size("vw")).withColumn("similarity", dot(F.col("vi"), F.col("vw"))).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("file_id").orderBy(F.desc("similarity"), "word")
-    hits = hits.withColumn("rank", F.row_number().over(w).cast("long"))
-    return (hits.filter(F.col("rank") <= top) if top > 0 else hits).select("file_id", "word", "rank")
+    keeps all."""
+    return nearest(images, vocabulary, ("file_id", "embedding"), ("word", "vector"), least, top).select("file_id", "word", "rank")
 
 
 def face_known_match(faces: DataFrame, references: DataFrame, above: float = 0.65) -> DataFrame:
-    """Per face the best reference (name, vector) above a cosine; of equals the first name. References are the small side."""
-    r = references.select("name", l2_normalize(F.col("vector")).alias("vr"))
-    hits = faces.withColumn("vf", l2_normalize(F.col("embedding"))).join(r, F.size("vf") == F.size("vr")).withColumn("similarity", dot(F.col("vf"), F.col("vr"))).filter(F.col("similarity") > above)
-    w = Window.partitionBy("face_id").orderBy(F.desc("similarity"), "name")
-    return hits.withColumn("_at", F.row_number().over(w)).filter("_at = 1").select("face_id", F.col("name").alias("known_as"))
+    """Per face the best reference (name, vector) above a cosine; of equals the first name. A name may have many vectors."""
+    best = nearest(faces, references, ("face_id", "embedding"), ("name", "vector"), above, 1, strict=True)
+    return best.select("face_id", F.col("name").alias("known_as"))
 
 
 def near_duplicate_groups(pairs: DataFrame) -> DataFrame:

@@ -142,8 +142,18 @@ add("suppress_body_boxes", regions(lambda r: A.suppress_body_boxes(_halved(r)).s
 add("nms", regions(lambda r: A.nms(r, 0.3, ["file_id"]).select("file_id", "idx")))
 add("detected_keywords", regions(lambda r: A.detected_keywords(r).select("file_id", F.array_join("labels", ",").alias("labels"))), f"select file_id, array_to_string(list_sort(list_distinct(list(label))), ',') as labels from {REG} r group by 1")
 _faces = lambda spark, sf: spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("face_id"), F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("P"), F.col("label").cast("string"))).alias("name"), "label", "embedding")
-add("face_groups_by_name", lambda spark, sf: A.face_groups_by_name(_faces(spark, sf)).select("face_id", "group"),
-    "select vec_id face_id, case when vec_id % 4 = 0 then dense_rank() over (partition by vec_id % 4 = 0 order by 'p' || label) end \"group\" from embeddings")
+_NAMED = "(select vec_id face_id, case when vec_id % 4 = 0 then 'P' || label end as name, case when vec_id % 11 > 0 then embedding end embedding from embeddings)"
+add("face_groups_by_name", lambda spark, sf: A.face_groups_by_name(_faces(spark, sf)).select("face_id", "cluster_id"),
+    f"""with k as (select *, case when name is not null then dense_rank() over (partition by name is null order by lower(name)) end k from {_NAMED} f)
+      select face_id, coalesce(k, (select coalesce(max(k), 0) from k) + row_number() over (partition by name is null order by face_id)) cluster_id from k""")
+_blind = lambda spark, sf: _faces(spark, sf).withColumn("embedding", F.when(F.col("face_id") % 11 > 0, F.col("embedding")))
+add("face_clusters_embedding", lambda spark, sf: A.face_clusters_embedding(_blind(spark, sf), 0.4).select("face_id", "cluster_id"),
+    f"""with recursive f as (select *, lower(name) k from {_NAMED} f), u as (select face_id, list_transform(embedding, lambda x: x::double) v from f where name is null and embedding is not null),
+      e as (select a.face_id a, b.face_id b from u a, u b where a.face_id <> b.face_id and list_cosine_similarity(a.v, b.v) >= 0.4),
+      r as (select face_id a, face_id b from u union select r.a, e.b from r join e on r.b = e.a),
+      c as (select a face_id, min(b) root, count(*) n from r group by 1),
+      all_ as (select face_id, 0 part, k, 0 n, 0 root from f where name is not null union all select face_id, 1, null, -n, root from c union all select face_id, 2, null, 0, face_id from f where name is null and embedding is null)
+      select face_id, dense_rank() over (order by part, k, n, root) cluster_id from all_""")
 _UNIT = "(select vec_id, label, list_transform(embedding, lambda x: x::double) v from embeddings)"
 _MEAN = "(select label, avg_n n, v from (select label, list(x order by i) v from (select label, i, avg(x) x from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by 1, 2) group by 1) join (select label, count(*) avg_n from embeddings group by 1) using (label))"
 add("face_cluster_centroid", lambda spark, sf: A.face_cluster_centroid(_faces(spark, sf), "label").select("label", "n", F.round(F.element_at("centroid", 1), 6).alias("c1"), F.round(F.element_at("centroid", 64), 6).alias("c64")),
@@ -154,9 +164,11 @@ _vocab = lambda f: A.face_cluster_centroid(f, "label").select(F.concat(F.lit("w"
 add("auto_keywords", lambda spark, sf: A.auto_keywords(_faces(spark, sf).withColumnRenamed("face_id", "file_id"), _vocab(_faces(spark, sf)), 2),
     f"""select file_id, word, rank from (select e.vec_id file_id, 'w' || m.label word, row_number() over (partition by e.vec_id order by list_cosine_similarity(e.v, m.v) desc, 'w' || m.label) rank
       from {_UNIT} e, {_MEAN} m where list_cosine_similarity(e.v, m.v) >= 0.22) where rank <= 2""")
-add("face_known_match", lambda spark, sf: A.face_known_match(_faces(spark, sf).drop("name"), _vocab(_faces(spark, sf)).withColumnRenamed("word", "name")),
+# Every second known face stands for its name; a face is then known by the nearest of another vector, if near enough.
+_known = lambda spark, sf: _faces(spark, sf).filter("face_id % 2 = 0").select(F.concat(F.lit("w"), F.col("label").cast("string")).alias("name"), F.col("embedding").alias("vector"))
+add("face_known_match", lambda spark, sf: A.face_known_match(_faces(spark, sf).drop("name"), _known(spark, sf), 0.35),
     f"""select face_id, known_as from (select e.vec_id face_id, 'w' || m.label known_as, row_number() over (partition by e.vec_id order by list_cosine_similarity(e.v, m.v) desc, 'w' || m.label) rank
-      from {_UNIT} e, {_MEAN} m where list_cosine_similarity(e.v, m.v) > 0.65) where rank = 1""")
+      from {_UNIT} e, {_UNIT} m where m.vec_id % 2 = 0 and list_cosine_similarity(e.v, m.v) > 0.35) where rank = 1""")
 
 # Orders and plans ---------------------------------------------------------------------------------------------------
 _bursts = lambda p: O.burst_groups(p, ["user_id"], 600.0, 3)
