@@ -108,7 +108,7 @@ SQL = {
     "history_push": f"select user_id, file_id, depth from (select user_id, file_id, row_number() over (partition by user_id order by file_id desc) depth from {P} p) where depth <= 20",
 }
 
-from . import edits, more  # noqa: E402
+from . import edits, more, vision  # noqa: E402
 
-QUERIES |= more.Q | edits.Q
-SQL |= more.SQL | edits.SQL
+QUERIES |= more.Q | edits.Q | vision.Q
+SQL |= more.SQL | edits.SQL | vision.SQL
