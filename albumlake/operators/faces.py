@@ -64,6 +64,44 @@ def suppress_body_boxes(regions: DataFrame, slack: float = 0.02, most: float = 0
     return regions.join(drop, ["file_id", "idx"], "left_anti")
 
 
+REGIONS = "array<struct<idx:int,label:string,category:string,status:string,x:double,y:double,w:double,h:double,embedding:array<double>>>"
+
+
+def merge_detected_faces(regions: DataFrame, detections: DataFrame, least: float = 0.5) -> DataFrame:
+    """A photo's regions after its detected faces are merged in, in order: file_id, idx, label, category, status, box,
+    embedding; photos of either side.
+
+    A face that overlaps a Person region by `least` or more (the first such by idx, one appended before included) only
+    fills that region's blank label and missing embedding; any other is appended as Proposed. Order matters, so a photo's
+    faces are folded one after the other, within its row. detections: file_id, ord, label, x, y, w, h, embedding.
+    """
+    box = ["x", "y", "w", "h"]
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    have = regions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "label", "category", "status", *[F.col(c).cast("double").alias(c) for c in box], vector))).alias("have"))
+    found = detections.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label", *[F.col(c).cast("double").alias(c) for c in box], vector))).alias("found"))
+    both = have.join(found, "file_id", "full")
+    none = F.array().cast(REGIONS)
+
+    def meets(r: Column, d: Column) -> Column:
+        across, down = (F.greatest(F.least(r[s] + r[n], d[s] + d[n]) - F.greatest(r[s], d[s]), F.lit(0.0)) for s, n in (("x", "w"), ("y", "h")))
+        both_ = across * down
+        return (r["category"] == "Person") & (both_ >= least * (r["w"] * r["h"] + d["w"] * d["h"] - both_)) & (both_ > 0)
+
+    def filled(r: Column, d: Column) -> Column:
+        label = F.when(F.trim(F.coalesce(r["label"], F.lit(""))) != "", r["label"]).otherwise(d["label"])
+        return F.struct(r["idx"].alias("idx"), label.alias("label"), r["category"].alias("category"), r["status"].alias("status"), *[r[c].alias(c) for c in box],
+                        F.when(F.size(r["embedding"]) > 0, r["embedding"]).otherwise(d["embedding"]).alias("embedding"))
+
+    def put(acc: Column, d: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda r: F.coalesce(meets(r, d), F.lit(False))), True)
+        new = F.struct((F.coalesce(F.array_max(F.transform(acc, lambda r: r["idx"])), F.lit(-1)) + 1).alias("idx"), d["label"].alias("label"), F.lit("Person").alias("category"), F.lit("Proposed").alias("status"),
+                       *[d[c].alias(c) for c in box], d["embedding"].alias("embedding"))
+        return F.when(at == 0, F.concat(acc, F.array(new)).cast(REGIONS)).otherwise(F.transform(acc, lambda r, i: F.when(i + 1 == at, filled(r, d)).otherwise(r)).cast(REGIONS))
+
+    merged = F.aggregate(F.coalesce("found", F.array()), F.coalesce(F.col("have").cast(REGIONS), none), put)
+    return both.select("file_id", F.explode(merged).alias("r")).select("file_id", "r.*")
+
+
 def nms(detections: DataFrame, most: float = 0.45, by: list[str] | None = None) -> DataFrame:
     """Greedy suppression per photo and class: in order of score, a box stays unless it overlaps a kept one by more than
     `most`. A fold over the boxes of one photo and class."""

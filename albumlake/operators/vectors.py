@@ -39,9 +39,10 @@ class Cells:
     angle: float
     size: dict[tuple[int, int, bool], int]
     reach: dict[tuple[int, int, bool], float]
+    slice_rows: int
 
     def slices(self, key: tuple[int, int, bool]) -> int:
-        return -(-self.size.get(key, 0) // SLICE)
+        return -(-self.size.get(key, 0) // self.slice_rows)
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -84,7 +85,7 @@ def cells(members: DataFrame, angle: float) -> tuple[Cells, DataFrame]:
     homes = written(members.mapInPandas(place, f"id {kind}, v array<double>, dims int, cell int, far double, near boolean"))
     got = homes.groupBy("dims", "cell", "near").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # at most 2 * PIVOTS a length
     keys = [(r["dims"], r["cell"], r["near"]) for r in got]
-    made = Cells(ids, pivots, angle, dict(zip(keys, [r["n"] for r in got], strict=True)), dict(zip(keys, [r["far"] for r in got], strict=True)))
+    made = Cells(ids, pivots, angle, dict(zip(keys, [r["n"] for r in got], strict=True)), dict(zip(keys, [r["far"] for r in got], strict=True)), SLICE)
     slices = F.create_map(*[F.lit(x) for k in keys for x in (":".join(map(str, k)).lower(), made.slices(k))]) if keys else F.create_map(F.lit(""), F.lit(1))
     name = F.concat_ws(":", F.col("dims").cast("string"), F.col("cell").cast("string"), F.col("near").cast("string"))
     return made, homes.withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce(slices[name], F.lit(1))).cast("int"))

@@ -287,6 +287,11 @@ add("stream_geofence", lambda spark, sf: T.stream_geofence(spark, _events(sf), _
     f"select p.file_id, b.ord from {P} p, {B} b where {hav('p.lat', 'p.lon', 'b.lat', 'b.lon')} <= b.radius_m")
 Q["edit_fold"], SQL["edit_fold"] = Q["stream_edit_fold"], SQL["stream_edit_fold"]
 add("stream_edit_fold", lambda spark, sf: T.stream_edit_fold(spark, _events(sf), _shape("edits"), *T.folders(spark)), SQL["edit_fold"])
-add("stream_bursts", lambda spark, sf: T.stream_bursts(spark, _events(sf), _shape("photos"), "600 seconds", *T.folders(spark)),
+def _stream_bursts(spark, sf):
+    final = T.stream_bursts(spark, _events(sf), _shape("photos"), "600 seconds", *T.folders(spark))
+    return final.unionByName(T.open_bursts(relation(spark, sf, "photos"), final, "600 seconds")).drop("end_ts")
+
+
+add("stream_bursts", _stream_bursts,
     f"""with g as (select user_id, captured, case when epoch_us(captured) - lag(epoch_us(captured)) over (partition by user_id order by captured) <= 600000000 then 0 else 1 end cut from {P} p),
       s as (select *, sum(cut) over (partition by user_id order by captured rows unbounded preceding) k from g) select user_id, min(captured) start_ts, count(*) n from s group by user_id, k""")

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import base64
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..operators import faces as A
 from ..operators import images as I
 from ..operators import resection as S
 from ..sources import rasters as R
+from ..sources import readers as D
+from ..sources.relations import oracle_from, relation, shaped
+from ..streaming import jobs as T
+from . import edits
+from .more import on
 
+REG = oracle_from("regions")
 Q, SQL = {}, {}
 
 
@@ -99,3 +111,56 @@ add("photo_resection", lambda spark, sf: rounded(S.photo_resection(R.landmarks(s
       r as (select *, sqrt(list_sum(list_transform(bear, lambda v, i: pow(degrees(atan2(sin(radians(hd + p[i].a - v)), cos(radians(hd + p[i].a - v)))), 2))) / 3) rms from hd),
       o as (select photo_id, arg_min({{'lat': lat0 + py / m, 'lon': lon0 + px / ml, 'heading': case when hd < 0 then hd + 360 else hd end, 'rms': rms}}, rms) o from r where rms <= 5 group by 1)
       select photo_id, round(o.lat, 6) lat, round(o.lon, 6) lon, round(o.heading, 6) heading, round(o.rms, 6) rms from q left join o using (photo_id)""")
+
+# Detected faces ----------------------------------------------------------------------------------------------------
+#: Of a photo's four boxes two are its regions, two are found three times each, a little apart.
+_RELATIONS = on("regions")
+_MARK = "case when (file_id + idx) % 2 = 0 then [file_id % 7, idx + 0.5]::double[] end"
+_vector = lambda c: F.when((F.col("file_id") + F.col("idx")) % 2 == 0, F.array((F.col("file_id") % 7).cast("double"), F.col("idx") + F.lit(0.5).cast("double")))
+_kept = lambda r: r.filter("idx < 2").select("file_id", "idx", F.when(F.col("file_id") % 3 > 0, F.col("label")).alias("label"), F.when(F.col("category") == "Pet", "Animal").otherwise("Person").alias("category"), "status", "x", "y", "w", "h", _vector("file_id").alias("embedding"))
+_found = lambda r: r.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("idx > 1").select("file_id", (F.col("idx") * 3 + F.col("j")).alias("ord"), F.when(F.col("j") == 1, F.concat(F.lit("D"), F.col("idx").cast("string"))).alias("label"), (F.col("x") + F.col("j") * F.lit(0.02).cast("double")).alias("x"), "y", "w", (F.col("h") - F.col("j") * F.lit(0.01).cast("double")).alias("h"), _vector("file_id").alias("embedding"))
+add("merge_detected_faces", _RELATIONS(lambda r: rounded(A.merge_detected_faces(_kept(r), _found(r), 0.5), "x", "y", "w", "h").select("file_id", "idx", "label", "category", "status", "x", "y", "w", "h", F.array_join("embedding", ",").alias("embedding"))),
+    f"""with recursive r as (select file_id, idx, label, category, status, x::double x, y::double y, w::double w, h::double h from {REG} q),
+      have as (select file_id, list({{'idx': idx::int, 'label': case when file_id % 3 > 0 then label end, 'category': case when category = 'Pet' then 'Animal' else 'Person' end, 'status': status, 'x': x, 'y': y, 'w': w, 'h': h, 'e': {_MARK}}} order by idx) acc from r where idx < 2 group by 1),
+      found as (select file_id, row_number() over (partition by file_id order by idx * 3 + j) k, {{'label': case when j = 1 then 'D' || idx end, 'x': x + j * 0.02::double, 'y': y, 'w': w, 'h': h - j * 0.01::double, 'e': {_MARK}}} d from r, (select unnest([0, 1, 2]) j) where idx > 1),
+      f as (select file_id, 0::bigint k, acc from have union all select file_id, k, case when hit is null then acc || [{{'idx': (len(acc))::int, 'label': d.label, 'category': 'Person', 'status': 'Proposed', 'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h, 'e': d.e}}]
+        else list_transform(acc, lambda o, i: case when i = hit then {{'idx': o.idx, 'label': case when trim(coalesce(o.label, '')) <> '' then o.label else d.label end, 'category': o.category, 'status': o.status, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 'e': coalesce(o.e, d.e)}} else o end) end
+        from (select *, list_position(list_transform(acc, lambda o: o.category = 'Person' and greatest(least(o.x + o.w, d.x + d.w) - greatest(o.x, d.x), 0) * greatest(least(o.y + o.h, d.y + d.h) - greatest(o.y, d.y), 0)
+          >= 0.5 * (o.w * o.h + d.w * d.h - greatest(least(o.x + o.w, d.x + d.w) - greatest(o.x, d.x), 0) * greatest(least(o.y + o.h, d.y + d.h) - greatest(o.y, d.y), 0))), true) hit
+          from (select f.file_id, f.k + 1 k, f.acc, found.d from f join found on found.file_id = f.file_id and found.k = f.k + 1))),
+      l as (select file_id, arg_max(acc, k) acc from f group by 1), o as (select file_id, unnest(acc) o from l)
+      select file_id, o.idx idx, o.label as label, o.category category, o.status status, round(o.x, 6) x, round(o.y, 6) y, round(o.w, 6) w, round(o.h, 6) h, array_to_string(o.e, ',') embedding from o""")
+
+# Sidecar regions, written from regions and vectors and read back -----------------------------------------------------
+
+
+@F.pandas_udf(StringType())
+def _encoded(vectors: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode() for v in vectors], dtype=object)
+
+
+def _sidecars(spark, sf):
+    r, e = relation(spark, sf, "regions"), spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("_v"), "embedding")
+    r = r.join(e, F.col("file_id") * 4 + F.col("idx") == F.col("_v"), "left")
+
+    def tag(name, value):
+        return F.coalesce(F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")), F.lit(""))
+
+    area = F.format_string('<m:Area a:x="%s" a:y="%s" a:w="%s" a:h="%s" a:unit="normalized"/>', (F.col("x") + F.col("w") / 2).cast("string"), (F.col("y") + F.col("h") / 2).cast("string"), F.when(F.col("file_id") % 17 == 0, "wide").otherwise(F.col("w").cast("string")), F.col("h").cast("string"))
+    kinds = F.when(F.col("file_id") % 5 == 0, "").when(F.col("category") == "Pet", "Pet").when(F.col("file_id") % 5 == 1, "Landmark").otherwise("Face")
+    own = F.when(F.col("file_id") % 7 == 0, "place").when(F.col("file_id") % 7 == 1, "unheard")
+    item = F.concat(F.lit('<rdf:li rdf:parseType="Resource">'), area, tag("m:Name", F.when(F.col("idx") < 3, F.col("label")).otherwise("")), tag("m:Type", kinds), tag("p:category", own), tag("p:status", F.when(F.col("idx") > 0, F.lower("status"))), tag("p:embedding", _encoded("embedding")), F.lit("</rdf:li>"))
+    rows = r.select("file_id", F.struct("idx", item.alias("item")).alias("i")).groupBy(F.col("file_id").alias("path")).agg(F.array_sort(F.collect_list("i")).alias("i"))
+    head = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description/><rdf:Description xmlns:m="m" xmlns:a="a" xmlns:p="p"><m:Regions><m:RegionList><rdf:Bag>'
+    made = F.concat(F.lit(head), F.array_join(F.transform("i", lambda x: x["item"]), ""), F.lit("</rdf:Bag></m:RegionList></m:Regions></rdf:Description></rdf:RDF></x:xmpmeta>"))
+    return rows.select("path", F.when(F.col("path") % 23 == 0, F.concat(F.lit("<!DOCTYPE x>"), made)).when(F.col("path") % 29 == 0, "<x:xmpmeta").otherwise(made).alias("xml"))
+
+
+add("sidecar_regions", lambda spark, sf: rounded(D.sidecar_regions(_sidecars(spark, sf)), "x", "y", "w", "h").select("path", "idx", "x", "y", "w", "h", "category", "label", "status", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).cast("double").alias("v1"), F.element_at("embedding", -1).cast("double").alias("v64")),
+    f"""select file_id path, cast(idx as int) idx, round(x, 6) x, round(y, 6) y, round(w, 6) w, round(h, 6) h,
+      case when file_id % 7 = 0 then 'Place' when file_id % 5 = 0 then 'Item' when category = 'Pet' then 'Animal' when file_id % 5 = 1 then 'Other' else 'Person' end category, case when idx < 3 then r.label end as label,
+      case when idx > 0 then status else 'Accepted' end status, case when embedding is null then null else len(embedding) end dims, embedding[1]::double v1, embedding[64]::double v64
+      from {REG} r left join embeddings on vec_id = file_id * 4 + idx where file_id % 17 <> 0 and file_id % 23 <> 0 and file_id % 29 <> 0""")
+
+# Edits tried again ---------------------------------------------------------------------------------------------------
+add("stream_edit_retry", lambda spark, sf: T.stream_edit_retry(spark, f"{sf}/events.parque[t]", lambda e: shaped(e, "attempts"), *T.folders(spark)), edits.SQL["edit_retry"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.geo import dms_parse, is_valid_gps
 
@@ -69,3 +72,50 @@ def read_people_registry(registries: DataFrame, col: str = "json") -> DataFrame:
     people = F.from_json(F.col(col), "map<string,array<array<double>>>")
     rows = registries.select(F.explode(people).alias("name", "refs"))
     return rows.select("name", F.posexplode("refs").alias("ref_no", "embedding"))
+
+
+# Element names of the region lists of photo sidecars, region types and the categories they stand for.
+REGION_XML = """RDF struct<Description: array<struct<Regions: struct<RegionList: struct<Bag: struct<li: array<struct<
+  Area: struct<_x: string, _y: string, _w: string, _h: string>, Name: string, Type: string, category: string, status: string, source: string, embedding: string>>>>>>>>"""
+TYPES = {"face": "Person", "pet": "Animal", "focus": "Item", "barcode": "Item", "": "Item"}
+CATEGORIES, STATUSES = ["Person", "Animal", "Item", "Place", "Other"], ["Proposed", "Accepted"]
+
+
+def one_of(text: Column, names: list[str]) -> Column:
+    """The name of the list that text is but for case; else null."""
+    return F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])[F.lower(F.trim(text))]
+
+
+def rational(text: Column) -> Column:
+    """A number, or the quotient of 'n/d' of integers; else null."""
+    n, d = (F.regexp_extract(text, r"^\s*([+-]?\d+)/([+-]?\d+)\s*$", i).try_cast("long") for i in (1, 2))
+    return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.trim(text).try_cast("double"))
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def floats(data: pd.Series) -> pd.Series:
+    """Little-endian float32 values; null where the bytes are none or no whole number of them."""
+    return pd.Series([np.frombuffer(b, "<f4") if b and len(b) % 4 == 0 else None for b in data], dtype=object)
+
+
+def sidecar_regions(sidecars: DataFrame, xml: str = "xml") -> DataFrame:
+    """path, idx, x, y, w, h, category, label, status, source, embedding of a sidecar's region list, numbered in order.
+
+    Areas give the centre; a region without four numbers is left out. The region's own category counts, else its type; a
+    missing or unknown status is Accepted; blank names and sources are null. Embeddings are base64 of little-endian float32;
+    what does not decode is null. A document that does not parse, or declares types, has no regions.
+    """
+    text = F.when(~F.contains(F.upper(F.col(xml)), F.lit("<!DOCTYPE")), F.col(xml))
+    rows = sidecars.select("path", F.from_xml(text, REGION_XML, {"ignoreNamespace": "true"}).alias("x"))
+    items = F.flatten(F.transform(F.filter("x.RDF.Description", lambda d: d["Regions"]["RegionList"]["Bag"]["li"].isNotNull()), lambda d: d["Regions"]["RegionList"]["Bag"]["li"]))
+    area = [f"Area._{c}" for c in "xywh"]
+    whole = F.filter(items, lambda r: reduce(lambda a, b: a & b, [F.trim(r["Area"][f"_{c}"]).try_cast("double").isNotNull() for c in "xywh"]))
+    rows = rows.select("path", F.posexplode(whole).alias("idx", "r")).select("path", "idx", "r.*")
+    cx, cy, w, h = (F.trim(F.col(a)).try_cast("double") for a in area)
+    kind = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[F.lower(F.coalesce("Type", F.lit("")))]
+    return rows.select(
+        "path", "idx", (cx - w / 2).alias("x"), (cy - h / 2).alias("y"), w.alias("w"), h.alias("h"),
+        F.coalesce(one_of(F.col("category"), CATEGORIES), kind, F.lit("Other")).alias("category"), F.nullif(F.col("Name"), F.lit("")).alias("label"),
+        F.coalesce(one_of(F.col("status"), STATUSES), F.lit("Accepted")).alias("status"), F.nullif(F.col("source"), F.lit("")).alias("source"),
+        floats(F.try_to_binary(F.trim("embedding"), F.lit("base64"))).alias("embedding"),
+    )
