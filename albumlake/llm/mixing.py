@@ -88,7 +88,8 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
 
     Rows of a source fall in `blocks` blocks by hash. The budget pays whole epochs, then whole blocks in a permuted
     order, then rows of one last block in hash order until it is spent; so running sums see block totals, and rows of a
-    single block only, never a whole source. For the exponent only sums go to the driver: the least and largest source
+    single block only, never a whole source. No source is repeated more than `max_epochs` times, also where a target
+    entropy asks for more. Read by order_key, an epoch's blocks come one after the other in a permuted order. For the exponent only sums go to the driver: the least and largest source
     total, or with a target entropy two sums over all sources for each exponent tried.
     """
     docs, back = set_aside(docs, ["_src", "_h", "block_tokens", "whole", "left", "_times"], ["n_tokens", "weight", "epoch", "block", "order_key"])
@@ -99,11 +100,10 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     }).withColumn("block", F.pmod("_h", F.lit(blocks)).cast("int"))
     per_block = d.groupBy("_src", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     sources = per_block.groupBy("_src").agg(F.sum("block_tokens").alias("n_tokens"))
-    if target_entropy is None:
-        ends = sources.filter("n_tokens > 0").agg(F.min("n_tokens"), F.max("n_tokens")).first()
-        exponent = bisect_exponent(sorted({int(x) for x in ends if x}), None, max_epochs)
-    else:
-        exponent = entropy_exponent(sources, target_entropy)
+    ends = sources.filter("n_tokens > 0").agg(F.min("n_tokens"), F.max("n_tokens")).first()
+    exponent = bisect_exponent(sorted({int(x) for x in ends if x}), None, max_epochs)
+    if target_entropy is not None:  # a flatter mixture than max_epochs allows is not made
+        exponent = max(exponent, entropy_exponent(sources, target_entropy))
     plan = source_plan(sources, exponent=exponent)
     plan = plan.select("_src", "weight", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("int").alias("whole"), F.when(F.col("n_tokens") > 0, F.col("budget") % F.col("n_tokens")).otherwise(0).alias("rest"))
     order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +117,9 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     extra = F.when(F.col("left") <= 0, False).when(~cut, True).otherwise(F.sum("n_tokens").over(within) <= F.col("left"))
     d = d.withColumn("_times", F.col("whole") + F.when(extra, 1).otherwise(0))
     d = d.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    d = d.withColumn("order_key", F.xxhash64(F.lit(seed + 2), "epoch", "block", "_h"))
+    low = F.lit((1 << 32) - 1)
+    block_place = F.xxhash64(F.lit(seed + 2), "epoch", "block").bitwiseAND(F.bitwise_not(low))
+    d = d.withColumn("order_key", block_place.bitwiseOR(F.xxhash64(F.lit(seed + 3), "epoch", "_h").bitwiseAND(low)))
     return d.select(*back, "n_tokens", "weight", "epoch", "block", "order_key")
 
 

@@ -1,6 +1,7 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot in fixed-stride shards.
 
-Documents are cut in sequences of `length` ids, the last padded with the end id; each ends with an end id. Null and
+Documents are cut in sequences of `length` ids, the last padded with the end id; each ends with an end id. Ids take two
+bytes where the vocabulary has at most 65,536 pieces, else four; the end id is the vocabulary's own. Null and
 empty texts are one sequence of end ids. A sequence's index is its place in the table of sequences, which is written once,
 so repeated rows and repeated ids are separate sequences; over the same files in the same splits the order is the same.
 Other columns are not read. An empty table gives no slots.
@@ -18,7 +19,16 @@ from .common import freed_shuffles, materialise, release, shared_dir, table
 from .wfst import ROWS, _slices, _transducer, default_vocabulary, read_vocabulary
 
 LENGTH, PER_SHARD, SHARDS_PER_TASK, SEED, ROUNDS = 512, 16_384, 2, 2026, 6
-END_ID = 2
+
+
+def id_format(model: bytes) -> tuple[str, int]:
+    """The type of stored ids and the end id of a vocabulary; one without an end piece can't be used."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    if sp.eos_id() < 0:
+        raise ValueError("the vocabulary has no end piece")
+    return ("<u2" if sp.get_piece_size() <= 1 << 16 else "<u4"), sp.eos_id()
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -44,9 +54,11 @@ def feistel(index: np.ndarray, total: int, seed: int = SEED, rounds: int = ROUND
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, seq_no, ids binary (little-endian uint16, fixed stride of 2 * length bytes)."""
-    held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or default_vocabulary()))
-    stride = 2 * length
+    """doc_id, seq_no, ids binary (little-endian, fixed stride of id_format's width * length bytes)."""
+    model = read_vocabulary(vocabulary or default_vocabulary())
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kind, end_id = id_format(model)
+    stride = int(kind[-1]) * length
 
     def run(batches):
         t = _transducer(held.value)
@@ -54,7 +66,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
             docs_, at = b.column("doc_id").to_numpy(zero_copy_only=False), 0
             for ids, counts, _ in t.encode_texts(b.column("text").to_pylist()):
                 n = counts // length + 1  # the ids and one end id at least
-                flat = np.full(int(n.sum()) * length, END_ID, "<u2")
+                flat = np.full(int(n.sum()) * length, end_id, kind)
                 flat[_slices((np.cumsum(n) - n) * length, counts)] = ids
                 total = int(n.sum())
                 data = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer(np.arange(0, (total + 1) * stride, stride, dtype=np.int32)), pa.py_buffer(flat)])
@@ -72,6 +84,7 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, s
     index starts, so every row has its index, and by the permutation its slot, without a shuffle.
     """
     id_ = F.monotonically_increasing_id()
+    width = int(id_format(read_vocabulary(vocabulary or default_vocabulary()))[0][-1])
     made = sequences(docs, length, vocabulary).select("*", F.shiftright(id_, 33).cast("int").alias("task"), id_.bitwiseAND((1 << 33) - 1).alias("place"))
     made = materialise(made, codec="zstd")
     tasks = made.groupBy("task").count().orderBy("task").collect()
@@ -84,7 +97,7 @@ def slotted(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, s
         return pd.Series(feistel(index.to_numpy(), total, seed))
 
     out = made.join(F.broadcast(start), "task").select(slot(F.col("start") + F.col("place")).alias("slot"), "doc_id", "seq_no", "ids")
-    return out.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "seq_no", "ids"), total, made
+    return out.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (width * length)).alias("offset"), "doc_id", "seq_no", "ids"), total, made
 
 
 def by_shard(rows: DataFrame, total: int, per_shard: int) -> DataFrame:
@@ -102,12 +115,12 @@ def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_S
 SHARDS = "shard long, n int, stride int, data binary, doc_ids array<long>, seq_nos array<int>"
 
 
-def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
-    """One file per shard, path/shard=N/, whose `data` is the shard's ids at their offsets, 2 * length bytes apart.
+def write_shards(rows: DataFrame, total: int, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: str | None = None) -> None:
+    """One file per shard, path/shard=N/, whose `data` is the shard's ids at their offsets, one stride apart.
 
     Every shard is written by one task, and Spark writes the files, so the folder may be anywhere Spark can write.
     """
-    stride = 2 * length
+    stride = int(id_format(read_vocabulary(vocabulary or default_vocabulary()))[0][-1]) * length
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": part["shard"].iloc[:1], "n": len(part), "stride": stride, "data": b"".join(part["ids"]), "doc_ids": [part["doc_id"].to_numpy()], "seq_nos": [part["seq_no"].to_numpy()]})

@@ -1,6 +1,8 @@
 """Weighted URL vocabulary: strict and soft terms found with Aho-Corasick, after host/path allow and block rules.
 
-A null url, or one without ://, has an empty host and path, fits no rule and holds no term: it is allowed.
+A null url, or one without ://, has an empty host and path and fits no rule; terms are looked for in the whole url, so a
+null or empty one is allowed. Equal urls get equal verdicts, repeated rows stay rows; other columns are passed on by
+url_vocabulary, whose own column replaces one of its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +63,19 @@ def term_hits(url: str | None, strict=STRICT, soft=SOFT) -> tuple[list[str], lis
     return sorted(found[0]), sorted(found[1])
 
 
+#: Terms of a vocabulary table that fit in an automaton (about 30 MB); more are an error.
+MAX_TERMS = 200_000
+
+
+def read_terms(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The strict and soft terms of a table (term, strict boolean), in lower case; blank and null ones are left out, one
+    that is both is strict."""
+    rows = terms.filter("trim(term) <> ''").groupBy(F.lower(F.trim("term")).alias("term")).agg(F.max(F.coalesce("strict", F.lit(False))).alias("strict")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"the vocabulary has over {MAX_TERMS} terms")
+    return tuple(tuple(sorted(r["term"] for r in rows if r["strict"] == side)) for side in (True, False))
+
+
 def url_vocabulary(pages: DataFrame, url: str = "url", strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """pages plus term_hit struct(strict, soft, rejected)."""
 

@@ -6,9 +6,10 @@ import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pytest
 
-from albumlake.llm import audit, repair, winnow
+from albumlake.llm import audit, mixing, order, repair, urls, wfst, winnow
 
 DATA = "/root/testdata/sf0.01"
 ROWS = "conv_id long, turn long, role string, text string, audit string, _k int"
@@ -233,3 +234,44 @@ def test_audit_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string, source string")
     m = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert audit.audit_orders(audit.mask_cells(d, m), "ABCDE").count() == 0
+
+
+# Mixing, stored ids, URL terms -------------------------------------------------------------------------------------
+
+
+def test_entropy_does_not_repeat_beyond_the_limit(spark):
+    rows = [(i, "w " * 2000, "big") for i in range(40)] + [(99, "one", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix_sources(df, max_epochs=3.0, target_entropy=0.69).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in made} == {i: 1 for i in range(40)} | {99: 3}
+
+
+def test_blocks_come_one_after_the_other(spark):
+    df = spark.createDataFrame([(i, f"text {i} of some words", "a" if i % 50 else "b") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(df, blocks=16).orderBy("order_key").collect()
+    runs = [k for k, _ in itertools.groupby((r.epoch, r.block) for r in rows)]
+    assert len(runs) == len(set(runs)) and runs != sorted(runs)
+
+
+def test_ids_take_four_bytes_of_a_large_vocabulary(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame([(1, "some words to encode " * 40), (2, None)], "doc_id long, text string")
+    kind, end = order.id_format(wfst.read_vocabulary(wfst.default_vocabulary()))
+    assert (kind, end) == ("<u2", 2)
+    two = [np.frombuffer(r.ids, "<u2").tolist() for r in order.sequences(df, 64).orderBy("doc_id", "seq_no").collect()]
+    monkeypatch.setattr(order, "id_format", lambda model: ("<u4", end))
+    four = [np.frombuffer(r.ids, "<u4").tolist() for r in order.sequences(df, 64).orderBy("doc_id", "seq_no").collect()]
+    ids = wfst.encode_documents(df.withColumn("source", df.text)).orderBy("doc_id").collect()
+    assert two == four and two[-1] == [end] * 64
+    assert sum(two[:-1], [])[: len(ids[0].token_ids)] == list(ids[0].token_ids)
+    rows, total, _ = order.slotted(df, 64, 2)
+    order.write_shards(rows, total, str(tmp_path / "s"), 64, 2)
+    back = order.read_shards(spark, str(tmp_path / "s"), 0, 2).orderBy("doc_id", "seq_no").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in back] == four and all(r.offset % 256 == 0 for r in back)
+
+
+def test_terms_of_a_table(spark):
+    terms = spark.createDataFrame([(" Casino ", True), ("casino", False), ("bet", None), ("win", False), (None, True), (" ", True)], "term string, strict boolean")
+    strict, soft = urls.read_terms(terms)
+    assert (strict, soft) == (("casino",), ("bet", "win"))
+    pages = spark.createDataFrame([("http://a/bet-win", 1), ("http://a/betting", 1), ("casino", 1), (None, 1), ("http://a/bet-win", 1)], "url string, strict int")
+    assert [r.term_hit.rejected for r in urls.url_vocabulary(pages, strict=strict, soft=soft).collect()] == [True, False, True, False, True]
