@@ -11,6 +11,13 @@ from .vectors import components, links, nearest, numbered
 # Detector labels of animals.
 ANIMALS = ["bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe"]
 
+# The other labels of the same detector, comma-separated.
+THINGS = """person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench,
+backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball, kite, baseball bat, baseball glove, skateboard, surfboard,
+tennis racket, bottle, wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich, orange, broccoli, carrot, hot dog, pizza, donut, cake,
+chair, couch, potted plant, bed, dining table, toilet, tv, laptop, mouse, remote, keyboard, cell phone, microwave, oven, toaster, sink,
+refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush"""
+
 
 def scan_faces(regions: DataFrame) -> DataFrame:
     return regions.filter("category = 'Person'")
@@ -21,7 +28,9 @@ def effective_faces(regions: DataFrame) -> DataFrame:
 
 
 def region_category(label: Column) -> Column:
-    return F.when(F.lower(label) == "person", "Person").when(F.lower(label).isin(ANIMALS), "Animal").otherwise("Item")
+    """Person, Animal or Item of a label that the detector knows; any other, also none, is Other."""
+    known = [x.strip() for x in THINGS.split(",")]
+    return F.when(F.lower(label) == "person", "Person").when(F.lower(label).isin(ANIMALS), "Animal").when(F.lower(label).isin(known), "Item").otherwise("Other")
 
 
 def propose_regions(detections: DataFrame, least: float = 0.3) -> DataFrame:
@@ -216,3 +225,11 @@ def near_duplicate_groups(pairs: DataFrame) -> DataFrame:
         state = written(state.join(earlier.withColumnRenamed("b", "id"), "id", "left").select("id", new.alias("leads")))
     leaders = state.filter("leads").select(F.col("id").alias("a"))
     return pairs.join(leaders, "a").groupBy(F.col("b").alias("file_id")).agg(F.min("a").alias("leader"))
+
+
+def near_duplicate_files(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """file_id and leader of every file that a leader absorbs: near_duplicate_groups() over one file for each hash, and the
+    other files of a hash with it. members is file_id, rep."""
+    leaders = near_duplicate_groups(pairs).withColumnRenamed("file_id", "rep")
+    out = members.join(leaders, "rep", "left").select("file_id", F.coalesce("leader", "rep").alias("leader"))
+    return out.filter("file_id <> leader")

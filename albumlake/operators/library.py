@@ -19,19 +19,26 @@ def pick_state(rating: Column, state: str) -> Column:
     return {"Any": F.lit(True), "Rejected": r == -1, "Picked": r >= 0, "Unflagged": r == 0}[state]
 
 
-def clause(rule: dict) -> Column:
-    """One smart-album clause as a predicate; blank text needles match everything."""
+#: The place fields that text is looked for in.
+PLACES = ["location", "city", "state", "country", "country_code"]
+
+
+def clause(rule: dict, people: tuple[str, ...] = ("persons_shown",)) -> Column:
+    """One smart-album clause as a predicate; blank text needles match everything. `people` are the arrays of names."""
     kind = rule["type"]
     if kind == "minRating":
         return F.coalesce(F.col("rating"), F.lit(0)) >= rule["value"]
     if kind == "keyword":
-        return F.exists("keywords", lambda k: contains_ci(k, rule["value"])) if rule["value"].strip() else F.lit(True)
+        needle = rule["value"]
+        if not needle.strip():
+            return F.lit(True)
+        return F.exists("keywords", lambda k: F.contains(k, F.lit(needle)) if rule.get("caseSensitive") else contains_ci(k, needle))
     if kind == "person":
         if not rule["value"].strip():
             return F.lit(True)
-        return F.coalesce(F.exists("persons_shown", lambda p: contains_ci(p, rule["value"])), F.lit(False))
+        return reduce(Column.__or__, [F.coalesce(F.exists(c, lambda p: contains_ci(p, rule["value"])), F.lit(False)) for c in people])
     if kind == "location":
-        places = F.array_compact(F.array("city", "country"))
+        places = F.array_compact(F.array(*PLACES))
         return F.exists(places, lambda p: contains_ci(p, rule["value"])) if rule["value"].strip() else F.lit(True)
     if kind == "colorLabel":
         return F.coalesce(F.lower("color_label") == rule["value"].lower(), F.lit(False))
@@ -47,20 +54,31 @@ def clause(rule: dict) -> Column:
     raise ValueError(f"unknown clause {kind}")
 
 
-def rule(clauses: list[dict], mode: str = "and") -> Column:
+def rule(clauses: list[dict], mode: str = "and", people: tuple[str, ...] = ("persons_shown",)) -> Column:
     """AND or OR over the clauses; a rule without clauses matches every photo."""
     if not clauses:
         return F.lit(True)
-    return reduce(Column.__and__ if mode == "and" else Column.__or__, map(clause, clauses))
+    return reduce(Column.__and__ if mode == "and" else Column.__or__, [clause(c, people) for c in clauses])
+
+
+def _named(photos: DataFrame, regions: DataFrame | None, clauses: list[dict]) -> tuple[DataFrame, tuple[str, ...]]:
+    """photos with the labels of their Person regions, if a clause asks for people; and the arrays to look in."""
+    if regions is None or not any(c["type"] == "person" for c in clauses):
+        return photos, ("persons_shown",)
+    labels = regions.filter("category = 'Person'").groupBy("file_id").agg(F.collect_set("label").alias("_people"))
+    return photos.join(labels, "file_id", "left"), ("_people", "persons_shown")
 
 
-def smart_album(photos: DataFrame, clauses: list[dict], mode: str = "and") -> DataFrame:
-    return photos.filter(rule(clauses, mode))
+def smart_album(photos: DataFrame, clauses: list[dict], mode: str = "and", regions: DataFrame | None = None) -> DataFrame:
+    """Photos that fit the rule. A person is one shown, or the label of a Person region of the photo."""
+    rows, people = _named(photos, regions, clauses)
+    return rows.filter(rule(clauses, mode, people)).select(*photos.columns)
 
 
-def smart_albums_membership(photos: DataFrame, albums: dict[str, list[dict]], modes: dict[str, str] | None = None) -> DataFrame:
+def smart_albums_membership(photos: DataFrame, albums: dict[str, list[dict]], modes: dict[str, str] | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Photos per album, all rules in one pass; modes has the albums that are not AND."""
-    hits = F.array_compact(F.array(*[F.when(rule(c, (modes or {}).get(n, "and")), F.lit(n)) for n, c in albums.items()]))
+    photos, people = _named(photos, regions, [c for clauses in albums.values() for c in clauses])
+    hits = F.array_compact(F.array(*[F.when(rule(c, (modes or {}).get(n, "and"), people), F.lit(n)) for n, c in albums.items()]))
     return photos.select(F.explode(hits).alias("album")).groupBy("album").agg(F.count("*").alias("n"))
 
 

@@ -2,35 +2,81 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
 
-# File formats by family.
-FORMATS = {
-    "JPEG": ["jpg", "jpeg"], "PNG": ["png"], "GIF": ["gif"], "BMP": ["bmp"], "TIFF": ["tif", "tiff"], "WebP": ["webp"], "HEIF": ["heic", "heif"],
-    "Canon RAW": ["cr2", "cr3"], "Nikon RAW": ["nef"], "Sony RAW": ["arw"], "Adobe DNG": ["dng"], "Olympus RAW": ["orf"], "Panasonic RAW": ["rw2"],
-}
-# First bytes of file formats, in hex.
-MAGIC = [("FFD8FF", "jpg"), ("89504E470D0A1A0A", "png"), ("47494638", "gif"), ("424D", "bmp"), ("49492A00", "tif"), ("4D4D002A", "tif")]
-SEPARATOR = r"[-_. ]?"
-STOP_WORDS = ["the", "and", "of", "photos", "pictures", "images", "dcim", "lib", "library"]
-
-
-def filename_dates(files: DataFrame) -> DataFrame:
-    """file_id and the timestamp that the name holds: year, month and day, with a time or without; the longest layout
-    wins and impossible dates are dropped. A missing time is midnight."""
-    day = rf"(?:^|\D)((?:19|20)\d\d){SEPARATOR}(\d\d){SEPARATOR}(\d\d)"
-    full = day + rf"[-_. T]?(\d\d){SEPARATOR}(\d\d){SEPARATOR}(\d\d)(?:\D|$)"
-    base = F.regexp_replace("name", r"\.[^.]*$", "")
-
-    def made(pattern: str, parts: int) -> Column:
-        text = [F.regexp_extract(base, pattern, i) for i in range(1, parts + 1)] + [F.lit("00")] * (6 - parts)
-        stamp = F.concat_ws(" ", F.concat_ws("-", *text[:3]), F.concat_ws(":", *text[3:]))
-        return F.when(text[0] != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
-
-    return files.select("file_id", F.coalesce(made(full, 6), made(day + r"(?:\D|$)", 3)).alias("named")).filter("named is not null")
+# Extensions by format family.
+FORMATS_TEXT = """
+JPEG: jpg jpeg jfif jpe | TIFF: tiff tif | Photoshop: psd psb | PNG: png | APNG: apng | BMP: bmp dib | GIF: gif | ICO: ico |
+Netpbm: pgm ppm pbm pnm | PCX: pcx | WebP: webp | HEIC: heic heif | AVIF: avif | JPEG 2000: jp2 j2k jpc | HDR: hdr | OpenEXR: exr |
+DDS: dds | QuickTime: mov mp4 m4v 3gp 3g2 |
+RAW: cr2 cr3 crw nef arw srf sr2 ari sraw dng raw raf orf rw2 pef ptx pxn srw x3f mrw mdc dcr kdc dcs dc2 k25 erf mef mos r3d rwl rwz
+  iiq cap 3fr fff bay ciff cs1 drf
+"""
+FORMATS = {family.strip(): exts.split() for family, _, exts in (part.partition(":") for part in FORMATS_TEXT.split("|"))}
+# First bytes of formats (a pattern over hex digits), and the extensions that such a file may have.
+MAGIC = [
+    ("jpg", "FFD8FF", "jpg jpeg jpe jfif"), ("png", "89504E470D0A1A0A", "png"), ("gif", "47494638(37|39)61", "gif"), ("webp", "52494646.{8}57454250", "webp"),
+    ("bmp", "424D....", "bmp"), ("tif", "(49492A00|4D4D002A)", "tif tiff dng cr2 cr3 nef arw orf rw2 pef raf raw"), ("heic", ".{8}66747970.{8}", "heic heif"),
+]
+# Date layouts of file names.
+LAYOUTS = """
+yyyyMMddHHmmss, yyyyMMddHHmm, yyyyMMdd HHmmss, yyyyMMdd HHmm, yyyyMMdd_HHmmss, yyyyMMdd_HHmm,
+yyMMddHHmmss, yyMMddHHmm, yyMMdd HHmmss, yyMMdd HHmm, yyMMdd_HHmmss, yyMMdd_HHmm,
+yyyy-MM-dd-HH-mm-ss, yyyy-MM-dd HH-mm-ss, yyyy-MM-dd-HH-mm, yyyy-MM-dd HH-mm,
+yy-MM-dd-HH-mm-ss, yy-MM-dd HH-mm-ss, yy-MM-dd-HH-mm, yy-MM-dd HH-mm,
+yyyy_MM_dd_HH_mm_ss, yyyy_MM_dd_HH_mm, yyyy_MM_dd HH_mm_ss, yyyy_MM_dd HH_mm,
+yy_MM_dd_HH_mm_ss, yy_MM_dd_HH_mm, yy_MM_dd HH_mm_ss, yy_MM_dd HH_mm,
+yyyyMMdd, yyyy-MM-dd, yyyy_MM_dd, yyMMdd, yy-MM-dd, yy_MM_dd, ddMMyyyy, dd-MM-yyyy, dd_MM_yyyy, ddMMyy, dd-MM-yy, dd_MM_yy
+"""
+# Folder words that say nothing of a photo.
+STOP_WORDS = """photos, photo, pictures, pics, images, img, dcim, camera, originals, backup, backups, archive, archived, misc, new folder, raw, jpg,
+jpeg, png, users, user, home, documents, desktop, appdata, local, roaming, library, caches, temp, tmp, windows, program files, system32,
+my pictures, my documents, c, d, e, f, g, h"""
+CENTURY_FROM = 50
+
+
+def listed(text: str) -> list[str]:
+    return [x.strip() for x in text.replace("\n", " ").split(",")]
+
+
+def default_date(created: Column, modified: Column, earliest: str = "1990-01-01") -> Column:
+    """The file date that a name's missing parts come from: the created one if it is late enough, else the modified one;
+    of two late enough the earlier."""
+    least = F.lit(earliest).cast("timestamp_ntz")
+    base = F.when(created >= least, created).otherwise(modified)
+    return F.when((modified < base) & (modified >= least), modified).otherwise(base)
+
+
+def filename_dates(files: DataFrame, earliest: str = "1990-01-01") -> DataFrame:
+    """file_id, layout, named: the date that each layout finds in the name (its first place), one row a layout that hits.
+
+    files has name, created and modified. Separators of a layout may be missing, or be several of - _ . / \\ and :; years of
+    two digits lie in 1950 to 2049; a time of day that the layout lacks is that of default_date. Impossible dates are
+    dropped. Each layout is one pattern, which writes the parts it finds in one order.
+    """
+    default = default_date(F.col("created").cast("timestamp_ntz"), F.col("modified").cast("timestamp_ntz"), earliest)
+    rows = files.select("file_id", "name", default.alias("_base")).filter(F.length(F.regexp_replace("name", r"\D+", "")) >= 6)
+
+    def hit(layout: str) -> Column:
+        parts = re.findall(r"y+|M+|d+|H+|m+|s+|[-_]| ", layout)
+        group = {p[0]: i for i, p in enumerate((p for p in parts if p[0] not in "-_ "), 1)}
+        pattern = "".join(rf"[-_./\\:]*" if p in "-_" else " " if p == " " else rf"(\d{{{len(p)}}})" for p in parts)
+        found = F.regexp_replace("name", rf"^.*?{pattern}.*?$", "\u0001" + "|".join(f"${group[x]}" if x in group else "" for x in "yMdHms"))
+        return F.when(F.startswith(found, F.lit("\u0001")), F.struct(F.lit(layout).alias("layout"), F.split(F.substring(found, 2, 99), r"\|").alias("p")))
+
+    layouts = sorted(listed(LAYOUTS), key=len, reverse=True)
+    rows = rows.withColumn("h", F.explode(F.array_compact(F.array(*[hit(x) for x in layouts]))))
+    y, month, day, *time = (F.get("h.p", F.lit(i)).try_cast("int") for i in range(6))
+    short = F.length(F.get("h.p", F.lit(0))) == 2
+    year = y + F.when(short & (y < CENTURY_FROM), 2000).when(short, 1900).otherwise(0)
+    filled = [F.coalesce(t, f("_base")) for t, f in zip(time, (F.hour, F.minute, F.second), strict=True)]
+    named = F.try_make_timestamp_ntz(year, month, day, *filled[:2], filled[2].cast("decimal(8,6)"))
+    return rows.select("file_id", "h.layout", named.alias("named")).filter("named is not null")
 
 
 def target_path(files: DataFrame, root: str, folders: list[str]) -> DataFrame:
@@ -70,8 +116,9 @@ def memories_order(groups: DataFrame) -> DataFrame:
 def path_keywords(photos: DataFrame, levels: int = 4) -> DataFrame:
     """file_id and the words of up to `levels` parent folders: lower case, no stop words, numbers or dates, distinct."""
     folders = F.slice(F.reverse(F.filter(F.split("dir", "/"), lambda x: x != "")), 1, levels)
-    words = F.flatten(F.transform(folders, lambda f: F.split(F.lower(F.regexp_replace(f, r"[\[\](){}'\",;:!]", "")), r"[ _\-.+]+")))
-    good = F.filter(words, lambda w: F.length(w).between(2, 40) & ~w.rlike(r"^[0-9]+$") & ~w.isin(STOP_WORDS))
+    words = F.transform(F.flatten(F.transform(folders, lambda f: F.split(f, r"[ _\-.+]+"))), lambda w: F.lower(F.regexp_replace(F.trim(w), r"^[()\[\]{},;!?]+|[()\[\]{},;!?]+$", "")))
+    date = r"^\d{4}([-_.]?\d{1,2}([-_.]?\d{1,2})?)?$"
+    good = F.filter(words, lambda w: F.length(w).between(2, 40) & ~w.rlike(r"^[0-9]+$") & ~w.rlike(date) & ~w.rlike("^[a-z]:$") & ~w.isin(listed(STOP_WORDS)))
     return photos.select("file_id", F.array_distinct(good).alias("words"))
 
 
@@ -130,12 +177,15 @@ def supported_formats(files: DataFrame) -> DataFrame:
 
 
 def file_signature(files: DataFrame) -> DataFrame:
-    """file_id, the extension that the first bytes call for, and whether the name's agrees (file_id, name, content)."""
+    """file_id, the format that the content's first 16 bytes show (`real`, null if none), whether the name's extension is
+    one of that format's (`matches`), and the extension it should have where it is not (`suggested`)."""
     head = F.hex(F.substring(F.col("content").cast("binary"), 1, 16))
-    real = F.coalesce(*[F.when(F.startswith(head, F.lit(m)), F.lit(e)) for m, e in MAGIC])
+    long_enough = F.length(head) >= 8
     ext = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
-    ext = F.when(ext == "jpeg", "jpg").when(ext == "tiff", "tif").otherwise(ext)
-    return files.select("file_id", real.alias("real"), (ext == real).alias("matches"))
+    real = F.coalesce(*[F.when(long_enough & F.rlike(head, F.lit("^" + magic)), F.lit(name)) for name, magic, _ in MAGIC])
+    fits = F.coalesce(*[F.when(F.col("real") == name, ext.isin(exts.split())) for name, _, exts in MAGIC])
+    rows = files.select("file_id", "name", real.alias("real")).withColumn("matches", fits)
+    return rows.select("file_id", "real", "matches", F.when(~F.col("matches"), F.col("real")).alias("suggested"))
 
 
 def incremental_scan(listing: DataFrame, snapshot: DataFrame) -> DataFrame:

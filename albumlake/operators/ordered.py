@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .vectors import numbered, ranked
+
 RELIABILITY = {"Gps": 50, "SubIfd": 40, "Ifd0": 30, "FileName": 20, "Modified": 10, "Created": 1}
 
 
@@ -77,50 +82,89 @@ def burst_tag(keywords: Column, burst: Column) -> Column:
     return F.array_append(kept, F.concat(F.lit("pm:burstId="), burst))
 
 
-def best_capture_date(candidates: DataFrame, earliest: str = "1990-01-01", latest: str = "2100-01-01") -> DataFrame:
-    """Per file the date of the most reliable source, the latest of equal ones; dates outside the limits do not count."""
+def best_capture_date(candidates: DataFrame, earliest: str = "1990-01-01", latest: str = "2100-01-01", ignored: tuple[str, ...] = ("1970-01-01", "1980-01-01")) -> DataFrame:
+    """Per file the date of the most reliable source, the latest of equal ones; dates outside the limits and the ignored
+    ones do not count. Of a satellite date and an original's that follows it by an hour at most, the original's is taken:
+    the receiver's fix was old."""
     rank = F.create_map(*[F.lit(x) for pair in RELIABILITY.items() for x in pair])[F.col("source")]
     ok = candidates.filter((F.col("ts") >= F.lit(earliest).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(latest).cast("timestamp_ntz")))
-    best = ok.groupBy("file_id").agg(F.max(F.struct(F.coalesce(rank, F.lit(0)).alias("rank"), "ts", "source")).alias("best"))
-    return best.select("file_id", F.col("best.ts").alias("captured"), F.col("best.source").alias("source"))
+    ok = ok.filter(~F.col("ts").cast("timestamp_ntz").isin([F.lit(d).cast("timestamp_ntz") for d in ignored])) if ignored else ok
+    gps, original = (F.max(F.when(F.col("source") == s, F.col("ts").cast("timestamp_ntz"))) for s in ("Gps", "SubIfd"))
+    best = ok.groupBy("file_id").agg(F.max(F.struct(F.coalesce(rank, F.lit(0)).alias("rank"), "ts", "source")).alias("best"), gps.alias("gps"), original.alias("original"))
+    stale = F.coalesce((F.col("original") > F.col("gps")) & (F.col("original") <= F.col("gps") + F.expr("interval 1 hour")), F.lit(False))
+    return best.select("file_id", F.when(stale, F.col("original")).otherwise(F.col("best.ts")).alias("captured"), F.when(stale, "SubIfd").otherwise(F.col("best.source")).alias("source"))
+
+
+KEY = ["dir", "base", "ext"]
 
 
 def collision_suffix(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """file_id and final: the nth file of one target path gets ' (n)' from n = 2 on, past numbers that are taken.
 
-    files has file_id, dir, base, ext, name; taken has dir, base, ext, n (0 for the plain name). Free numbers are counted
-    in a window over one target path.
+    files has file_id, dir, base, ext, name; taken has dir, base, ext, n (0 for the plain name). Sorted, the ith taken number
+    u (from 0) leaves u - i - 1 free ones below it, so the kth file is pushed on by every taken number with u - i <= k. Files
+    and taken numbers are merged in that order and numbered by ranges of targets; one target may fill many ranges.
     """
-    key = ["dir", "base", "ext"]
-    w = Window.partitionBy(*key).orderBy("name", "file_id")
-    rows = files.withColumn("_at", F.row_number().over(w))
-    if taken is None:
-        number = F.col("_at")
-    else:
-        used = taken.groupBy(*key).agg(F.collect_set(F.when(F.col("n") < 1, 1).otherwise(F.col("n").cast("int"))).alias("used"))
-        rows = rows.join(used, key, "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-        free = F.array_except(F.sequence(F.lit(1), F.col("_at") + F.size("used")), F.col("used"))
-        number = F.get(F.array_sort(free), F.col("_at") - 1)
+    order = ["name", "file_id"]
+    rows = ranked(files.select("file_id", "name", *KEY), KEY, order, "_at")
+    number = F.col("_at")
+    if taken is not None:
+        used = taken.select(*KEY, F.when(F.col("n") < 1, 1).otherwise(F.col("n")).cast("long").alias("u")).distinct()
+        used = ranked(used.join(rows.select(*KEY).distinct(), KEY, "left_semi"), KEY, ["u"], "_i").select(*KEY, (F.col("u") - F.col("_i") + 1).alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["file_id"].dataType).alias("file_id"))
+        both = used.unionByName(rows.select(*KEY, F.col("_at").alias("_k"), F.lit(1).alias("_side"), "file_id"))
+        rows = ranked(both, KEY, ["_k", "_side"], "_place").filter("_side = 1")
+        number = F.col("_place")  # its own rank and the taken numbers before it
     plain = F.concat("base", F.when(number > 1, F.concat(F.lit(" ("), number.cast("string"), F.lit(")"))).otherwise(""), "ext")
     return rows.select("file_id", F.concat_ws("/", "dir", plain).alias("final"))
 
 
+#: .NET date letters that Spark writes alike.
+DATE_FORMAT = r"[yMdHms .,_\-]*"
+
+
 def rename_plan(photos: DataFrame, template: str, by: list[str] | None = None) -> DataFrame:
     """file_id, new_name, status: the template's tokens filled in; an unknown token keeps its braces.
 
-    Tokens: name, ext, year, month, day, hour, minute, second, rating, label, index. The index runs per `by` (all photos
-    without), in order of time and name; status tells unchanged names and later ones of equal names.
+    Tokens: name, ext, date:fmt, time:fmt, year, month, day, hour, minute, second, rating, label, the place fields, title,
+    caption, creator, index:fmt and total:fmt. Dates take y, M, d, H, m, s; counts zeros for their least width. The index
+    runs per `by` (all photos without), in order of time and name; status tells unchanged names and later ones of equal
+    names. Columns that photos lack are empty.
     """
     def two(f) -> Column:
         return F.lpad(f("captured").cast("string"), 2, "0")
 
+    def text(name: str) -> Column:
+        return F.col(name).cast("string") if name in photos.columns else F.lit(None).cast("string")
+
     ext = F.regexp_extract("name", r"\.([^.]*)$", 1)
-    known = {
-        "name": stem(F.col("name")), "ext": ext, "year": F.year("captured").cast("string"), "month": two(F.month), "day": two(F.dayofmonth),
-        "hour": two(F.hour), "minute": two(F.minute), "second": two(F.second), "rating": F.col("rating").cast("string"), "label": F.col("color_label"), "index": F.col("index").cast("string"),
+    fixed = {
+        "name": stem(F.col("name")), "ext": ext, "year": F.lpad(F.year("captured").cast("string"), 4, "0"), "month": two(F.month), "day": two(F.dayofmonth),
+        "hour": two(F.hour), "minute": two(F.minute), "second": two(F.second), "rating": text("rating"), "label": text("color_label"),
+        **{t: text(c) for t, c in (("city", "city"), ("country", "country"), ("countrycode", "country_code"), ("state", "state"), ("location", "location"), ("title", "title"), ("caption", "caption"), ("creator", "creator"))},
     }
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("captured", "name", "file_id")
-    rows = photos.withColumn("index", F.row_number().over(w))
+
+    def filled(token: str) -> Column:
+        name, colon, form = token.partition(":")
+        name = name.lower()
+        if name in fixed:
+            return F.coalesce(fixed[name], F.lit(""))
+        if name in ("date", "time"):
+            form = form if colon else "yyyy-MM-dd" if name == "date" else "HHmmss"
+            if not re.fullmatch(DATE_FORMAT, form):
+                raise ValueError(f"unknown date format {form}")
+            return F.coalesce(F.date_format("captured", form) if form else F.lit(""), F.lit(""))
+        if name in ("index", "total"):
+            if form.strip("0"):
+                raise ValueError(f"unknown number format {form}")
+            n = F.col(name).cast("string")
+            return F.lpad(n, F.greatest(F.length(n), F.lit(len(form))), F.lit("0"))
+        return F.lit("{" + token + "}")
+
+    if by:
+        w = Window.partitionBy(*by)
+        rows = photos.withColumn("index", F.row_number().over(w.orderBy("captured", "name", "file_id"))).withColumn("total", F.count("*").over(w))
+    else:
+        rows = numbered(photos, ["captured", "name", "file_id"], "index").withColumn("total", F.lit(photos.count()))
     parts, at = [], 0
     while at < len(template):
         open_ = template.find("{", at)
@@ -128,8 +172,7 @@ def rename_plan(photos: DataFrame, template: str, by: list[str] | None = None) -
         if close < 0:
             parts.append(F.lit(template[at:]))
             break
-        token = template[open_ + 1 : close]
-        parts += [F.lit(template[at:open_]), F.coalesce(known[token.lower()], F.lit("")) if token.lower() in known else F.lit("{" + token + "}")]
+        parts += [F.lit(template[at:open_]), filled(template[open_ + 1 : close])]
         at = close + 1
     base = F.trim(F.regexp_replace(F.concat(F.lit(""), *parts), r'[\\/:*?"<>|\x00-\x1F]', "_"))
     rows = rows.withColumn("new_name", F.when(ext != "", F.concat(base, F.lit("."), ext)).otherwise(base))
@@ -138,30 +181,37 @@ def rename_plan(photos: DataFrame, template: str, by: list[str] | None = None) -
     return rows.select("file_id", "new_name", status.alias("status"))
 
 
-def import_plan(incoming: DataFrame, existing: DataFrame, handling: str) -> DataFrame:
+def import_plan(incoming: DataFrame, existing: DataFrame, handling: str, preserve: bool = True) -> DataFrame:
     """file_id, final, outcome of files (file_id, dir, base, ext, name, sha) against those on disk (dir, base, ext, n, sha).
 
-    Skip and Overwrite look at the target only; Smart skips a file whose content is there and renames others; Rename
-    always renames. Files without a clash are imported as they are.
+    The plain target is held by the file on disk of n = 0, else by the first file of the batch, by name, which is imported.
+    Other files of the target clash: Skip and Overwrite say so; Smart skips a file that equals the holder (removes it, where
+    originals are not preserved) and renames others, whatever numbered siblings hold; Rename always renames.
     """
     if handling not in ("Rename", "Skip", "Overwrite", "Smart"):
         raise ValueError(f"unknown handling {handling}")
-    key = ["dir", "base", "ext"]
-    there = existing.groupBy(*key).agg(F.max((F.col("n") == 0).cast("int")).alias("plain"))
-    same = existing.select(*key, "sha").distinct().withColumn("same", F.lit(True))
-    rows = incoming.join(there, key, "left").join(same, [*key, "sha"], "left")
-    w = Window.partitionBy(*key).orderBy("name", "file_id")
-    clash = (F.coalesce("plain", F.lit(0)) == 1) | (F.row_number().over(w) > 1)
-    rows = rows.withColumn("clash", clash)
-    outcome = F.when(~F.col("clash"), "imported")
+    first = incoming.groupBy(*KEY).agg(F.min(F.struct("name", "file_id", "sha")).alias("_first"))
+    there = existing.filter("n = 0").groupBy(*KEY).agg(F.lit(True).alias("_there"), F.max("sha").alias("_sha"))
+    holder = first.join(there, KEY, "left").select(*KEY, F.col("_first.file_id").alias("_id"), F.coalesce("_there", F.lit(False)).alias("_there"), F.when(F.col("_there"), F.col("_sha")).otherwise(F.col("_first.sha")).alias("_sha"))
+    rows = incoming.join(holder, KEY)
+    outcome = F.when(~F.col("_there") & (F.col("file_id") == F.col("_id")), "imported")
     if handling in ("Skip", "Overwrite"):
         outcome = outcome.otherwise({"Skip": "skipped", "Overwrite": "overwritten"}[handling])
     else:
-        outcome = (outcome.when(F.coalesce("same", F.lit(False)), "skipped") if handling == "Smart" else outcome).otherwise("renamed")
-    rows = rows.withColumn("outcome", outcome)
-    renamed = rows.filter("outcome in ('imported', 'renamed')")
-    named = collision_suffix(renamed, existing)
-    return rows.join(named, "file_id", "left").select("file_id", F.coalesce("final", F.concat_ws("/", "dir", F.concat("base", "ext"))).alias("final"), "outcome")
+        outcome = (outcome.when(F.col("sha") == F.col("_sha"), "skipped" if preserve else "removed") if handling == "Smart" else outcome).otherwise("renamed")
+    rows = written(rows.select("file_id", *KEY, "name", outcome.alias("outcome")))
+    named = collision_suffix(rows.filter("outcome = 'renamed'"), existing.select(*KEY, "n").unionByName(rows.filter("outcome = 'imported'").select(*KEY, F.lit(0).cast("long").alias("n"))))
+    plain = F.concat_ws("/", "dir", F.concat("base", "ext"))
+    kept = rows.filter("outcome <> 'renamed'").select("file_id", plain.alias("final"), "outcome")
+    return kept.unionByName(rows.filter("outcome = 'renamed'").select("file_id", "outcome").join(named, "file_id").select("file_id", "final", "outcome"))
+
+
+def import_preview(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """What a dry run says of each file: only the plain target on disk counts, as nothing is written."""
+    there = existing.filter("n = 0").groupBy(*KEY).agg(F.lit(True).alias("_there"), F.max("sha").alias("_sha"))
+    rows = incoming.join(there, KEY, "left")
+    says = F.when(F.col("_there").isNull(), "import").when(F.col("sha") == F.col("_sha"), "skip identical").otherwise("resolve conflict")
+    return rows.select("file_id", F.concat_ws("/", "dir", F.concat("base", "ext")).alias("final"), says.alias("preview"))
 
 
 def import_summary(plan: DataFrame) -> DataFrame:

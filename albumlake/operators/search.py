@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .library import contains_ci
-
-PLACES = ["city", "country"]
+from .library import PLACES, contains_ci
 
 
 def blank(col: Column) -> Column:
@@ -15,9 +13,9 @@ def blank(col: Column) -> Column:
 
 
 def any_text_haystack(photos: DataFrame, regions: DataFrame) -> DataFrame:
-    """photos plus haystack: title, places, keywords and the labels of the photo's regions."""
+    """photos plus haystack: title, caption, places, keywords and the labels of the photo's regions."""
     labels = regions.groupBy("file_id").agg(F.collect_list("label").alias("labels"))
-    parts = F.concat(F.array("title", *PLACES), F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("labels", F.array().cast("array<string>")))
+    parts = F.concat(F.array("title", "caption", *PLACES), F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("labels", F.array().cast("array<string>")))
     return photos.join(labels, "file_id", "left").withColumn("haystack", F.array_compact(parts))
 
 
@@ -44,9 +42,16 @@ def newest_first(photos: DataFrame) -> DataFrame:
     return photos.orderBy(F.desc("mtime"), "dir", "name")
 
 
-def search_index(photos: DataFrame) -> DataFrame:
-    """file_id and the lower-cased text that grid_filter looks through; blank parts are left out."""
-    parts = F.concat(F.array("name", "dir", "title", *PLACES), F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("persons_shown", F.array().cast("array<string>")))
+def search_index(photos: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """photos plus the lower-cased text that grid_filter looks through: name, folder, path, texts, places, maker, keywords,
+    persons and the labels of the photo's regions in order; blank parts are left out."""
+    none = F.array().cast("array<string>")
+    labels = none
+    if regions is not None:
+        of = regions.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda r: r["label"]).alias("_labels"))
+        photos, labels = photos.join(of, "file_id", "left"), F.coalesce("_labels", none)
+    single = F.array("name", "dir", F.concat_ws("/", "dir", "name"), "title", "caption", *PLACES, "creator", "headline")
+    parts = F.concat(single, F.coalesce("keywords", none), F.coalesce("persons_shown", none), labels)
     return photos.withColumn("search_text", F.lower(F.array_join(F.filter(F.array_compact(parts), lambda x: ~blank(x)), " ")))
 
 
@@ -102,7 +107,7 @@ def distinct_people(regions: DataFrame) -> DataFrame:
 
 
 def distinct_locations(photos: DataFrame) -> DataFrame:
-    return distinct_labels(photos.select(F.explode(F.array(*PLACES)).alias("place")), "place")
+    return distinct_labels(photos.select(F.explode(F.array(*PLACES[:4])).alias("place")), "place")
 
 
 def looks_equirectangular(images: DataFrame) -> DataFrame:

@@ -275,3 +275,11 @@ def numbered(rows: DataFrame, order: list, name: str, start: int = 1) -> DataFra
     first = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     d = d.withColumn("_part", part).join(F.broadcast(first), "_part")
     return d.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start).drop("_part", "_before", "_at")
+
+
+def ranked(rows: DataFrame, key: list[str], order: list, name: str) -> DataFrame:
+    """rows numbered from 1 within each key: all rows are numbered in order of key, and each key's least number is taken
+    off. A key of any size is spread over ranges."""
+    d = numbered(rows, [*key, *order], "_all")
+    least = d.groupBy(*key).agg(F.min("_all").alias("_least"))
+    return d.join(least, key).withColumn(name, F.col("_all") - F.col("_least") + 1).drop("_all", "_least")

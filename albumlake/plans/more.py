@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -40,15 +42,17 @@ def add(name, query, sql=None):
 
 
 # Search -------------------------------------------------------------------------------------------------------------
-add("library_search", both(lambda p, r: ids(S.library_search(p, r, any_text="trip", keyword="CK", person="p1", location="country", min_rating=0))),
-    f"""select file_id from {P} p where (contains(lower(coalesce(title, '')), 'trip') or contains(lower(coalesce(city, '')), 'trip') or contains(lower(coalesce(country, '')), 'trip')
-      or len(list_filter(keywords, lambda k: contains(lower(k), 'trip'))) > 0 or file_id in (select file_id from {REG} r where contains(lower(label), 'trip')))
-      and len(list_filter(keywords, lambda k: contains(lower(k), 'ck'))) > 0 and (contains(lower(coalesce(city, '')), 'country') or contains(lower(coalesce(country, '')), 'country'))
+_PLACES = ["location", "city", "state", "country", "country_code"]
+_has = lambda cols, needle: "(" + " or ".join(f"contains(lower(coalesce({c}, '')), '{needle}')" for c in cols) + ")"
+add("library_search", both(lambda p, r: ids(S.library_search(p, r, any_text="trip", keyword="CK", person="p1", location="t1", min_rating=0))),
+    f"""select file_id from {P} p where ({_has(['title', 'caption', *_PLACES], 'trip')} or len(list_filter(keywords, lambda k: contains(lower(k), 'trip'))) > 0 or file_id in (select file_id from {REG} r where contains(lower(label), 'trip')))
+      and len(list_filter(keywords, lambda k: contains(lower(k), 'ck'))) > 0 and {_has(_PLACES, 't1')}
       and file_id in (select file_id from {REG} r where category = 'Person' and contains(lower(label), 'p1')) and coalesce(rating, 0) >= 0""")
 add("any_text_haystack", both(lambda p, r: ids(S.any_text_haystack(p, r).filter(F.exists("haystack", lambda x: L.contains_ci(x, "p13"))))),
     f"select distinct file_id from {REG} r where contains(lower(label), 'p13')")
-add("search_index", photos(lambda p: S.search_index(p).select("file_id", "search_text")),
-    f"""select file_id, lower(array_to_string(list_filter([name, dir, title, city, country] || keywords || coalesce(persons_shown, []), lambda x: x is not null and trim(x) <> ''), ' ')) search_text from {P} p""")
+add("search_index", both(lambda p, r: S.search_index(p, r).select("file_id", "search_text")),
+    f"""select p.file_id, lower(array_to_string(list_filter([name, dir, dir || '/' || name, title, caption, {', '.join(_PLACES)}, creator, headline] || keywords || coalesce(persons_shown, []) || coalesce(l, []), lambda x: x is not null and trim(x) <> ''), ' ')) search_text
+      from {P} p left join (select file_id, list(label order by idx) l from {REG} r group by 1) r on r.file_id = p.file_id""")
 add("grid_filter", photos(lambda p: ids(S.grid_filter(p, text="img click", stars=2, label="red", mode="HideRejects"))),
     f"select file_id from {P} p where event_type = 'click' and coalesce(rating, 0) >= 2 and color_label = 'Red' and not is_reject")
 add("pick_reject_filter", photos(lambda p: ids(S.pick_reject_filter(p, "PicksOnly"))), f"select file_id from {P} p where is_pick")
@@ -58,7 +62,7 @@ add("selection_semi", on("photos", "file_names")(lambda p, f: ids(S.selection_se
 add("distinct_keywords", photos(lambda p: S.distinct_keywords(p).select("keyword", "n")), f"select min(k) keyword, count(*) n from (select unnest(keywords) k from {P} p) group by lower(k)")
 add("distinct_people", regions(lambda r: S.distinct_people(r).select("person", "n")), f"select label person, count(*) n from {REG} r where category = 'Person' group by 1")
 add("distinct_locations", photos(lambda p: S.distinct_locations(p).select("place", "n")),
-    f"select place, count(*) n from (select city place from {P} p union all select country from {P} p) where trim(coalesce(place, '')) <> '' group by 1")
+    f"select place, count(*) n from (select unnest([location, city, state, country]) place from {P} p) where trim(coalesce(place, '')) <> '' group by 1")
 add("effective_faces", regions(lambda r: A.effective_faces(r).select("file_id", "idx", "label")), f"select file_id, idx, label from {REG} r where category = 'Person' and status = 'Accepted'")
 add("looks_equirectangular", photos(lambda p: S.looks_equirectangular(p.select("file_id", "keywords", (F.lit(1000) + F.col("file_id") % 5000).alias("width"), (F.lit(500) + F.col("user_id") * 10).alias("height"))).select("file_id", "equirectangular")),
     f"""select file_id, abs(cast(1000 + file_id % 5000 as double) / (500 + user_id * 10) - 2) <= 0.1 or (1000 + file_id % 5000 >= 4096 and cast(1000 + file_id % 5000 as double) / (500 + user_id * 10) >= 1.7) equirectangular from {P} p""")
@@ -93,9 +97,6 @@ add("reverse_geocode_join", photos(lambda p: G.reverse_geocode_join(p, p.filter(
 add("elevation_join", photos(lambda p: G.elevation_join(p, p.filter("file_id % 2 = 0").select(F.round("lat", 5).alias("lat5"), F.round("lon", 5).alias("lon5")).distinct().withColumn("altitude", F.round(F.col("lat5") * 10, 3)))),
     f"""with g as (select distinct round(lat, 5) lat5, round(lon, 5) lon5 from {P} p where file_id % 2 = 0)
       select p.file_id, round(g.lat5 * 10, 3) altitude from {P} p left join g on round(p.lat, 5) = g.lat5 and round(p.lon, 5) = g.lon5""")
-_PAIRS = f"select x.file_id a, y.file_id b, cast(bit_count(xor(x.hash, y.hash)) as int) distance from {HASH} x join {HASH} y on x.file_id < y.file_id where bit_count(xor(x.hash, y.hash)) <= 3"
-add("hash_pairs_within", on("hashes")(lambda h: G.hash_pairs_within(h, 3)), _PAIRS)
-add("near_duplicate_groups", on("hashes")(lambda h: A.near_duplicate_groups(G.hash_pairs_within(h, 1))))
 _docs = lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.encode("text", "utf-8").alias("content"))
 add("exact_duplicate_files", lambda spark, sf: G.exact_duplicate_files(_docs(spark, sf)),
     "select d.doc_id file_id, g.first_id, g.n from documents d join (select text, min(doc_id) first_id, count(*) n from documents group by 1 having count(*) > 1) g on d.text = g.text")
@@ -119,16 +120,27 @@ add("geo_cluster_for_zoom", photos(lambda p: L.geo_grid_cluster(p, G.geo_cluster
 add("map_extent_padded", photos(G.map_extent_padded),
     f"""with m as (select radians(lon) * 6378137 x, ln(tan(radians(greatest(least(lat, 85), -85)) / 2 + 0.7853981633974483)) * 6378137 y from {P} p), b as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from m)
       select round(x0 - (x1 - x0) * 0.1, 3) x0, round(x1 + (x1 - x0) * 0.1, 3) x1, round(y0 - (y1 - y0) * 0.1, 3) y0, round(y1 + (y1 - y0) * 0.1, 3) y1 from b""")
-add("export_kml", photos(G.export_kml),
-    f"""select file_id, '<Placemark><name>' || coalesce(title, name) || '</name><Point><coordinates>' || printf('%.6f,%.6f', lon, lat) || '</coordinates></Point></Placemark>' placemark from {P} p""")
+_PLACE = "array_to_string(list_filter([case when trim(city) <> '' then city end, country], lambda x: x is not null), ', ')"
+add("export_kml", photos(lambda p: G.export_kml(p.withColumn("altitude", F.when(F.col("file_id") % 3 == 0, F.col("user_id") + F.lit(0.5).cast("double"))))),
+    f"""select file_id, '<Placemark><name>' || coalesce(title, name) || '</name><description>' || array_to_string(list_filter([caption, nullif({_PLACE}, '')], lambda x: x is not null), '  \u00b7  ') || '</description><Point><coordinates>' || printf('%.6f,%.6f', lon, lat)
+      || case when file_id % 3 = 0 then printf(',%.2f', user_id + 0.5) else '' end || '</coordinates></Point></Placemark>' placemark from {P} p""")
+_near = hav("a.lat", "a.lon", "p.lat", "p.lon")
+add("on_this_trips", photos(lambda p: G.on_this_trips(p, p.filter("file_id % 100 = 0").select(F.col("file_id").alias("anchor_id"), "lat", "lon", "captured"), 900.0, 3.0).select("anchor_id", "file_id", F.round("distance_m", 1).alias("distance_m"))),
+    f"""select anchor_id, file_id, round(d, 1) distance_m from (select a.file_id anchor_id, p.file_id, {_near} d, abs(epoch(a.captured) - epoch(p.captured)) s from {P} a join {P} p on a.file_id % 100 = 0 and abs(epoch(a.captured) - epoch(p.captured)) <= 3 * 86400)
+      where d <= 900000 and (d >= 1 or s >= 1)""")
+_focal = lambda: (F.col("user_id") % 50 - 5).cast("double")
+add("camera_sight", photos(lambda p: p.select("file_id", F.round(G.fov_of_focal(_focal()), 6).alias("fov"), F.round(G.pixel_angle(F.col("file_id") % 4000, F.when(F.col("file_id") % 9 > 0, F.lit(4000)).otherwise(0), G.fov_of_focal(_focal())), 6).alias("angle"))),
+    f"""select file_id, round(fov, 6) fov, case when file_id % 9 > 0 then round((file_id % 4000 / 4000 - 0.5) * fov, 6) end angle from (select file_id, case when user_id % 50 > 5 then degrees(2 * atan(18.0 / (user_id % 50 - 5))) end fov from {P} p)""")
 add("dms_round_trip", photos(lambda p: p.select("file_id", geo.dms_format(F.col("lat"), "N", "S").alias("text"), F.round(geo.dms_parse(geo.dms_format(F.col("lat"), "N", "S")), 6).alias("parsed"))),
     f"""select file_id, (m // 60000000) || ',' || (m % 60000000 // 1000000) || '.' || lpad(cast(m % 1000000 as varchar), 6, '0') || case when lat < 0 then 'S' else 'N' end as text, round(lat, 6) parsed
       from (select file_id, lat, cast(round(abs(lat) * 60000000) as bigint) m from {P} p)""")
 
 # Regions and faces --------------------------------------------------------------------------------------------------
 add("scan_faces", regions(lambda r: A.scan_faces(r).select("file_id", "idx")), f"select file_id, idx from {REG} r where category = 'Person'")
-add("region_category", regions(lambda r: r.select("file_id", "idx", A.region_category(F.col("label")).alias("kind"))), f"select file_id, idx, case when label = 'dog' then 'Animal' else 'Item' end kind from {REG} r")
-add("propose_regions", regions(lambda r: A.propose_regions(r).select("file_id", "idx", "category", "status")), f"select file_id, idx, case when label = 'dog' then 'Animal' else 'Item' end category, 'Proposed' status from {REG} r where score >= 0.3")
+_things = lambda r: r.withColumn("label", F.when(F.col("idx") == 3, "Teddy Bear").when((F.col("idx") == 2) & (F.col("file_id") % 2 == 0), "PERSON").otherwise(F.col("label")))
+_KIND = "case when idx = 3 then 'Item' when idx = 2 and file_id % 2 = 0 then 'Person' when label = 'dog' then 'Animal' else 'Other' end"
+add("region_category", regions(lambda r: _things(r).select("file_id", "idx", A.region_category(F.col("label")).alias("kind"))), f"select file_id, idx, {_KIND} kind from {REG} r")
+add("propose_regions", regions(lambda r: A.propose_regions(_things(r)).select("file_id", "idx", "category", "status")), f"select file_id, idx, {_KIND} category, 'Proposed' status from {REG} r where score >= 0.3")
 _OVER = "greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)"
 add("box_iou_pairs", regions(lambda r: A.box_iou_pairs(r, 0.1).select("file_id", "a", "b", F.round("iou", 6).alias("iou"))),
     f"select * from (select a.file_id, a.idx a, b.idx b, round({_OVER} / (a.w * a.h + b.w * b.h - {_OVER}), 6) iou from {REG} a join {REG} b on a.file_id = b.file_id and a.idx < b.idx) where iou > 0.1")
@@ -181,20 +193,29 @@ add("burst_summary", photos(lambda p: O.burst_summary(_bursts(p))))
 add("burst_name", photos(lambda p: p.select("file_id", O.burst_name(O.stem(F.col("name")), O.stem(F.replace("name", F.lit("0."), F.lit("1.")))).alias("burst"))),
     f"select file_id, case when right(s, 1) = '0' then s || '..' || substr(left(s, length(s) - 1) || '1', 5) else s end burst from (select file_id, replace(name, '.jpg', '') s from {P} p)")
 add("burst_tag", photos(lambda p: p.select("file_id", F.array_join(O.burst_tag(F.array_append("keywords", F.lit("PM:burstId=9")), F.col("file_id").cast("string")), ",").alias("tags"))), f"select file_id, array_to_string(keywords || ['pm:burstId=' || file_id], ',') tags from {P} p")
-add("best_capture_date", on("candidates")(O.best_capture_date),
-    f"""select file_id, captured, source from (select file_id, ts captured, source, row_number() over (partition by file_id order by case source when 'Gps' then 50 when 'SubIfd' then 40 when 'Ifd0' then 30 when 'FileName' then 20 when 'Modified' then 10 else 1 end desc, ts desc) k from {CAND} c) where k = 1""")
+# Originals half an hour and two hours after the satellite's date, and a date that does not count.
+_stale = lambda c: c.unionByName(c.filter("source = 'Gps' and file_id % 4 < 2").select("file_id", "n", (F.col("ts").cast("timestamp_ntz") + F.when(F.col("file_id") % 4 == 0, F.expr("interval 30 minutes")).otherwise(F.expr("interval 2 hours"))).alias("ts"), F.lit("SubIfd").alias("source")))
+add("best_capture_date", on("candidates")(lambda c: O.best_capture_date(_stale(c.withColumn("ts", F.col("ts").cast("timestamp_ntz"))), ignored=("1980-01-01", "1995-01-10"))),
+    f"""with c as (select file_id, ts::timestamp ts, source from {CAND} c), a as (select * from c union all select file_id, ts + case when file_id % 4 = 0 then interval 30 minute else interval 2 hour end, 'SubIfd' from c where source = 'Gps' and file_id % 4 < 2),
+      o as (select * from a where ts <> timestamp '1995-01-10'), g as (select file_id, max(ts) filter (source = 'Gps') gps, max(ts) filter (source = 'SubIfd') sub from o group by 1),
+      b as (select file_id, ts captured, source from (select *, row_number() over (partition by file_id order by case source when 'Gps' then 50 when 'SubIfd' then 40 when 'Ifd0' then 30 when 'FileName' then 20 when 'Modified' then 10 else 1 end desc, ts desc) k from o) where k = 1)
+      select file_id, case when sub > gps and sub - gps <= interval 1 hour then sub else captured end captured, case when sub > gps and sub - gps <= interval 1 hour then 'SubIfd' else source end source from b join g using (file_id)""")
 _clash = lambda y: y.select("file_id", F.date_format("captured", "yyyy/MM").alias("dir"), F.lit("IMG").alias("base"), F.lit(".jpg").alias("ext"), F.concat(F.lit("n"), F.col("file_id").cast("string")).alias("name"))
 _disk = lambda y: _clash(y).filter("file_id % 40 = 0").select("dir", "base", "ext", F.lit(2).cast("long").alias("n")).distinct()
 _NUM = f"""with f as (select file_id, strftime(captured, '%Y/%m') dir, row_number() over (partition by strftime(captured, '%Y/%m') order by 'n' || file_id, file_id) k from {Y} y),
   u as (select distinct strftime(captured, '%Y/%m') dir from {Y} y where file_id % 40 = 0), n as (select f.*, case when u.dir is not null and k >= 2 then k + 1 else k end m from f left join u on f.dir = u.dir)"""
 add("collision_suffix", years(lambda y: O.collision_suffix(_clash(y), _disk(y))), f"{_NUM} select file_id, dir || '/IMG' || case when m > 1 then ' (' || m || ')' else '' end || '.jpg' final from n")
 _held = lambda y: _clash(y).filter("file_id % 40 = 0").select("dir", "base", "ext", F.lit(0).cast("long").alias("n"), F.lit("s1").alias("sha")).distinct()
-add("import_plan", years(lambda y: O.import_plan(_clash(y).withColumn("sha", F.concat(F.lit("s"), (F.col("file_id") % 5).cast("string"))), _held(y), "Smart")),
-    f"""with f as (select file_id, strftime(captured, '%Y/%m') dir, file_id % 5 = 1 s1, 'n' || file_id name from {Y} y), u as (select distinct dir from f where file_id % 40 = 0),
-      c as (select f.*, u.dir is not null held, u.dir is not null or row_number() over (partition by f.dir order by name, file_id) > 1 clash from f left join u on f.dir = u.dir),
-      o as (select *, case when not clash then 'imported' when held and s1 then 'skipped' else 'renamed' end outcome from c),
-      n as (select *, row_number() over (partition by dir, outcome = 'skipped' order by name, file_id) + case when held then 1 else 0 end m from o)
-      select file_id, dir || '/IMG' || case when outcome <> 'skipped' and m > 1 then ' (' || m || ')' else '' end || '.jpg' final, outcome from n""")
+# A numbered sibling with a content of the batch's must not count; without a file on disk the batch's first holds the name.
+_sibling = lambda y: _held(y).unionByName(_clash(y).filter("file_id % 24 = 0").select("dir", "base", "ext", F.lit(2).cast("long").alias("n"), F.lit("s2").alias("sha")).distinct())
+_hashed = lambda y: _clash(y).withColumn("sha", F.concat(F.lit("s"), (F.col("file_id") % 5).cast("string")))
+_PLAN = f"""with f as (select file_id, strftime(captured, '%Y/%m') dir, 's' || (file_id % 5) sha, 'n' || file_id name from {Y} y), u as (select distinct dir from f where file_id % 40 = 0), v as (select distinct dir from f where file_id % 24 = 0),
+      c as (select f.*, u.dir is not null held, v.dir is not null two, row_number() over w rn, first_value(sha) over w first_sha from f left join u on f.dir = u.dir left join v on f.dir = v.dir window w as (partition by f.dir order by name, file_id)),"""
+add("import_plan", years(lambda y: O.import_plan(_hashed(y), _sibling(y), "Smart")),
+    f"""{_PLAN} o as (select *, case when not held and rn = 1 then 'imported' when sha = case when held then 's1' else first_sha end then 'skipped' else 'renamed' end outcome from c),
+      n as (select *, row_number() over (partition by dir, outcome order by name, file_id) + 1 + case when two then 1 else 0 end m from o)
+      select file_id, dir || '/IMG' || case when outcome = 'renamed' then ' (' || m || ')' else '' end || '.jpg' final, outcome from n""")
+add("import_preview", years(lambda y: O.import_preview(_hashed(y), _sibling(y))), f"{_PLAN} x as (select 1) select file_id, dir || '/IMG.jpg' final, case when not held then 'import' when sha = 's1' then 'skip identical' else 'resolve conflict' end preview from c")
 add("import_summary", years(lambda y: O.import_summary(O.import_plan(_clash(y).withColumn("sha", F.lit("s1")), _held(y), "Skip"))),
     f"""with f as (select file_id, strftime(captured, '%Y/%m') dir, 'n' || file_id name from {Y} y), u as (select distinct dir from f where file_id % 40 = 0),
       c as (select u.dir is not null or row_number() over (partition by f.dir order by name, file_id) > 1 clash from f left join u on f.dir = u.dir)
@@ -203,6 +224,11 @@ add("rename_plan", photos(lambda p: O.rename_plan(p, "{year}-{month}_{label}_{x}
     f"""with r as (select file_id, dir, name, captured, strftime(captured, '%Y-%m') || '_' || coalesce(color_label, '') || '_{{x}}.jpg' new_name from {P} p)
       select file_id, new_name, case when row_number() over (partition by dir, lower(new_name) order by captured, name, file_id) > 1 then 'duplicate' else 'rename' end status from r""")
 add("rename_index", photos(lambda p: O.rename_plan(p, "a{index}", ["dir"])), f"select file_id, 'a' || row_number() over (partition by dir order by captured, name, file_id) || '.jpg' new_name, 'rename' status from {P} p")
+add("rename_tokens", photos(lambda p: O.rename_plan(p, "{Date:yyyyMMdd} {time}_{City}/{countryCode}{caption}_{index:000}of{total}-{rating}{", ["dir"])),
+    f"""with r as (select *, row_number() over (partition by dir order by captured, name, file_id) i, count(*) over (partition by dir) t from {P} p),
+      s as (select *, strftime(captured, '%Y%m%d %H%M%S') || '_' || coalesce(city, '') || '_' || coalesce(country_code, '') || coalesce(caption, '') || '_' || case when i < 1000 then lpad(i::varchar, 3, '0') else i::varchar end || 'of' || t || '-' || coalesce(rating::varchar, '') || '{{.jpg' new_name from r)
+      select file_id, new_name, case when row_number() over (partition by dir, lower(new_name) order by captured, name, file_id) > 1 then 'duplicate' else 'rename' end status from s""")
+add("rename_all", photos(lambda p: O.rename_plan(p, "a{index:00000}")), f"select file_id, 'a' || lpad((row_number() over (order by captured, name, file_id))::varchar, 5, '0') || '.jpg' new_name, 'rename' status from {P} p")
 add("history_rollback", photos(lambda p: O.history_rollback(p, ["user_id"], "file_id", 3).select("user_id", "file_id")), f"select user_id, file_id from (select user_id, file_id, row_number() over (partition by user_id order by file_id desc) k from {P} p) where k = 4")
 _side = lambda p: p.filter("file_id % 3 = 0").select("dir", F.concat(F.upper("name"), F.lit(".copy"), (F.col("file_id") % 4).cast("string"), F.lit(".XMP")).alias("name"))
 _copies = lambda p: O.virtual_copies(p.select("dir", "name"), _side(p))
@@ -226,8 +252,34 @@ add("fill_place_fields", photos(lambda p: p.select("file_id", O.fill_place(F.col
 add("shuffle", photos(lambda p: ids(O.shuffle(p, 7))), f"select file_id from {P} p")
 
 # Names, dates, formats ----------------------------------------------------------------------------------------------
-add("filename_dates", on("file_names")(N.filename_dates),
-    f"""select file_id, case file_id % 6 when 0 then date_trunc('second', created) when 1 then date_trunc('day', created) + interval '12:30:05' else date_trunc('day', created) end named from {NAMES} f where file_id % 6 not in (3, 4)""")
+_stamped = lambda f: f.withColumn("created", F.col("created").cast("timestamp_ntz")).withColumn("modified", F.col("created") + F.when(F.col("file_id") % 3 == 0, F.expr("interval -27 hours")).otherwise(F.expr("interval 5 hours"))).withColumn("name", F.when(F.col("file_id") % 6 == 4, F.concat(F.lit("Foto 31-12-9"), (F.col("file_id") % 10).cast("string"), F.lit(" 990215_070809.png"))).otherwise(F.col("name")))
+
+
+def _layout_sql(layout: str) -> str:
+    """One layout's dates by DuckDB's patterns with named parts."""
+    names, pattern = [], ""
+    for part in re.findall("y+|M+|d+|H+|m+|s+|.", layout):
+        if part in "-_":
+            pattern += r"[-_./\\\\:]*"
+        elif part == " ":
+            pattern += " "
+        else:
+            names.append("mo" if part[0] == "M" else part[0])
+            pattern += f"([0-9]{{{len(part)}}})"
+    got = lambda c, other: f"p['{c}']" if c in names else other
+    year = got("y", "''")
+    year = f"case when {year} < '50' then '20' else '19' end || {year}" if "yyyy" not in layout else year
+    clock = ":".join("' || " + (got(c, f"lpad({f}(base)::varchar, 2, '0')")) + " || '" for c, f in (("H", "hour"), ("m", "minute"), ("s", "second")))
+    whole_day = "p['H'] < '24' and" if "H" in names else ""  # DuckDB reads 24:00 as the next day
+    return f"""select file_id, '{layout}' layout, try_cast({year} || '-' || p['mo'] || '-' || p['d'] || ' {clock}' as timestamp) named
+      from (select *, regexp_extract(name, '^.*?{pattern}', {names!r}) p from n where regexp_matches(name, '{pattern}')) where {whole_day} true"""
+
+
+_NAMED_AT = " union all ".join(_layout_sql(x) for x in N.listed(N.LAYOUTS))
+add("filename_dates", on("file_names")(lambda f: N.filename_dates(_stamped(f), "1993-01-01").filter("named between timestamp_ntz'1900-01-01' and timestamp_ntz'2199-12-31'")),
+    f"""with m as (select file_id, created::timestamp created, created::timestamp + case when file_id % 3 = 0 then interval '-27 hours' else interval 5 hour end modified, case when file_id % 6 = 4 then 'Foto 31-12-9' || (file_id % 10) || ' 990215_070809.png' else name end as name from {NAMES} f),
+      b as (select *, case when created >= timestamp '1993-01-01' then created else modified end base0 from m), n as (select *, case when modified < base0 and modified >= timestamp '1993-01-01' then modified else base0 end base from b)
+      select * from ({_NAMED_AT}) where named between timestamp '1900-01-01' and timestamp '2199-12-31'""")
 add("target_path", on("file_names")(lambda f: N.target_path(f.withColumn("captured", F.col("created")), "/out", ["yyyy", "MM", "yyyyMMdd"])), f"select file_id, '/out/' || strftime(created, '%Y/%m/%Y%m%d') || lower(regexp_extract(name, '(\\.[^.]*)$', 1)) target from {NAMES} f")
 add("date_shift_plan", photos(lambda p: N.date_shift_plan(p, 3600)), f"select file_id, captured, captured + interval 1 hour shifted, true changed, true writable from {P} p")
 add("on_this_day", years(lambda y: ids(N.on_this_day(y, "1998-03-04"))), f"select file_id from {Y} y where month(captured) = 3 and day(captured) = 4 and year(captured) <> 1998")
@@ -235,7 +287,9 @@ add("memory_header", years(lambda y: N.memory_header(L.memories(y, "1995-06-15")
     f"select file_id, (year(captured) - 1995) || case when year(captured) = 1996 then ' year' else ' years' end || ' ahead' header from {Y} y where month(captured) = 6 and day(captured) = 15 and year(captured) <> 1995")
 add("memories_order", years(lambda y: N.memories_order(L.memories(y, "1995-06-15").filter("time_window = 'Month'")).select("file_id", "years_ago")), f"select file_id, cast(1995 - year(captured) as int) years_ago from {Y} y where month(captured) = 6 and year(captured) <> 1995")
 add("memories_filter_window", years(lambda y: L.memories(y, "1995-06-15").filter("time_window = 'Year'").select("file_id", "key")), f"select file_id, cast(1995 as int) as key from {Y} y where year(captured) = 1995")
-add("path_keywords", photos(lambda p: N.path_keywords(p).select("file_id", F.array_join("words", ",").alias("words"))), f"select file_id, 'u' || user_id || ',' || event_type words from {P} p".replace("'u' || user_id", "'u' || user_id"))
+add("path_keywords", photos(lambda p: N.path_keywords(p).select("file_id", F.array_join("words", ",").alias("words"))), f"select file_id, 'u' || user_id || ',' || event_type || ',lib' words from {P} p")
+_deep = lambda p: p.withColumn("dir", F.concat(F.lit("C:/Users/2024-05/"), "event_type", F.lit("/Backup (Rome), 2023.07/Old+"), (F.col("user_id") % 3).cast("string"), F.lit("_[trip]-"), F.col("event_type")))
+add("path_keywords_deep", photos(lambda p: N.path_keywords(_deep(p)).select("file_id", F.array_join("words", ",").alias("words"))), f"select file_id, 'old,trip,' || event_type || ',rome,07' words from {P} p".replace(",07'", "'"))
 add("detector_fallback", photos(lambda p: p.select("file_id", F.array_join(N.detector_fallback(F.col("persons_shown"), F.col("keywords")), ",").alias("labels"))), f"select file_id, array_to_string(coalesce(persons_shown, keywords), ',') as labels from {P} p")
 _tree = lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node_id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent_id"), F.concat(F.lit("K"), (F.col("p_partkey") % 50).cast("string")).alias("name"))
 _PATHS = """with recursive t as (select p_partkey node_id, case when p_partkey > 1 then p_partkey // 2 end parent_id, 'K' || (p_partkey % 50) name from part),
@@ -251,11 +305,12 @@ add("vocabulary_clean", lambda spark, sf: N.vocabulary_clean(_lines(spark, sf)),
 add("vocabulary_hash", lambda spark, sf: N.vocabulary_hash(N.vocabulary_clean(_lines(spark, sf))), f"select substr(sha256(string_agg(word || chr(10), '' order by line_no)), 1, 16) hash from {_WORDS}")
 add("calendar_grid", photos(lambda p: N.calendar_grid(p, "2024-01-01")),
     f"""select d.day, count(p.file_id) n, min(p.name) first_name from (select cast(unnest(generate_series(date '2024-01-01', date '2024-02-11', interval 1 day)) as date) as day) d left join {P} p on cast(p.captured as date) = d.day group by 1""")
-add("supported_formats", on("file_names")(N.supported_formats), f"select case split_part(name, '.', 2) when 'jpg' then 'JPEG' when 'png' then 'PNG' when 'tif' then 'TIFF' else 'HEIF' end family, count(*) n from {NAMES} f group by 1")
-_heads = {0: "FFD8FFE0", 1: "89504E470D0A1A0A00", 2: "49492A0008", 3: "00112233", 4: "424D00", 5: "47494638"}
-_content = lambda f: f.withColumn("content", F.unhex(F.create_map(*[F.lit(x) for kv in _heads.items() for x in kv])[(F.col("file_id") % 6).cast("int")]))
+add("supported_formats", on("file_names")(N.supported_formats), f"select case split_part(name, '.', 2) when 'jpg' then 'JPEG' when 'png' then 'PNG' when 'tif' then 'TIFF' else 'HEIC' end family, count(*) n from {NAMES} f group by 1")
+_heads = {0: "FFD8FFE0", 1: "89504E470D0A1A0A00", 2: "49492A0008", 3: "00112233", 4: "424D0000", 5: "474946383961", 6: "524946460000000057454250", 7: "000000186674797068656963", 8: "424D00", 9: "FFD8FF00", 10: "47494638", 11: "000000186674797068656963"}
+_content = lambda f: f.withColumn("content", F.unhex(F.create_map(*[F.lit(x) for kv in _heads.items() for x in kv])[(F.col("file_id") % 12).cast("int")]))
 add("file_signature", on("file_names")(lambda f: N.file_signature(_content(f))),
-    f"select file_id, case file_id % 6 when 0 then 'jpg' when 1 then 'png' when 2 then 'tif' when 4 then 'bmp' when 5 then 'gif' end as real, case when file_id % 6 in (0, 1, 2) then true when file_id % 6 in (4, 5) then false end as matches from {NAMES} f")
+    f"""select file_id, case when file_id % 12 in (0, 9) then 'jpg' when file_id % 12 = 1 then 'png' when file_id % 12 = 2 then 'tif' when file_id % 12 = 4 then 'bmp' when file_id % 12 = 5 then 'gif' when file_id % 12 = 6 then 'webp' when file_id % 12 in (7, 11) then 'heic' end as real,
+      case when file_id % 12 in (0, 1, 2, 9, 11) then true when file_id % 12 in (4, 5, 6, 7) then false end as matches, case file_id % 12 when 4 then 'bmp' when 5 then 'gif' when 6 then 'webp' when 7 then 'heic' end suggested from {NAMES} f""")
 _listing = lambda p: p.select(F.concat_ws("/", "dir", "name").alias("path"), "mtime")
 add("incremental_scan", photos(lambda p: N.incremental_scan(_listing(p), _listing(p.filter("file_id % 3 > 0")).withColumn("path", F.upper("path")).withColumn("mtime", F.when(F.length("path") % 2 == 0, F.col("mtime")).otherwise(F.col("mtime") + F.expr("interval 1 second")))).select("path")),
     f"select dir || '/' || name path from {P} p where file_id % 3 = 0 or length(dir || '/' || name) % 2 <> 0")

@@ -46,7 +46,8 @@ QUERIES = {
     "timeline_histogram_week": _years(lambda p: L.timeline_histogram(p, "week")),
     "timeline_histogram_month": _years(lambda p: L.timeline_histogram(p, "month")),
     "timeline_histogram": _years(L.timeline_histogram),
-    "clause_person": _album({"type": "person", "value": "p1"}),
+    "clause_keyword_case": _album({"type": "keyword", "value": "Bea", "caseSensitive": True}),
+    "clause_person": lambda spark, sf: L.smart_album(relation(spark, sf, "photos"), [{"type": "person", "value": "p1"}], regions=relation(spark, sf, "regions")).select("file_id"),
     "clause_location": _album({"type": "location", "value": "y3"}),
     "person_timeline": _years(L.person_timeline),
     "memories_day": _years(lambda p: L.memories(p, "2002-06-15").filter("time_window = 'Day' and years_ago > 0").select("file_id", "years_ago")),
@@ -85,8 +86,9 @@ SQL = {
     "timeline_histogram_week": _dense(Y, "week", "7 days"),
     "timeline_histogram_month": _dense(Y, "month", "1 month"),
     "timeline_histogram": _dense(Y, "month", "1 month"),
-    "clause_person": _where("len(list_filter(coalesce(persons_shown, []), lambda x: contains(lower(x), 'p1'))) > 0"),
-    "clause_location": _where("contains(lower(coalesce(city, '')), 'y3') or contains(lower(coalesce(country, '')), 'y3')"),
+    "clause_keyword_case": _where("len(list_filter(keywords, lambda x: contains(x, 'Bea'))) > 0"),
+    "clause_person": _where(f"len(list_filter(coalesce(persons_shown, []), lambda x: contains(lower(x), 'p1'))) > 0 or file_id in (select file_id from {oracle_from('regions')} r where category = 'Person' and contains(lower(label), 'p1'))"),
+    "clause_location": _where(" or ".join(f"contains(lower(coalesce({c}, '')), 'y3')" for c in L.PLACES)),
     "person_timeline": f"""select a.person, a.year, a.n, b.first_seen, b.last_seen from
       (select person, cast(year(captured) as int) as year, count(*) n from {Y} p group by 1, 2) a
       join (select person, cast(min(captured) as date) first_seen, cast(max(captured) as date) last_seen from {Y} p group by 1) b on a.person = b.person""",

@@ -11,9 +11,12 @@ from pyspark.sql.types import StringType
 
 from ..operators import faces as A
 from ..operators import images as I
+from ..operators import naming as N
+from ..operators import places as G
 from ..operators import resection as S
 from ..sources import rasters as R
 from ..sources import readers as D
+from ..shared import written
 from ..sources.relations import oracle_from, relation, shaped
 from ..streaming import jobs as T
 from . import edits
@@ -90,6 +93,28 @@ add("perceptual_hash", pictures(I.perceptual_hash),
       h as (select file_id, sum(case when c >= m then case when bit = 63 then -9223372036854775808::hugeint else (1::hugeint << bit) end else 0 end) h from c join m using (file_id) group by 1)
       select doc_id file_id, cast(h as bigint) hash from documents d left join h on h.file_id = d.doc_id""")
 
+# Near duplicates by those hashes, at a small distance: the documents' pixels seldom come close.
+def _hashes(spark, sf):
+    return written(I.perceptual_hash(R.images(spark, sf)))
+
+
+_HASHED = f"h0 as ({SQL['perceptual_hash'].replace('with p as', 'with p as', 1)}), h as (select hash, min(file_id) id from h0 where hash is not null group by 1)"
+add("hash_pairs_within", lambda spark, sf: G.hash_pairs_within(_hashes(spark, sf), 12, 20),
+    f"with {_HASHED} select x.id a, y.id b, cast(bit_count(xor(x.hash, y.hash)) as int) distance from h x join h y on x.id < y.id where bit_count(xor(x.hash, y.hash)) <= 12")
+
+
+def _leaders(spark, sf):
+    hashes = _hashes(spark, sf)
+    return A.near_duplicate_files(G.hash_pairs_within(hashes, 12), G.hash_members(hashes))
+
+
+add("near_duplicate_groups", _leaders,
+    f"""with recursive {_HASHED}, r as (select row_number() over (order by id) k, id, hash from h),
+      s as (select 0::bigint k, []::struct(id bigint, hash bigint)[] led, null::bigint id, null::bigint leader union all
+        select k, case when near is null then led || [{{'id': id, 'hash': hash}}] else led end, id, coalesce(near, id) from
+          (select r.k, r.id, r.hash, s.led, list_filter(s.led, lambda l: bit_count(xor(l.hash, r.hash)) <= 12)[1].id near from s join r on r.k = s.k + 1))
+      select h0.file_id, s.leader from h0 join h using (hash) join s on s.id = h.id where h0.file_id <> s.leader""")
+
 # Tensors and landmarks ---------------------------------------------------------------------------------------------
 add("detection_decode", lambda spark, sf: rounded(I.detection_decode(R.tensors(spark, sf), 8, 0.1), "score", "left", "top", "box_width", "box_height"),
     """with t as (select vec_id, cell, 600 + vec_id % 5 * 100 full_height, vec_id % 3 * 8 pad_y, list_transform(embedding, lambda x, i: case when i <= 32 then abs(x::double) * 2000 else x::double end) v from embeddings, (select unnest(range(8)) cell)),
@@ -164,3 +189,12 @@ add("sidecar_regions", lambda spark, sf: rounded(D.sidecar_regions(_sidecars(spa
 
 # Edits tried again ---------------------------------------------------------------------------------------------------
 add("stream_edit_retry", lambda spark, sf: T.stream_edit_retry(spark, f"{sf}/events.parque[t]", lambda e: shaped(e, "attempts"), *T.folders(spark)), edits.SQL["edit_retry"])
+
+# Times and places ----------------------------------------------------------------------------------------------------
+P, NAMES = oracle_from("photos"), oracle_from("file_names")
+_SPOT = {"lat": 48.2, "lon": 16.4, "city": "Wien", "state": "  ", "country": "Austria", "name": "Home"}
+add("bookmark_apply", on("photos")(lambda p: G.bookmark_apply(p, _SPOT).select("file_id", "lat", "lon", "city", "state", "country")), f"select file_id, 48.2::double lat, 16.4::double lon, 'Wien' city, state, 'Austria' country from {P} p")
+add("photo_local_time", on("photos")(lambda p: p.select("file_id", G.photo_local_time(F.when(F.col("file_id") % 3 == 0, F.col("captured")), F.when(F.col("file_id") % 2 == 0, F.col("mtime") + F.expr("interval 1 hour"))).alias("local_time"))),
+    f"select file_id, case when file_id % 3 = 0 then captured when file_id % 2 = 0 then mtime + interval 1 hour end local_time from {P} p")
+add("filename_default_parts", on("file_names")(lambda f: f.select("file_id", N.default_date(F.col("created").cast("timestamp_ntz"), F.col("created").cast("timestamp_ntz") + F.when(F.col("file_id") % 2 == 0, F.expr("interval -40 days")).otherwise(F.expr("interval 3 days")), "1994-06-01").alias("default_date"))),
+    f"""select file_id, case when least(c, m) >= timestamp '1994-06-01' then least(c, m) when c >= timestamp '1994-06-01' then c else m end default_date from (select file_id, created::timestamp c, created::timestamp + case when file_id % 2 = 0 then interval '-40 days' else interval 3 day end m from {NAMES} f) x""")

@@ -20,6 +20,9 @@ RELATIONS = {
       case when {K} % 3 = 0 then 'Trip ' || cast(user_id as varchar(20)) end as title,
       case when {K} % 4 = 0 then 'City' || cast(user_id % 9 as varchar(20)) when {K} % 4 = 1 then '' end as city,
       case when {K} % 2 = 0 then 'Country' || cast(user_id % 5 as varchar(20)) end as country,
+      case when {K} % 7 = 0 then 'Spot' || cast(user_id % 6 as varchar(20)) when {K} % 7 = 1 then ' ' end as location, case when {K} % 3 = 1 then 'State' || cast(user_id % 4 as varchar(20)) end as state,
+      case when {K} % 2 = 0 then 'Q' || cast(user_id % 5 as varchar(20)) end as country_code, case when {K} % 5 = 1 then 'On a trip, day ' || cast(event_id % 30 as varchar(20)) end as caption,
+      case when {K} % 4 = 3 then 'Maker' || cast(user_id % 3 as varchar(20)) end as creator, case when {K} % 8 = 0 then 'Head ' || cast(event_id % 9 as varchar(20)) end as headline,
       ts as mtime, {K} % 17 = 0 as is_pick, {K} % 19 = 0 as is_reject from events""",
     "regions": f"""select event_id as file_id, idx,
       case when (event_id + idx) % 3 = 2 then 'dog' else 'P' || cast((user_id + idx) % 20 as varchar(20)) end as label,
