@@ -62,21 +62,27 @@ def filename_dates(files: DataFrame, earliest: str = "1990-01-01") -> DataFrame:
     default = default_date(F.col("created").cast("timestamp_ntz"), F.col("modified").cast("timestamp_ntz"), earliest)
     rows = files.select("file_id", "name", default.alias("_base")).filter(F.length(F.regexp_replace("name", r"\D+", "")) >= 6)
 
-    def hit(layout: str) -> Column:
+    def pattern(layout: str) -> tuple[str, str]:
+        """The layout's pattern, and the parts it finds in the order year to second."""
         parts = re.findall(r"y+|M+|d+|H+|m+|s+|[-_]| ", layout)
         group = {p[0]: i for i, p in enumerate((p for p in parts if p[0] not in "-_ "), 1)}
-        pattern = "".join(rf"[-_./\\:]*" if p in "-_" else " " if p == " " else rf"(\d{{{len(p)}}})" for p in parts)
-        found = F.regexp_replace("name", rf"^.*?{pattern}.*?$", "\u0001" + "|".join(f"${group[x]}" if x in group else "" for x in "yMdHms"))
-        return F.when(F.startswith(found, F.lit("\u0001")), F.struct(F.lit(layout).alias("layout"), F.split(F.substring(found, 2, 99), r"\|").alias("p")))
-
-    layouts = sorted(listed(LAYOUTS), key=len, reverse=True)
-    rows = rows.withColumn("h", F.explode(F.array_compact(F.array(*[hit(x) for x in layouts]))))
-    y, month, day, *time = (F.get("h.p", F.lit(i)).try_cast("int") for i in range(6))
-    short = F.length(F.get("h.p", F.lit(0))) == 2
+        found = "".join(r"[-_./\\:]*" if p in "-_" else " " if p == " " else rf"(\d{{{len(p)}}})" for p in parts)
+        return rf"^.*?{found}.*?$", "\u0001" + "|".join(f"${group[x]}" if x in group else "" for x in "yMdHms")
+
+    # Layouts that differ in the separator only have one pattern.
+    same: dict[tuple[str, str], list[str]] = {}
+    for x in sorted(listed(LAYOUTS), key=len, reverse=True):
+        same.setdefault(pattern(x), []).append(x)
+    names = F.array(*[F.array(*map(F.lit, v)) for v in same.values()])
+    rows = rows.withColumn("_found", F.array(*[F.regexp_replace("name", p, parts) for p, parts in same]))
+    rows = rows.select("file_id", "_base", F.posexplode_outer("_found").alias("_k", "_f")).filter(F.startswith("_f", F.lit("\u0001")))
+    rows = rows.select("file_id", "_base", F.split(F.substring("_f", 2, 99), r"\|").alias("p"), F.explode_outer(F.get(names, F.col("_k"))).alias("layout"))
+    y, month, day, *time = (F.get("p", F.lit(i)).try_cast("int") for i in range(6))
+    short = F.length(F.get("p", F.lit(0))) == 2
     year = y + F.when(short & (y < CENTURY_FROM), 2000).when(short, 1900).otherwise(0)
     filled = [F.coalesce(t, f("_base")) for t, f in zip(time, (F.hour, F.minute, F.second), strict=True)]
     named = F.try_make_timestamp_ntz(year, month, day, *filled[:2], filled[2].cast("decimal(8,6)"))
-    return rows.select("file_id", "h.layout", named.alias("named")).filter("named is not null")
+    return rows.select("file_id", "layout", named.alias("named")).filter("named is not null")
 
 
 def target_path(files: DataFrame, root: str, folders: list[str]) -> DataFrame:
