@@ -81,7 +81,8 @@ def filename_dates(files: DataFrame, earliest: str = "1990-01-01") -> DataFrame:
     short = F.length(F.get("p", F.lit(0))) == 2
     year = y + F.when(short & (y < CENTURY_FROM), 2000).when(short, 1900).otherwise(0)
     filled = [F.coalesce(t, f("_base")) for t, f in zip(time, (F.hour, F.minute, F.second), strict=True)]
-    named = F.try_make_timestamp_ntz(year, month, day, *filled[:2], filled[2].cast("decimal(8,6)"))
+    # Made of the layout too, so that the filter stays where the parts are split once.
+    named = F.when(F.col("layout").isNotNull(), F.try_make_timestamp_ntz(year, month, day, *filled[:2], filled[2].cast("decimal(8,6)")))
     return rows.select("file_id", "layout", named.alias("named")).filter("named is not null")
 
 
