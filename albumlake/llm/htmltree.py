@@ -3,8 +3,10 @@
 The trees are trained on a bounded sample (SAMPLE_PAGES pages of any length, SAMPLE_NODES nodes spread over each), taught by the pages' own markup: nodes below
 article or main are text; nodes outside them on a page that has one, and nodes below nav, header, footer, aside, forms
 or elements named as advert, comment, menu, notice and the like are not; other nodes teach nothing. Decoding goes from the root: a node that the model rejects takes its whole subtree with
-it, so an accepted node never hangs below a rejected one. Null and empty html give an empty text. Without trees (no pages, or
-nodes of one kind only) the markup rule itself decides.
+it, so an accepted node never hangs below a rejected one; text placed in the body itself counts only on a page without an
+accepted article or main. Names of elements teach, but half of the examples hide them, so that the trees must do without.
+Null and empty html give an empty text. Without trees (no pages, or nodes of one kind only) the markup rule itself decides.
+Repeated rows get equal texts; extract_pages passes other columns on, its text replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -131,9 +133,23 @@ def sibling_counts(order: list[Node]) -> list[tuple[int, int]]:
     return [(total[id(n.parent)], tags[id(n.parent)][n.tag]) if n.parent else (0, 0) for n in order]
 
 
-def features(n: Node, page_chars: int, siblings: tuple[int, int]) -> list[float]:
+def outside(order: list[Node]) -> list[bool]:
+    """Per node: the page has an article or main, and the node is neither in nor above one."""
+    lead = leading([n for n in order if n.tag in ("article", "main")])
+    inside: dict[int, bool] = {}
+    for n in order:
+        inside[id(n)] = n.tag in ("article", "main") or bool(n.parent and inside[id(n.parent)])
+    return [bool(lead) and not inside[id(n)] and id(n) not in lead for n in order]
+
+
+#: The places of the features that read the names of elements.
+NAMED = (10, 11, 12)
+
+
+def features(n: Node, page_chars: int, siblings: tuple[int, int], out: bool) -> list[float]:
     up = n.parent
     return [
+        out,
         n.chars, n.chars / max(n.tags + 1, 1), n.link_chars / max(n.chars, 1), n.chars / max(page_chars, 1), n.depth, n.tags,
         *siblings, n.place, bool(GOOD.search(n.attrs)), bool(BAD.search(n.attrs)), bool(up and BAD.search(up.attrs)),
         n.tag in INLINE, n.tag in SILENT, *(n.tag == t for t in TAGS), bool(up and up.tag == "article"), bool(up and up.tag == "body"),
@@ -212,17 +228,19 @@ def tree_values(tree, x: np.ndarray) -> np.ndarray:
 def page_examples(html: str | None, nodes: int = SAMPLE_NODES) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a page's taught nodes, at most `nodes`: quotas() of each label, spread evenly over the page."""
     order = measure(parse(html))
-    known = [(n, label, s) for n, label, s in zip(order, taught(order), sibling_counts(order), strict=True) if label is not None and n.tag not in SILENT]
+    known = [(n, label, (s, o)) for n, label, s, o in zip(order, taught(order), sibling_counts(order), outside(order), strict=True) if label is not None and n.tag not in SILENT]
     if len(known) > nodes:
         kinds = [[k for k in known if k[1] == label] for label in (0, 1)]
         known = [k[i] for k, q in zip(kinds, quotas([len(k) for k in kinds], nodes), strict=True) for i in np.linspace(0, len(k) - 1, q).astype(int)]
-    x = np.array([features(n, order[0].chars, s) for n, _, s in known], np.float32)
-    return x.reshape(len(known), -1), np.array([label for _, label, _ in known], np.float32)
+    x = np.array([features(n, order[0].chars, *s) for n, _, s in known], np.float32).reshape(len(known), -1)
+    if len(x):
+        x[::2, NAMED] = 0
+    return x, np.array([label for _, label, _ in known], np.float32)
 
 
 def fit_extractor(pages: DataFrame) -> dict:
     """Pages of every length take part; their nodes' features are made on the executors, not the driver."""
-    width = len(features(Node("p"), 1, (0, 0)))
+    width = len(features(Node("p"), 1, (0, 0), False))
 
     def run(batches):
         for b in batches:
@@ -240,7 +258,7 @@ def extract_all(htmls: list[str | None], model: dict) -> list[str]:
     orders = [measure(parse(h)) for h in htmls]
     if not orders:
         return []
-    x = np.array([features(n, o[0].chars, s) for o in orders for n, s in zip(o, sibling_counts(o), strict=True)], float)
+    x = np.array([features(n, o[0].chars, s, out) for o in orders for n, s, out in zip(o, sibling_counts(o), outside(o), strict=True)], float)
     if model["trees"]:
         score = model["base"] + sum(tree_values(t, x) for t in model["trees"])
     else:  # nothing was learned: the markup itself decides
@@ -287,7 +305,8 @@ def decode(order: list[Node], score: np.ndarray) -> str:
         elif n.tag == "br":
             line.append(" ")
         elif keep[id(n)]:
-            inner = [c for c in reversed(n.children)]
+            # Beside an accepted article, text in the body itself is not the page's own.
+            inner = [c for c in reversed(n.children) if not (lead and n.tag in ("root", "html", "body") and isinstance(c, str))]
             if n.tag in INLINE:
                 todo += inner
             else:

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 
-from albumlake.llm import audit, mixing, order, repair, urls, wfst, winnow
+from albumlake.llm import audit, htmltree, mixing, order, repair, urls, wfst, winnow
 
 DATA = "/root/testdata/sf0.01"
 ROWS = "conv_id long, turn long, role string, text string, audit string, _k int"
@@ -275,3 +275,15 @@ def test_terms_of_a_table(spark):
     assert (strict, soft) == (("casino",), ("bet", "win"))
     pages = spark.createDataFrame([("http://a/bet-win", 1), ("http://a/betting", 1), ("casino", 1), (None, 1), ("http://a/bet-win", 1)], "url string, strict int")
     assert [r.term_hit.rejected for r in urls.url_vocabulary(pages, strict=strict, soft=soft).collect()] == [True, False, True, False, True]
+
+
+def test_text_beside_an_article_is_left_out(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    model = htmltree.fit_extractor(pages)
+    main = '<article><h1>T</h1><p>The main paragraph of the page, with enough words to be one.</p></article>'
+    page = f'<body>{main}<div class="q1"><p>Accept our cookies to go on reading this site today.</p></div>Loose body text</body>'
+    assert htmltree.extract(page, model) == "T\nThe main paragraph of the page, with enough words to be one."
+    assert "Loose" in htmltree.extract("<body>Loose body text</body>", model)
+    rows = [(1, page, "x"), (1, page, "x"), (2, None, "y")]
+    made = htmltree.extract_pages(spark.createDataFrame(rows, "page_id long, html string, text string"), model)
+    assert made.columns == ["page_id", "html", "text"] and [r.text.split("\n")[0] for r in made.orderBy("page_id").collect()] == ["T", "T", ""]
