@@ -166,7 +166,7 @@ def judge(counted: DataFrame, model: Model) -> DataFrame:
 
 def weak_supervision(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus the counts, the votes, quality, base_failed and kept. The counts are written once, for fit and verdict."""
-    counted = materialise(signals(docs, text))
+    counted = materialise(signals(docs, text), codec="zstd")
     return judge(counted, fit(counted))
 
 
