@@ -179,12 +179,19 @@ def geofence_match(photos: DataFrame, bookmarks: DataFrame, cell: float = 1.0) -
 
 
 def asof_before(photos: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
-    """The last track point strictly before each photo: one tagged union and one window, so no range join."""
+    """The last track point strictly before each photo: a tagged union, in windows of a key's day; a day without an earlier
+    point takes the last one of the days before, from a table of days."""
     u = photos.select(*by, "captured", "file_id", F.lit(None).cast("timestamp_ntz").alias("pt")).unionByName(
         points.select(*by, "captured", F.lit(None).cast("long").alias("file_id"), F.col("captured").alias("pt"))
-    )
-    w = Window.partitionBy(*by).orderBy(F.col("captured"), F.col("file_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return u.withColumn("before", F.last("pt", ignorenulls=True).over(w)).filter("file_id is not null").select("file_id", "before")
+    ).withColumn("_day", F.to_date("captured"))
+    key = [*by, "_day"]
+    w = Window.partitionBy(*key).orderBy(F.col("captured"), F.col("file_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    last = u.filter("pt is not null").groupBy(*key).agg(F.max("pt").alias("_last"))
+    days = u.select(*key).distinct().join(last, key, "left")
+    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*key, earlier.alias("_carried"))
+    u = u.withColumn("before", F.last("pt", ignorenulls=True).over(w)).filter("file_id is not null")
+    return u.join(days, key, "left").select("file_id", F.coalesce("before", "_carried").alias("before"))
 
 
 def history_push(edits: DataFrame, by: list[str], order: str, depth: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ def burst_groups(photos: DataFrame, by: list[str], gap_seconds: float = 2.0, max
     """file_id, *by, burst_first: the file a burst starts with. A new burst starts at a gap over gap_seconds, or where the
     stem is too far from that of the burst's first file.
 
-    Gaps cut each key's day into sessions (a day's edge is compared through a table of days); the stem rule is a fold over
-    the files of one session.
+    Gaps cut each key's day into sessions (a day's edge is compared through a table of days); the stem rule is a fold that
+    streams over the sorted files of a session, of any length, and holds the burst's first stem only.
     """
     at = F.coalesce("captured", "mtime")
     key = [*by, "_day"]
@@ -49,18 +50,34 @@ def burst_groups(photos: DataFrame, by: list[str], gap_seconds: float = 2.0, max
     tails = rows.groupBy(*key).agg(F.max("session").alias("tail"))
     tails = tails.withColumn("carried", F.last("tail", ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.join(tails.select(*key, "carried"), key).withColumn("session", F.coalesce("session", "carried"))
-    files = F.array_sort(F.collect_list(F.struct("at", "name", "file_id")))
-    sessions = rows.groupBy(*by, "session").agg(files.alias("files"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit("").alias("stem"), F.array().cast("array<struct<file_id:bigint,first:bigint>>").alias("out"))
-
-    def fold(acc: Column, f: Column) -> Column:
-        here = stem(f["name"])
-        new = acc["first"].isNull() | (stem_distance(acc["stem"], here) > max_distance)
-        first = F.when(new, f["file_id"]).otherwise(acc["first"])
-        return F.struct(first.alias("first"), F.when(new, here).otherwise(acc["stem"]).alias("stem"), F.array_append(acc["out"], F.struct(f["file_id"].alias("file_id"), first.alias("first"))).alias("out"))
-
-    found = sessions.select(*by, F.explode(F.aggregate("files", start, fold, lambda acc: acc["out"])).alias("f"))
-    return found.select("f.file_id", *by, F.col("f.first").alias("burst_first"))
+    order = [*by, "session", "at", "name", "file_id"]
+    rows = rows.repartition(*by, "session").sortWithinPartitions(*order).select("file_id", *by, "session", "name")
+    schema = rows.select("file_id", *by).schema.add("burst_first", rows.schema["file_id"].dataType)
+
+    def fold(batches):
+        now = first = head = None
+        for b in batches:
+            ids, names = b.column("file_id").to_pylist(), b.column("name").to_pylist()
+            starts = []
+            for i, (key, name) in enumerate(zip(zip(*(b.column(c).to_pylist() for c in (*by, "session")), strict=True), names, strict=True)):
+                here = re.sub(r"\.[^.]*$", "", name or "").lower()
+                if first is None or key != now or max(len(head), len(here)) - common(head, here) > max_distance:
+                    now, first, head = key, ids[i], here
+                starts.append(first)
+            columns = [b.column("file_id"), *(b.column(c) for c in by), pa.array(starts, b.schema.field("file_id").type)]
+            yield pa.record_batch(columns, names=["file_id", *by, "burst_first"])
+
+    return rows.mapInArrow(fold, schema)
+
+
+def common(a: str, b: str) -> int:
+    """How long two texts begin alike."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def burst_summary(bursts: DataFrame) -> DataFrame:

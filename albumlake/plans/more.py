@@ -86,9 +86,11 @@ add("gpx_geotag_batch", photos(lambda p: G.gpx_geotag_batch(_no_gps(_shots(p)),
 add("camera_offset_calibrate", photos(lambda p: G.camera_offset_calibrate(p.select(F.col("event_type").alias("camera"), (F.col("captured") + F.expr("interval 90 seconds")).alias("local"), F.col("captured").alias("utc"))).select("camera", F.round("offset_s", 3).alias("offset_s"), "n")),
     f"select event_type camera, cast(90 as double) offset_s, count(*) n from {P} p group by 1")
 _FENCE = f"select p.file_id, min(b.ord) ord from {P} p, {B} b where {hav('p.lat', 'p.lon', 'b.lat', 'b.lon')} <= b.radius_m group by 1"
-add("geofence_batch", on("photos", "bookmarks")(G.geofence_batch),
-    f"""select m.file_id, m.ord, case when trim(coalesce(p.city, '')) = '' then b.name else p.city end new_city, trim(coalesce(p.city, '')) = '' would_write
-      from ({_FENCE}) m join {P} p on p.file_id = m.file_id join {B} b on b.ord = m.ord""")
+_fences = lambda b: b.withColumns({"city": F.when(F.col("ord") % 4 > 0, F.col("name")), "state": F.lit(" "), "country": F.when(F.col("ord") % 3 == 0, F.concat(F.lit("Land"), (F.col("ord") % 5).cast("string")))})
+add("geofence_batch", on("photos", "bookmarks")(lambda p, b: G.geofence_batch(p, _fences(b)).select("file_id", "ord", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "location", "city", "state", "country", "would_write")),
+    f"""with e as (select m.file_id, m.ord, b.lat, b.lon, case when trim(coalesce(p.city, '')) = '' and m.ord % 4 > 0 then b.name end city, case when p.country is null and m.ord % 3 = 0 then 'Land' || (m.ord % 5) end country
+      from ({_FENCE}) m join {P} p on p.file_id = m.file_id join {B} b on b.ord = m.ord)
+      select file_id, ord, round(lat, 6) lat, round(lon, 6) lon, null::varchar as location, city, null::varchar state, country, city is not null or country is not null would_write from e""")
 _GAZ = f"(select distinct round(lat, 1) lat4, round(lon, 1) lon4 from {P} p where user_id % 2 = 0)"
 add("reverse_geocode_join", photos(lambda p: G.reverse_geocode_join(p, p.filter("user_id % 2 = 0").select(F.round("lat", 1).alias("lat4"), F.round("lon", 1).alias("lon4")).distinct().withColumn("place", F.lit("Town")), places=1)),
     f"""with g as {_GAZ}, j as (select p.file_id, p.city, g.lat4 is not null hit from {P} p left join g on round(p.lat, 1) = g.lat4 and round(p.lon, 1) = g.lon4),
@@ -151,7 +153,12 @@ _halved = lambda r: r.withColumns({c: F.col(c) * F.when(F.col("idx") % 2 == 1, 0
 add("suppress_body_boxes", regions(lambda r: A.suppress_body_boxes(_halved(r)).select("file_id", "idx")),
     f"""with r as (select file_id, idx, category, x, y, w * {_HALF} w, h * {_HALF} h from {REG} q) select file_id, idx from r a where not (category = 'Person' and exists (select 1 from r b where b.file_id = a.file_id and b.idx <> a.idx
       and b.category = 'Person' and b.x >= a.x - 0.02 and b.y >= a.y - 0.02 and b.x + b.w <= a.x + a.w + 0.02 and b.y + b.h <= a.y + a.h + 0.02 and b.w * b.h <= 0.4 * (a.w * a.h)))""")
-add("nms", regions(lambda r: A.nms(r, 0.3, ["file_id"]).select("file_id", "idx")))
+_IOU = "greatest(least(o.x + o.w, d.x + d.w) - greatest(o.x, d.x), 0) * greatest(least(o.y + o.h, d.y + d.h) - greatest(o.y, d.y), 0)"
+add("nms", regions(lambda r: A.nms(r, 0.3, ["file_id"]).select("file_id", "idx")),
+    f"""with recursive s as (select file_id, idx, {{'x': x::double, 'y': y::double, 'w': w::double, 'h': h::double}} d, row_number() over (partition by file_id order by score desc, idx) k from {REG} r),
+      n as (select file_id, 1::bigint k, [d] kept, idx, true stays from s where k = 1 union all select file_id, k, case when stays then kept || [d] else kept end, idx, stays from
+        (select s.*, n.kept, len(list_filter(n.kept, lambda o: {_IOU} > 0.3 * (o.w * o.h + d.w * d.h - {_IOU}))) = 0 stays from n join s on s.file_id = n.file_id and s.k = n.k + 1))
+      select file_id, idx from n where stays""")
 add("detected_keywords", regions(lambda r: A.detected_keywords(r).select("file_id", F.array_join("labels", ",").alias("labels"))), f"select file_id, array_to_string(list_sort(list_distinct(list(label))), ',') as labels from {REG} r group by 1")
 _faces = lambda spark, sf: spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("face_id"), F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("P"), F.col("label").cast("string"))).alias("name"), "label", "embedding")
 _NAMED = "(select vec_id face_id, case when vec_id % 4 = 0 then 'P' || label end as name, case when vec_id % 11 > 0 then embedding end embedding from embeddings)"
@@ -184,12 +191,17 @@ add("face_known_match", lambda spark, sf: A.face_known_match(_faces(spark, sf).d
 
 # Orders and plans ---------------------------------------------------------------------------------------------------
 _bursts = lambda p: O.burst_groups(p, ["user_id"], 600.0, 3)
-add("burst_groups", photos(lambda p: _bursts(p).select("file_id", "burst_first")))
+# The fold over a session's files as a recursion: a file starts a burst after a gap, or where its stem is too far from the burst's first.
+_FOLD = f"""with recursive g as (select user_id, file_id, regexp_replace(name, '\\.[^.]*$', '') s, row_number() over w k, case when epoch_us(captured) - lag(epoch_us(captured)) over w <= 600000000 then 0 else 1 end cut from {P} p window w as (partition by user_id order by captured, name, file_id)),
+      b as (select user_id, k, file_id, s head, file_id burst_first from g where k = 1 union all select user_id, k, file_id, case when new then s else head end, case when new then file_id else burst_first end from
+        (select g.*, b.head, b.burst_first, g.cut = 1 or greatest(length(b.head), length(g.s)) - coalesce(list_max(list_filter(range(1, least(length(b.head), length(g.s)) + 1), lambda n: left(lower(b.head), n) = left(lower(g.s), n))), 0) > 3 new
+         from b join g on g.user_id = b.user_id and g.k = b.k + 1))"""
+add("burst_groups", photos(lambda p: _bursts(p).select("file_id", "burst_first")), f"{_FOLD} select file_id, burst_first from b")
 add("burst_sessions", photos(lambda p: O.burst_groups(p, ["user_id"], 600.0, 1000).select("file_id", "burst_first")),
     f"""with g as (select *, case when epoch_us(captured) - lag(epoch_us(captured)) over w <= 600000000 then 0 else 1 end cut from {P} p window w as (partition by user_id order by captured, name)),
       s as (select *, sum(cut) over (partition by user_id order by captured, name rows unbounded preceding) k from g)
       select file_id, first_value(file_id) over (partition by user_id, k order by captured, name) burst_first from s""")
-add("burst_summary", photos(lambda p: O.burst_summary(_bursts(p))))
+add("burst_summary", photos(lambda p: O.burst_summary(_bursts(p))), f"{_FOLD} select count(*) bursts, count(*) filter (n > 1) multi, cast(coalesce(sum(n), 0) as bigint) files from (select count(*) n from b group by burst_first)")
 add("burst_name", photos(lambda p: p.select("file_id", O.burst_name(O.stem(F.col("name")), O.stem(F.replace("name", F.lit("0."), F.lit("1.")))).alias("burst"))),
     f"select file_id, case when right(s, 1) = '0' then s || '..' || substr(left(s, length(s) - 1) || '1', 5) else s end burst from (select file_id, replace(name, '.jpg', '') s from {P} p)")
 add("burst_tag", photos(lambda p: p.select("file_id", F.array_join(O.burst_tag(F.array_append("keywords", F.lit("PM:burstId=9")), F.col("file_id").cast("string")), ",").alias("tags"))), f"select file_id, array_to_string(keywords || ['pm:burstId=' || file_id], ',') tags from {P} p")
@@ -283,8 +295,12 @@ add("filename_dates", on("file_names")(lambda f: N.filename_dates(_stamped(f), "
 add("target_path", on("file_names")(lambda f: N.target_path(f.withColumn("captured", F.col("created")), "/out", ["yyyy", "MM", "yyyyMMdd"])), f"select file_id, '/out/' || strftime(created, '%Y/%m/%Y%m%d') || lower(regexp_extract(name, '(\\.[^.]*)$', 1)) target from {NAMES} f")
 add("date_shift_plan", photos(lambda p: N.date_shift_plan(p, 3600)), f"select file_id, captured, captured + interval 1 hour shifted, true changed, true writable from {P} p")
 add("on_this_day", years(lambda y: ids(N.on_this_day(y, "1998-03-04"))), f"select file_id from {Y} y where month(captured) = 3 and day(captured) = 4 and year(captured) <> 1998")
-add("memory_header", years(lambda y: N.memory_header(L.memories(y, "1995-06-15").filter("time_window = 'Day'")).select("file_id", "header")),
-    f"select file_id, (year(captured) - 1995) || case when year(captured) = 1996 then ' year' else ' years' end || ' ahead' header from {Y} y where month(captured) = 6 and day(captured) = 15 and year(captured) <> 1995")
+_AGO = "case when {0} = 1 then '1 year ago' else {0} || ' years ago' end"
+add("memory_header", years(lambda y: N.memory_header(L.memories(y, "1995-03-31"), "1995-03-31").filter("time_window <> 'Week'").select("file_id", "time_window", "header")),
+    f"""with c as (select file_id, captured, year(captured) y, year(captured) // 10 * 10 d from {Y} y)
+      select file_id, 'Day' time_window, 'On this day, ' || {_AGO.format('(1995 - y)')} || ' (March 31, ' || y || ')' header from c where y <> 1995 and month(captured) = 3 and day(captured) = 31
+      union all select file_id, 'Month', 'This month, ' || {_AGO.format('(1995 - y)')} || ' (March 1, ' || y || ')' from c where y <> 1995 and month(captured) = 3
+      union all select file_id, 'Year', 'This year (1995)' from c where y = 1995 union all select file_id, 'Decade', 'This decade, ' || {_AGO.format('(1990 - d)')} || ' (' || d || 's)' from c where d <> 1990""")
 add("memories_order", years(lambda y: N.memories_order(L.memories(y, "1995-06-15").filter("time_window = 'Month'")).select("file_id", "years_ago")), f"select file_id, cast(1995 - year(captured) as int) years_ago from {Y} y where month(captured) = 6 and year(captured) <> 1995")
 add("memories_filter_window", years(lambda y: L.memories(y, "1995-06-15").filter("time_window = 'Year'").select("file_id", "key")), f"select file_id, cast(1995 as int) as key from {Y} y where year(captured) = 1995")
 add("path_keywords", photos(lambda p: N.path_keywords(p).select("file_id", F.array_join("words", ",").alias("words"))), f"select file_id, 'u' || user_id || ',' || event_type || ',lib' words from {P} p")
@@ -303,8 +319,10 @@ _lines = lambda spark, sf: spark.read.parquet(f"{sf}/part.parquet").select(F.col
 _WORDS = "(select lower(trim(p_type)) word, min(p_partkey) line_no from part where p_partkey % 7 <> 0 and trim(p_type) <> '' group by 1)"
 add("vocabulary_clean", lambda spark, sf: N.vocabulary_clean(_lines(spark, sf)), f"select word, line_no from {_WORDS}")
 add("vocabulary_hash", lambda spark, sf: N.vocabulary_hash(N.vocabulary_clean(_lines(spark, sf))), f"select substr(sha256(string_agg(word || chr(10), '' order by line_no)), 1, 16) hash from {_WORDS}")
-add("calendar_grid", photos(lambda p: N.calendar_grid(p, "2024-01-01")),
-    f"""select d.day, count(p.file_id) n, min(p.name) first_name from (select cast(unnest(generate_series(date '2024-01-01', date '2024-02-11', interval 1 day)) as date) as day) d left join {P} p on cast(p.captured as date) = d.day group by 1""")
+add("calendar_grid", photos(lambda p: N.calendar_grid(p, "2024-01-01").select("day", "in_month", "n", "first_name", F.sha2(F.array_join("names", ","), 256).alias("names"))),
+    f"""select d.day, month(d.day) = 1 in_month, count(p.file_id) n, min(p.name) first_name, sha256(coalesce(string_agg(p.name, ',' order by lower(p.name), p.name), '')) as names
+      from (select cast(unnest(generate_series(date '2024-01-01', date '2024-02-11', interval 1 day)) as date) as day) d left join {P} p on cast(p.captured as date) = d.day group by 1""")
+add("calendar_totals", photos(N.calendar_totals), f"select count(*) photos, count(distinct cast(captured as date)) as days, cast(date_trunc('month', max(captured)) as date) as month from {P} p")
 add("supported_formats", on("file_names")(N.supported_formats), f"select case split_part(name, '.', 2) when 'jpg' then 'JPEG' when 'png' then 'PNG' when 'tif' then 'TIFF' else 'HEIC' end family, count(*) n from {NAMES} f group by 1")
 _heads = {0: "FFD8FFE0", 1: "89504E470D0A1A0A00", 2: "49492A0008", 3: "00112233", 4: "424D0000", 5: "474946383961", 6: "524946460000000057454250", 7: "000000186674797068656963", 8: "424D00", 9: "FFD8FF00", 10: "47494638", 11: "000000186674797068656963"}
 _content = lambda f: f.withColumn("content", F.unhex(F.create_map(*[F.lit(x) for kv in _heads.items() for x in kv])[(F.col("file_id") % 12).cast("int")]))

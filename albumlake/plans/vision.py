@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import geo
 from ..operators import faces as A
 from ..operators import images as I
 from ..operators import naming as N
@@ -187,6 +188,31 @@ add("sidecar_regions", lambda spark, sf: rounded(D.sidecar_regions(_sidecars(spa
       case when idx > 0 then status else 'Accepted' end status, case when embedding is null then null else len(embedding) end dims, embedding[1]::double v1, embedding[64]::double v64
       from {REG} r left join embeddings on vec_id = file_id * 4 + idx where file_id % 17 <> 0 and file_id % 23 <> 0 and file_id % 29 <> 0""")
 
+def _described(p):
+    """Sidecars of photos, their fields in two descriptions."""
+    def tag(name, value):
+        return F.coalesce(F.concat(F.lit(f"<p:{name}>"), value.cast("string"), F.lit(f"</p:{name}>")), F.lit(""))
+
+    def said(name, value):
+        return F.coalesce(F.concat(F.lit(f'<d:{name}><r:Alt><r:li xml:lang="de">andere</r:li><r:li xml:lang="x-default">'), value, F.lit(f"</r:li></r:Alt></d:{name}>")), F.lit(""))
+
+    def bag(name, kind, values):
+        return F.concat(F.lit(f"<d:{name}><r:{kind}>"), F.array_join(F.transform(values, lambda v: F.concat(F.lit("<r:li>"), v, F.lit("</r:li>"))), ""), F.lit(f"</r:{kind}></d:{name}>"))
+
+    first = F.concat(tag("Rating", F.coalesce(F.col("rating").cast("string"), F.lit("many"))), tag("Label", F.col("color_label")), tag("Pick", F.when(F.col("is_pick"), "True").otherwise("no")), tag("Reject", F.when(F.col("is_reject"), " TRUE ").otherwise("False")),
+                     tag("GPSLatitude", geo.dms_format(F.col("lat"), "N", "S")), tag("GPSLongitude", F.when(F.col("file_id") % 5 > 0, geo.dms_format(F.col("lon"), "E", "W")).otherwise("east")), tag("GPSAltitude", F.when(F.col("file_id") % 2 == 0, "1001/4").otherwise("12.5")), tag("GPSAltitudeRef", (F.col("file_id") % 3).cast("string")),
+                     said("title", F.col("title")), bag("subject", "Bag", F.array_append("keywords", F.lit(""))), bag("creator", "Seq", F.array(F.coalesce("creator", F.lit("")), F.lit("Second"))))
+    second = F.concat(tag("City", F.col("city")), tag("Country", F.col("country")), tag("Location", F.col("location")), tag("Headline", F.col("headline")), said("description", F.col("caption")), bag("PersonInImage", "Bag", F.coalesce("persons_shown", F.array().cast("array<string>"))), tag("DateCreated", F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss")))
+    doc = F.concat(F.lit('<x:xmpmeta xmlns:x="x"><r:RDF xmlns:r="r" xmlns:p="p" xmlns:d="d"><r:Description>'), first, F.lit("</r:Description><r:Description>"), second, F.lit("</r:Description></r:RDF></x:xmpmeta>"))
+    return p.select(F.col("file_id").alias("path"), F.when(F.col("file_id") % 31 == 0, F.concat(F.lit("<!DOCTYPE x>"), doc)).otherwise(doc).alias("xml"))
+
+
+add("sidecar_metadata", on("photos")(lambda p: rounded(D.sidecar_metadata(_described(p)), "lat", "lon").select("path", "lat", "lon", "altitude", "rating", "label", "is_pick", "is_reject", "title", "caption", "city", "country", "location", "headline", "creator", "date_created", F.array_join("keywords", ",").alias("keywords"), F.array_join("persons_shown", ",").alias("persons"))),
+    f"""select file_id path, case when ok and file_id % 5 > 0 then round(lat, 6) end lat, case when ok and file_id % 5 > 0 then round(lon, 6) end lon, case when ok and file_id % 5 > 0 then case when file_id % 2 = 0 then 250.25 else 12.5 end * case when file_id % 3 = 1 then -1 else 1 end end altitude,
+      case when ok then rating end rating, case when ok then color_label end as label, case when ok and is_pick then true end is_pick, case when ok then is_reject end is_reject, case when ok then title end title, case when ok then caption end caption,
+      case when ok and trim(city) <> '' then city end city, case when ok then country end country, case when ok and trim(location) <> '' then location end as location, case when ok then headline end headline, case when ok then coalesce(creator, 'Second') end creator,
+      case when ok then date_trunc('second', captured) end date_created, case when ok then array_to_string(keywords, ',') else '' end keywords, case when ok then array_to_string(coalesce(persons_shown, []), ',') else '' end persons from (select *, file_id % 31 <> 0 ok from {oracle_from('photos')} p)""")
+
 # Edits tried again ---------------------------------------------------------------------------------------------------
 add("stream_edit_retry", lambda spark, sf: T.stream_edit_retry(spark, f"{sf}/events.parque[t]", lambda e: shaped(e, "attempts"), *T.folders(spark)), edits.SQL["edit_retry"])
 

@@ -16,12 +16,11 @@ from ..functions.geo import dms_parse, is_valid_gps
 
 def read_gpx(tracks: DataFrame, xml: str = "xml") -> DataFrame:
     """track_id, captured, lat, lon of every track, route and way point, in any namespace, with a place and a time."""
-    def points(kind: str) -> Column:
-        at = f"//*[local-name()='{kind}' and @lat and @lon and *[local-name()='time']]"
-        return F.arrays_zip(*[F.xpath(F.col(xml), F.lit(at + tail)).alias(n) for n, tail in (("lat", "/@lat"), ("lon", "/@lon"), ("time", "/*[local-name()='time'][1]/text()"))])
-
-    found = [points(kind) for kind in ("trkpt", "rtept", "wpt")]
-    rows = tracks.select("track_id", F.explode(F.concat(*found)).alias("p"))
+    # One path for all kinds of points: a document is parsed three times, for its places and its times.
+    kinds = " or ".join(f"local-name()='{k}'" for k in ("trkpt", "rtept", "wpt"))
+    point = f"//*[({kinds}) and @lat and @lon and *[local-name()='time']]"
+    found = F.arrays_zip(*[F.xpath(F.col(xml), F.lit(point + tail)).alias(n) for n, tail in (("lat", "/@lat"), ("lon", "/@lon"), ("time", "/*[local-name()='time'][1]/text()"))])
+    rows = tracks.select("track_id", F.explode(found).alias("p"))
     at = F.try_to_timestamp(F.regexp_replace("p.time", "Z$", "+00:00")).cast("timestamp_ntz")
     return rows.select("track_id", at.alias("captured"), F.col("p.lat").try_cast("double").alias("lat"), F.col("p.lon").try_cast("double").alias("lon")).filter("captured is not null and lat is not null and lon is not null")
 
@@ -119,3 +118,65 @@ def sidecar_regions(sidecars: DataFrame, xml: str = "xml") -> DataFrame:
         F.coalesce(one_of(F.col("status"), STATUSES), F.lit("Accepted")).alias("status"), F.nullif(F.col("source"), F.lit("")).alias("source"),
         floats(F.try_to_binary(F.trim("embedding"), F.lit("base64"))).alias("embedding"),
     )
+
+
+# Element names of photo sidecars. Plain texts, texts in several languages, and lists.
+TEXTS = """GPSLatitude GPSLongitude GPSAltitude GPSAltitudeRef Rating Label Pick Reject Location City State Country CountryCode Headline Credit
+Source Instructions DateCreated CaptionWriter TransmissionReference DigitalSourceType WebStatement ImageRating AuthorsPosition ModelReleaseStatus
+PropertyReleaseStatus DataMining SupplierImageId""".split()
+LANGUAGES = "title description rights UsageTerms AltTextAccessibility ExtDescrAccessibility Event".split()
+LISTS = {"subject": "Bag", "PersonInImage": "Bag", "Genre": "Bag", "EventId": "Bag", "creator": "Seq"}
+PLAIN = {
+    "Label": "label", "Location": "location", "City": "city", "State": "state", "Country": "country", "CountryCode": "country_code", "Headline": "headline",
+    "Credit": "credit", "Source": "source", "Instructions": "instructions", "CaptionWriter": "caption_writer", "TransmissionReference": "job_id",
+    "DigitalSourceType": "digital_source", "WebStatement": "web_statement", "AuthorsPosition": "creator_job_title", "ModelReleaseStatus": "model_release",
+    "PropertyReleaseStatus": "property_release", "DataMining": "data_mining", "SupplierImageId": "supplier_image_id",
+}
+
+
+def true_or_false(text: Column) -> Column:
+    """Of the words true and false, in any case; else null."""
+    return F.when(F.lower(F.trim(text)) == "true", True).when(F.lower(F.trim(text)) == "false", False)
+
+
+def sidecar_metadata(sidecars: DataFrame, xml: str = "xml") -> DataFrame:
+    """path and a sidecar's fields: place and altitude, rating, label, pick and reject, texts, place names, rights, people and
+    keywords; in one typed parse, without Python.
+
+    Of texts in several languages the x-default one counts, else the first. Blank values are null, lists without their
+    blanks; altitudes below the sea (reference 1) are negative; a place needs both coordinates. A document that does not
+    parse, or declares types, has nulls and empty lists. Of several descriptions the first that has a field gives it.
+    """
+    kinds = [f"{t}: string" for t in TEXTS] + [f"{t}: struct<Alt: struct<li: array<struct<_VALUE: string, _lang: string>>>>" for t in LANGUAGES]
+    kinds += [f"{t}: struct<{kind}: struct<li: array<string>>>" for t, kind in LISTS.items()]
+    text = F.when(~F.contains(F.upper(F.col(xml)), F.lit("<!DOCTYPE")), F.col(xml))
+    x = F.from_xml(text, f"RDF struct<Description: array<struct<{', '.join(kinds)}>>>", {"ignoreNamespace": "true"})
+    rows = sidecars.select("path", x.alias("x")).select("path", F.col("x.RDF.Description").alias("d"))
+
+    def field(name: str) -> Column:
+        return F.get(F.filter(F.transform("d", lambda d: d[name]), lambda v: v.isNotNull()), F.lit(0))
+
+    def filled(c: Column) -> Column:
+        return F.when(F.trim(c) != "", c)
+
+    def spoken(name: str) -> Column:
+        said = field(name)["Alt"]["li"]
+        return filled(F.coalesce(F.get(F.filter(said, lambda v: v["_lang"] == "x-default"), F.lit(0)), F.get(said, F.lit(0)))["_VALUE"])
+
+    def listed(name: str) -> Column:
+        items = field(name)[LISTS[name]]["li"]
+        return F.coalesce(F.filter(items, lambda v: F.coalesce(v, F.lit("")) != ""), F.array().cast("array<string>"))
+
+    lat, lon = dms_parse(field("GPSLatitude")), dms_parse(field("GPSLongitude"))
+    altitude = rational(field("GPSAltitude"))
+    out = {
+        "lat": F.when(lon.isNotNull(), lat), "lon": F.when(lat.isNotNull(), lon),
+        "altitude": F.when(lat.isNotNull() & lon.isNotNull(), F.when(F.trim(field("GPSAltitudeRef")) == "1", -altitude).otherwise(altitude)),
+        "rating": F.trim(field("Rating")).try_cast("int"), "is_pick": true_or_false(field("Pick")), "is_reject": true_or_false(field("Reject")),
+        "iptc_rating": F.trim(field("ImageRating")).try_cast("double"), "date_created": F.try_to_timestamp(F.trim(field("DateCreated"))).cast("timestamp_ntz"),
+        "title": spoken("title"), "caption": spoken("description"), "copyright": spoken("rights"), "usage_terms": spoken("UsageTerms"), "event": spoken("Event"),
+        "alt_text": spoken("AltTextAccessibility"), "extended_description": spoken("ExtDescrAccessibility"),
+        "keywords": listed("subject"), "persons_shown": listed("PersonInImage"), "creator": F.get(listed("creator"), F.lit(0)), "genre": F.get(listed("Genre"), F.lit(0)),
+        "event_id": F.get(listed("EventId"), F.lit(0)), **{made: filled(field(name)) for name, made in PLAIN.items()},
+    }
+    return rows.select("path", *[c.alias(n) for n, c in out.items()])
