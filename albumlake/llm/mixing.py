@@ -48,6 +48,11 @@ def bisect_exponent(tokens: list[int], target_entropy: float | None = None, max_
     return hi
 
 
+def flattest(least: int | None, most: int | None, max_epochs: float) -> float:
+    """The least exponent at which the smallest source is repeated max_epochs times at most: (most / least) ** (1 - e)."""
+    return max(0.0, 1 - math.log(max_epochs) / math.log(most / least)) if least and most > least else 0.0
+
+
 def entropy_exponent(sources: DataFrame, target_entropy: float, rounds: int = 10, width: int = 31) -> float:
     """bisect_exponent's answer for a target entropy, over any number of sources: every round sums t^e and t^e*ln(t) over
     all of them for `width` exponents in one aggregate, and keeps one of the width + 1 gaps."""
@@ -101,9 +106,10 @@ def mix_sources(docs: DataFrame, max_epochs: float = MAX_EPOCHS, target_entropy:
     per_block = d.groupBy("_src", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     sources = per_block.groupBy("_src").agg(F.sum("block_tokens").alias("n_tokens"))
     ends = sources.filter("n_tokens > 0").agg(F.min("n_tokens"), F.max("n_tokens")).first()
-    exponent = bisect_exponent(sorted({int(x) for x in ends if x}), None, max_epochs)
-    if target_entropy is not None:  # a flatter mixture than max_epochs allows is not made
-        exponent = max(exponent, entropy_exponent(sources, target_entropy))
+    if target_entropy is None:
+        exponent = bisect_exponent(sorted({int(x) for x in ends if x}), None, max_epochs)
+    else:  # a flatter mixture than max_epochs allows is not made
+        exponent = max(entropy_exponent(sources, target_entropy), flattest(ends[0], ends[1], max_epochs))
     plan = source_plan(sources, exponent=exponent)
     plan = plan.select("_src", "weight", F.when(F.col("n_tokens") > 0, F.floor(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("int").alias("whole"), F.when(F.col("n_tokens") > 0, F.col("budget") % F.col("n_tokens")).otherwise(0).alias("rest"))
     order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
