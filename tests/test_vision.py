@@ -290,3 +290,31 @@ def test_bursts_equal_a_scan(spark):
             last = f[3]
             want[f[0]] = first[0]
     assert {x.file_id: x.burst_first for x in ordered.burst_groups(df, ["owner"]).collect()} == want
+
+
+def test_pixels_of_a_text(spark, tmp_path):
+    from albumlake.sources import rasters
+
+    texts = {0: "ab\u00e9\U0001f600" * 30, 1: "x", 2: "", 3: None, 5: "yz" * 50, 6: "\u4e2d" * 41, 7: "q" * 47}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.file_id: (x.width, x.height, x.pixels) for x in rasters.images(spark, str(tmp_path)).collect()}
+
+    def pixel(i, at, o):
+        v = ((o * 37 + at) % 256, 100 + o % 8, o % 128, 190 + o % 66)[i % 4]
+        return v * 65793 if i % 12 < 4 else v * 65536 + (v * 3 // 4 + 20) * 256 + (v + 40) % 256
+
+    for i, t in texts.items():
+        w = 40 + i % 25
+        h = -(-len(t or "") // w)
+        made = [pixel(i, at, ord(c)) for at, c in enumerate(t or "")]
+        assert got[i] == (w, h, made + [0] * (w * h - len(made)))
+
+
+def test_pixels_never_move_and_equal_ids_are_added(spark):
+    rows = [(1, 2, 1, [0x010203, 0x010203]), (2, 1, 1, [0xFFFFFF]), (1, 1, 2, [0x010203, 5]), (3, 0, 0, []), (4, 0, 0, None)]
+    df = spark.createDataFrame(rows, PICTURE).repartition(3)
+    made = images.image_histogram(df)
+    got = {(x.file_id, x.channel, x.bin): x.n for x in made.collect()}
+    assert got == {(1, "R", 1): 3, (1, "R", 0): 1, (1, "G", 2): 3, (1, "G", 0): 1, (1, "B", 3): 3, (1, "B", 5): 1, (1, "L", 1): 3, (1, "L", 0): 1, **{(2, c, 255): 1 for c in "RGBL"}}
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (made, images.white_balance_estimate(df))]
+    assert not any("explode(pixels" in p for p in plans)
