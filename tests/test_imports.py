@@ -114,6 +114,45 @@ def test_hash_pairs_equal_all_pairs(spark, hot):
     assert led[500] == led.get(0, 0)
 
 
+def test_a_coordinate_is_rounded_once_scaled(spark):
+    p = spark.createDataFrame([(1, 10.0, 127.94999999999999), (2, 10.0, 127.95), (3, -53.43000000000001, -127.94999999999999), (4, 64.84, 53.84)], "file_id long, lat double, lon double").withColumn("city", F.lit(None).cast("string"))
+    g = spark.createDataFrame([(10.0, 128.0, "a"), (-53.4, -128.0, "b"), (64.8, 53.8, "c")], "lat4 double, lon4 double, place string")
+    got = {x.file_id: x.city_after for x in places.reverse_geocode_join(p, g, places=1).collect()}
+    assert got == {1: "a", 2: "a", 3: "b", 4: "c"}
+
+
+@pytest.mark.parametrize("size", [7, 1 << 16])
+def test_links_and_leaders_of_hashes_equal_a_scan(spark, monkeypatch, size):
+    monkeypatch.setattr(places, "BLOCK", size)
+    monkeypatch.setattr(places, "ROUND", size)
+    r = np.random.default_rng(8)
+    base = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 6)]
+    rows = []
+    for i in range(90):
+        h = base[i % 6]
+        for bit in r.integers(0, 64, int(r.integers(0, 9))):
+            h ^= (1 << int(bit)) if bit < 63 else -(2**63)
+        rows.append((i, h))
+    rows += [(200, rows[3][1]), (201, rows[40][1]), (202, None)]
+    df = spark.createDataFrame(rows, "file_id long, hash long").repartition(3)
+    apart = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    reps = {}
+    for i, h in rows:
+        if h is not None:
+            reps.setdefault(h, i)
+    for threshold in (0, 6, 12):
+        links = {h: sum(g != h and apart(g, h) <= threshold for g in reps) for h in reps}
+        got = {(x.file_id, x.rep, x.links) for x in places.hash_links(df, threshold).collect()}
+        assert got == {(i, reps[h], links[h]) for i, h in rows if h is not None}
+        led, leader = [], {}
+        for h, i in sorted(reps.items(), key=lambda x: x[1]):
+            leader[h] = next((j for j, g in led if apart(g, h) <= threshold), i)
+            if leader[h] == i:
+                led.append((i, h))
+        got = [(x.file_id, x.leader) for x in places.hash_leaders(df, threshold).collect()]
+        assert sorted(got) == [(i, leader[h]) for i, h in rows if h is not None and leader[h] != i]
+
+
 def test_deep_trees_and_circles(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None, f"k{i}") for i in range(70)] + [(100, 999, "lost")], "node_id long, parent_id long, name string")
     got = {r.node_id: r.path for r in naming.keyword_paths(chain).collect()}
