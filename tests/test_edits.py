@@ -57,3 +57,12 @@ def test_scan_takes_extensions_in_any_case(spark, tmp_path):
         (tmp_path / name).write_bytes(b"xyz")
     assert {(x.name, x.length) for x in files.scan_files(spark, str(tmp_path), [".jpg"]).collect()} == {("a.JPG", 3), ("c.jpg", 3)}
     assert {x.name for x in files.scan_files(spark, str(tmp_path), ["jpg"], recursive=False).collect()} == {"a.JPG"}
+
+
+def test_appended_regions_are_sorted_by_more_tasks_when_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(tagging, "ROWS_A_TASK", 10)
+    rows = [(f, i, "a", "Person", "Accepted", i / 10, 0.0, 0.1, 0.1) for f in range(40) for i in range(3)]
+    df = spark.createDataFrame(rows, "file_id long, idx int, label string, category string, status string, x double, y double, w double, h double")
+    made = tagging.region_append(df, df.filter("idx = 1").withColumn("x", F.col("x") + F.col("file_id") % 2))
+    assert made.rdd.getNumPartitions() == 16
+    assert {(x.file_id, x.idx) for x in made.collect()} == {(f, i) for f in range(40) for i in range(3 + f % 2)}
