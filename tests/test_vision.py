@@ -318,3 +318,22 @@ def test_pixels_never_move_and_equal_ids_are_added(spark):
     assert got == {(1, "R", 1): 3, (1, "R", 0): 1, (1, "G", 2): 3, (1, "G", 0): 1, (1, "B", 3): 3, (1, "B", 5): 1, (1, "L", 1): 3, (1, "L", 0): 1, **{(2, c, 255): 1 for c in "RGBL"}}
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (made, images.white_balance_estimate(df))]
     assert not any("explode(pixels" in p for p in plans)
+
+
+def test_visits_and_products_are_held_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "AT_ONCE", 7)
+    monkeypatch.setattr(vectors, "SLICE", 5)
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=4).round(3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "face_id long, embedding array<double>")
+    names = df.select(F.col("face_id").cast("string").alias("name"), F.col("embedding").alias("vector")).filter("face_id % 2 = 1")
+    want = {}
+    for i, v in rows:
+        best = max(((cosine(v, w), str(j)) for j, w in rows if j % 2), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1]]))
+        if best[0] > 0.35:
+            want[i] = best[1]
+    assert {x.face_id: x.known_as for x in faces.face_known_match(df, names, 0.35).collect()} == want
+    at = vectors.Cells({2: [1]}, {2: np.array([[1.0, 0.0]])}, 3.2, {(2, 0, True): 12}, {(2, 0, True): 3.2}, 5)
+    seen = spark.createDataFrame([(i, [1.0, 0.0], 2) for i in range(20)], "id long, v array<double>, dims int")
+    got = vectors.visits(seen, at, lambda d, c, near: np.full(len(d), True)).select("id", "cell", "near", "slice").collect()
+    assert {tuple(x) for x in got} == {(i, 0, True, s) for i in range(20) for s in range(3)} and len(got) == 60
