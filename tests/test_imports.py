@@ -161,6 +161,19 @@ def test_deep_trees_and_circles(spark):
         naming.keyword_paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "node_id long, parent_id long, name string"))
 
 
+def test_keywords_expand_once_a_list_and_the_result_does_not_move(spark):
+    """Names over words in any case, rows of one file, blanks and nulls; the rows of the result are made without a shuffle."""
+    tree = [(1, None, "Trips"), (2, 1, "Sea"), (3, 2, "beach"), (4, None, "Sand"), (5, 4, "Beach"), (6, 5, "Cove")]
+    photos = [(1, ["beach", " Other ", None, ""]), (1, ["OTHER", "sea"]), (2, ["Beach", "beach"]), (3, None), (4, [" "]), (5, ["k0", "k1", "k11"]), (None, ["Cove"]), (6, ["other", "Other"]), (7, ["beach", " Other ", "OTHER", "sea"])]
+    paths = naming.keyword_paths(spark.createDataFrame(tree, "node_id long, parent_id long, name string"))
+    out = naming.keyword_expand(spark.createDataFrame(photos, "file_id long, keywords array<string>"), paths)
+    beach, want = ["Beach", "Sand", "Sea", "Trips"], {6: ["Other"], 5: ["k0", "k1", "k11"]}
+    want |= {1: ["Beach", "OTHER", "Sand", "Sea", "Trips"], 2: beach, None: ["Beach", "Cove", "Sand"]}
+    want[7] = want[1]
+    assert sorted(map(str, out.collect())) == sorted(str(x) for f, names in want.items() for x in spark.createDataFrame([(f, n) for n in names], "file_id long, keyword string").collect())
+    assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_person_is_shown_or_a_region(spark):
     p = spark.createDataFrame([(1, ["Ann"]), (2, None), (3, ["x"])], "file_id long, persons_shown array<string>")
     r = spark.createDataFrame([(2, "Person", "Joann"), (3, "Animal", "Ann"), (1, "Person", None)], "file_id long, category string, label string")
