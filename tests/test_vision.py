@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from albumlake.operators import faces, images, resection, vectors
+from albumlake.plans import vision
 from albumlake.sources import readers
 from albumlake.streaming import jobs
 
@@ -190,6 +191,16 @@ def test_sidecars_that_do_not_fit(spark):
     assert [x[0] for x in texts.select(readers.rational(F.col("t"))).collect()] == [0.25, -1.5, 2.5, None, None, None]
 
 
+def test_a_declaration_is_found_without_a_change_of_case(spark):
+    """In any case, on any line; only embeddings are encoded, not all regions."""
+    rows = spark.createDataFrame([("<!DOCTYPE x><x/>",), ("<x/>\n<!DocType y>",), ("<x>doctype ß ı</x>",), ("",), (None,)], "t string")
+    out = rows.select(readers.undeclared(F.col("t")).alias("t"))
+    assert [r.t for r in out.collect()] == [None, None, "<x>doctype ß ı</x>", "", None]
+    plan = vision._sidecars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython"):]
+    assert "Join" in plan[: plan.index("ArrowEvalPython")] and "events.parquet" not in below and "event_id" not in below and "upper" not in plan
+
+
 def test_retries_over_batches_and_a_restart(spark, tmp_path):
     def arrive(name, rows):
         spark.createDataFrame(rows, "path long, field string, seq long, failed boolean").coalesce(1).write.parquet(f"{tmp_path}/new-{name}")
