@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,10 +43,60 @@ def word_features(word: str) -> list[int]:
     return [_slots[n] for n in dict.fromkeys(names)]
 
 
+#: What a byte does to a CRC-32 state.
+_CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)], np.uint32)
+
+
+def crc_on(state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """CRC-32 states after the UTF-8 bytes of one more character (code point) each."""
+    out = _CRC[(state ^ code) & 0xFF] ^ (state >> 8)
+    for low, high, lead, rest in ((0x80, 0x800, 0xC0, (6, 0)), (0x800, 0x10000, 0xE0, (12, 6, 0)), (0x10000, 0x110000, 0xF0, (18, 12, 6, 0))):
+        at = np.flatnonzero((code >= low) & (code < high))
+        if not len(at):
+            continue
+        c, s = code[at], state[at]
+        for i, r in enumerate(rest):
+            byte = 0x80 | (c >> r & 0x3F) if i else lead | c >> r
+            s = _CRC[(s ^ byte) & 0xFF] ^ (s >> 8)
+        out[at] = s
+    return out
+
+
+def features_together(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features() of all words one after the other, where each word's begin, and the words for which they do not hold
+    and word_features() must be asked: those of one or two letters and those that have a weight row twice."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join([f"^{w}$" for w in words] + ["$$"]).encode("utf-32-le"), np.uint32)
+    caret = np.cumsum(n + 2) - n - 2  # of each word in code
+    start = np.cumsum(n + 7) - n - 7
+    flat = np.empty(int((n + 7).sum()), np.int64)
+    none = np.full(len(code), 0xFFFFFFFF, np.uint32)
+    flat[start] = [~zlib.crc32(f"^{w}$".encode()) & 0xFFFFFFFF for w in words]
+    prefix, suffix = (crc_on(none[: len(n)], np.full(len(n), ord(c), np.uint32)) for c in "ps")
+    for k in (1, 2, 3):
+        prefix, end = crc_on(prefix, code[caret + k]), suffix
+        for back in range(k - 1, -1, -1):
+            end = crc_on(end, code[caret + n - back])
+        flat[start + k], flat[start + 3 + k] = prefix, end
+    owner = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at, state = caret[owner] + nth, none[: len(owner)]
+    for k in range(3):
+        state = crc_on(state, code[at + k])
+    flat[start[owner] + 7 + nth] = state
+    flat = (flat ^ 0xFFFFFFFF) % DIM
+    seen = np.sort(np.repeat(np.arange(len(n)), n + 7) * DIM + flat)
+    lone = n < 3
+    lone[seen[1:][seen[1:] == seen[:-1]] // DIM] = True
+    return flat, start, np.flatnonzero(lone)
+
+
 def letter_words(line: str) -> list[str]:
     """Runs of letters, in lower case; digits, marks and number forms (as in a superscript two) part words."""
-    out = []
-    for w in _TOKEN.findall(line.lower()):
+    found, out = _TOKEN.findall(line.lower()), []
+    if "".join(found).isalpha():
+        return found
+    for w in found:
         if w.isalpha():
             out.append(w)
         else:
@@ -146,16 +196,22 @@ class Tagger:
         """(words, labels): rows of a table that grows by doubling and starts anew when over the limit."""
         if len(self.rows) > self.limit:
             self.rows.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if new:
-            at = [word_features(w) for w in new]
-            starts = np.cumsum([0, *map(len, at[:-1])])
+        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = list(dict.fromkeys([words[i] for i in unknown.tolist()]))
             while len(self.rows) + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            flat = np.fromiter(chain.from_iterable(at), np.int64)
-            self.table[len(self.rows) : len(self.rows) + len(new)] = np.add.reduceat(self.model["weights"][flat], starts)
+            flat, starts, lone = features_together(new)
+            made = self.table[len(self.rows) : len(self.rows) + len(new)]
+            made[:] = np.add.reduceat(self.model["weights"][flat], starts)
+            if len(lone):
+                asked = [word_features(new[i]) for i in lone.tolist()]
+                starts = np.cumsum([0, *map(len, asked[:-1])])
+                made[lone] = np.add.reduceat(self.model["weights"][np.fromiter(chain.from_iterable(asked), np.int64)], starts)
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+            at[unknown] = [self.rows[words[i]] for i in unknown.tolist()]
+        return self.table[at]
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text the (words, labels) posteriors, in reading order."""

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 
-from albumlake.llm import audit, htmltree, mixing, order, repair, urls, wfst, winnow
+from albumlake.llm import audit, htmltree, langid, mixing, order, repair, urls, wfst, winnow
 
 DATA = "/root/testdata/sf0.01"
 ROWS = "conv_id long, turn long, role string, text string, audit string, _k int"
@@ -287,3 +287,22 @@ def test_text_beside_an_article_is_left_out(spark):
     rows = [(1, page, "x"), (1, page, "x"), (2, None, "y")]
     made = htmltree.extract_pages(spark.createDataFrame(rows, "page_id long, html string, text string"), model)
     assert made.columns == ["page_id", "html", "text"] and [r.text.split("\n")[0] for r in made.orderBy("page_id").collect()] == ["T", "T", ""]
+
+
+def test_language_features_of_many_words_are_made_at_once(monkeypatch):
+    rnd = np.random.default_rng(4)
+    letters = list("abcdeéßñøжщ中文あ𐐨ps")
+    words = list(dict.fromkeys("".join(rnd.choice(letters, rnd.integers(1, 30))) for _ in range(2000))) + ["pab" * 400, "abpab", "spsps"]
+    flat, start, lone = langid.features_together(words)
+    asked = set(lone.tolist())
+    ends = [*start[1:].tolist(), len(flat)]
+    for i, (word, a, b) in enumerate(zip(words, start.tolist(), ends, strict=True)):
+        assert i in asked or flat[a:b].tolist() == langid.word_features(word), word
+    assert {i for i, w in enumerate(words) if len(w) < 3} <= asked and len(asked) < len(words) / 2
+    model = langid.fit_crf(["le chat dort", "the cat sleeps"] * 3, ["fr", "en"] * 3)
+    weights = np.array([model["weights"][langid.word_features(w)].sum(axis=0) for w in words])
+    calls = []
+    by_one = langid.word_features
+    monkeypatch.setattr(langid, "word_features", lambda w: calls.append(w) or by_one(w))
+    assert np.allclose(langid.Tagger(model).emissions(words * 2), np.concatenate([weights, weights]), atol=1e-5)
+    assert sorted(calls) == sorted(words[i] for i in asked)
