@@ -188,3 +188,29 @@ def test_altitude_between_points(spark):
     got = {r.file_id: (r.lat, r.altitude, r.how) for r in places.gpx_asof_match(p, g, ["u"]).collect()}
     assert got == {1: (0.5, 150.0, "between"), 2: (0.5, 7.0, "between"), 3: (5.0, 9.0, "before"), 4: (5.0, None, "after")}
     assert places.gpx_asof_match(p, g.drop("ele"), ["u"]).filter("altitude is not null").count() == 0
+
+
+def test_on_this_trips_equals_all_pairs_and_holds_no_side_whole(spark, tmp_path):
+    rnd = np.random.default_rng(11)
+    start = dt.datetime(2024, 1, 1)
+    spots = [(90.0, 0.0), (90.0, 77.0), (-90.0, 5.0), (89.99, 180.0), (89.99, -180.0), (0.0, 180.0), (0.0, -180.0), (0.0, 179.99), (45.0, -179.9), (85.0, 10.0), (-85.0, -170.0), (0.0, 0.0), (0.0, 0.0)]
+    spots += [(float(a), float(b)) for a, b in zip(rnd.uniform(-90, 90, 220), rnd.uniform(-180, 180, 220), strict=True)]
+    spots += [(float(np.clip(a + d, -90, 90)), float(b)) for (a, b), d in zip(spots[:120], rnd.normal(0, 0.02, 120), strict=True)]
+    spots += [(float(s * a), float(b)) for s, a, b in zip(rnd.choice([-1, 1], 80), rnd.uniform(80, 90, 80), rnd.uniform(-180, 180, 80), strict=True)]
+    seconds = [int(x) for x in rnd.integers(0, 6 * 86400, len(spots))]
+    seconds[:13] = [3 * 86400 * (i % 3) for i in range(13)]
+    rows = [(i, a, b, start + dt.timedelta(seconds=s)) for i, ((a, b), s) in enumerate(zip(spots, seconds, strict=True))]
+    df = spark.createDataFrame([*rows, (-1, 91.0, 0.0, start), (-2, None, 0.0, start), (-3, 0.0, 0.0, None)], "file_id long, lat double, lon double, captured timestamp_ntz")
+    df.write.parquet(str(tmp_path / "photos"))
+    df = spark.read.parquet(str(tmp_path / "photos"))
+    anchors = df.withColumnRenamed("file_id", "anchor_id")
+    plan = places.on_this_trips(df, anchors, 900.0, 3.0)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    lat, lon, s = np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows]), np.array(seconds, float)
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    metres, apart = 2 * 6_371_008.8 * np.arcsin(np.sqrt(np.minimum(h, 1))), np.abs(s[:, None] - s)
+    for km, days in ((900.0, 3.0), (0.5, 0.5), (3.0, 2.0), (5000.0, 1.0), (9990.0, 1.0), (12000.0, 1.0), (30000.0, 0.2), (0.0, 6.0)):
+        got = places.on_this_trips(df, anchors, km, days)
+        want = {(i, j) for i, j in np.argwhere((metres <= km * 1000) & (apart <= days * 86400) & ((metres >= 1) | (apart >= 1))).tolist()}
+        pairs = [(r["anchor_id"], r["file_id"]) for r in got.select("anchor_id", "file_id").collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want, (km, days)
