@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from albumlake.operators import faces, library, naming, ordered, places
 
 IN, DISK = "file_id long, dir string, base string, ext string, name string, sha string", "dir string, base string, ext string, n long, sha string"
@@ -153,6 +154,33 @@ def test_links_and_leaders_of_hashes_equal_a_scan(spark, monkeypatch, size):
         assert sorted(got) == [(i, leader[h]) for i, h in rows if h is not None and leader[h] != i]
 
 
+def test_pairs_of_hashes_and_copies_equal_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(places, "BLOCK", 11)
+    monkeypatch.setattr(places, "PAIRS", 7)
+    r = np.random.default_rng(12)
+    rows = [(i, (3 - i % 6) << 40 ^ int(b)) for i, b in enumerate(r.integers(0, 1 << 14, 120))]
+    rows += [(200, rows[3][1]), (201, rows[40][1]), (-5, rows[40][1]), (202, None), (203, -1), (204, -1)]
+    df = spark.createDataFrame(rows, "file_id long, hash long").repartition(3)
+    reps = {}
+    for i, h in sorted(rows):
+        if h is not None:
+            reps.setdefault(h, i)
+    for threshold in (0, 9):
+        apart = [(a, b, bin((x ^ y) & (2**64 - 1)).count("1")) for (x, a), (y, b) in itertools.product(reps.items(), reps.items()) if a < b]
+        want = [p for p in apart if p[2] <= threshold] + [(reps[h], i, 0) for i, h in rows if h is not None and reps[h] != i]
+        assert sorted(tuple(x) for x in places.hash_pairs(df, threshold).collect()) == sorted(want)
+
+
+def test_hash_pairs_query_lists_the_pairs(spark):
+    data = "/root/testdata/sf0.001"
+    hashes = sorted((x.file_id, x.hash) for x in entry.queries()["perceptual_hash"](spark, data).collect() if x.hash is not None)
+    got = {(x.a, x.b): x.distance for x in entry.queries()["hash_pairs_within"](spark, data).collect()}
+    apart = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    first = {h: i for i, h in reversed(hashes)}
+    near = {(i, j): apart(g, h) for (i, g), (j, h) in itertools.combinations(hashes, 2) if apart(g, h) <= 12 and (g == h and first[g] == i or g != h and first[g] == i and first[h] == j)}
+    assert got == near and any(near.values())
+
+
 def test_deep_trees_and_circles(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None, f"k{i}") for i in range(70)] + [(100, 999, "lost")], "node_id long, parent_id long, name string")
     got = {r.node_id: r.path for r in naming.keyword_paths(chain).collect()}
