@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from albumlake.operators import faces, images, resection, vectors
 from albumlake.plans import vision
-from albumlake.sources import readers
+from albumlake.sources import rasters, readers
 from albumlake.streaming import jobs
 
 
@@ -331,6 +331,27 @@ def test_pixels_never_move_and_equal_ids_are_added(spark):
     assert not any("explode(pixels" in p for p in plans)
 
 
+def test_histograms_are_made_where_the_pixels_are_and_added_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(images, "ROWS_AT_ONCE", 3)
+    r = np.random.default_rng(3)
+    rows = [(int(i), 1, n, [int(x) for x in r.integers(0, 1 << 24, n)]) for i, n in zip([7] * 9 + list(r.integers(0, 12, 25)), r.integers(0, 6, 34).tolist(), strict=True)]
+    rows += [(50, 1, 40, [0x0A0A0A] * 39 + [0xFFFFFF]), (51, 0, 0, None), (None, 1, 1, [0x102030]), (None, 1, 1, [0x102030])]
+    want = {}
+    for i, _, _, pixels in rows:
+        for p in pixels or []:
+            c = (p >> 16, p >> 8 & 255, p & 255)
+            for name, v in zip("RGBL", (*c, (77 * c[0] + 150 * c[1] + 29 * c[2]) >> 8), strict=True):
+                want[i, name, v] = want.get((i, name, v), 0) + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [((x.file_id, x.channel, x.bin), x.n) for x in images.image_histogram(spark.createDataFrame(rows, PICTURE).repartition(3)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and dict(got) == want
+    made = images.image_histogram(rasters.images(spark, "/root/testdata/sf0.001"))
+    assert "ArrowEvalPython [bins(_pixels(" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_visits_and_products_are_held_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(vectors, "AT_ONCE", 7)
     monkeypatch.setattr(vectors, "SLICE", 5)
